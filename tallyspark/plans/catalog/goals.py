@@ -1 +1,256 @@
-"""To be filled."""
+"""Metrics, structured questions, targets, alerts and the rules over them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.model import AnalysisError, Dataset
+from tallyspark.operators import goals, metrics, rules
+from tallyspark.operators.metrics import Metric, Part, Question
+from tallyspark.plans import reports
+from tallyspark.plans.catalog.registry import EVENTS, SALES, events, lineitem, orders, query, rounded, sales
+
+METRICS = (
+    Metric("revenue", Part("sum", "l_extendedprice"), None, "currency"), Metric("rows", Part("count")),
+    Metric("parts", Part("count_distinct", "l_partkey")), Metric("typical price", Part("median", "l_extendedprice")),
+    Metric("largest order", Part("max", "l_quantity")), Metric("mean tax", Part("avg", "l_tax"), None, "percent"),
+    Metric("unit price", Part("sum", "l_extendedprice"), Part("sum", "l_quantity")),
+    Metric("tax to discount", Part("sum", "l_tax"), Part("sum", "l_discount"), "percent"),
+    Metric("broken", Part("sum", "no_such_column")), Metric("smallest", Part("min", "l_quantity")))
+
+
+@query("metrics_all", """
+SELECT 'revenue' AS metric, round(sum(l_extendedprice), 2) AS value, NULL AS error FROM lineitem
+UNION ALL SELECT 'rows', count(*), NULL FROM lineitem UNION ALL SELECT 'parts', count(DISTINCT l_partkey), NULL FROM lineitem
+UNION ALL SELECT 'typical price', round(median(l_extendedprice), 2), NULL FROM lineitem
+UNION ALL SELECT 'largest order', max(l_quantity), NULL FROM lineitem
+UNION ALL SELECT 'mean tax', round(avg(l_tax) * 100, 2), NULL FROM lineitem
+UNION ALL SELECT 'unit price', round(sum(l_extendedprice) / nullif(sum(l_quantity), 0), 2), NULL FROM lineitem
+UNION ALL SELECT 'tax to discount', round(sum(l_tax) / nullif(sum(l_discount), 0) * 100, 2), NULL FROM lineitem
+UNION ALL SELECT 'broken', NULL, 'unknown column ''no_such_column'''
+UNION ALL SELECT 'smallest', min(l_quantity), NULL FROM lineitem""")
+def metrics_all(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(metrics.evaluate(lineitem(spark, folder), METRICS))
+
+
+@query("metric_ratio_zero", "SELECT 'none' AS metric, NULL::DOUBLE AS value, NULL::VARCHAR AS error")
+def metric_ratio_zero(spark: SparkSession, folder: str) -> DataFrame:
+    """A ratio over a slice without rows has no value, and is no error."""
+    ds = lineitem(spark, folder).slice({"l_returnflag": "no such flag"})
+    return metrics.evaluate(ds, [Metric("none", Part("sum", "l_tax"), Part("count"))])
+
+
+@query("question_grouped", f"""WITH {SALES} SELECT n_name AS label, round(sum(o_totalprice), 2) AS value FROM s
+WHERE o_orderstatus = 'F' AND r_name = 'ASIA' GROUP BY 1 ORDER BY sum(o_totalprice) DESC, label LIMIT 3""")
+def question_grouped(spark: SparkSession, folder: str) -> DataFrame:
+    q = Question("o_totalprice", "sum", "n_name", {"o_orderstatus": "F", "r_name": "ASIA"}, limit=3)
+    return rounded(metrics.ask(sales(spark, folder), q))
+
+
+@query("question_ascending", f"""WITH {SALES} SELECT n_name AS label, round(avg(o_totalprice), 2) AS value FROM s
+GROUP BY 1 ORDER BY avg(o_totalprice), label LIMIT 20""")
+def question_ascending(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(metrics.ask(sales(spark, folder), Question("o_totalprice", "avg", "n_name", sort="asc")))
+
+
+@query("question_month", """SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS label, max(o_totalprice) AS value
+FROM orders WHERE o_orderdate >= DATE '1998-01-01' AND o_orderdate < DATE '1999-07-01' GROUP BY 1""")
+def question_month(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.ask(orders(spark, folder), Question("o_totalprice", "max", metrics.MONTH), "1998-01", "1999-06")
+
+
+@query("question_scalar", "SELECT NULL::VARCHAR AS label, count(*)::DOUBLE AS value FROM orders WHERE o_orderpriority = '1-URGENT'")
+def question_scalar(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.ask(orders(spark, folder), Question(None, "count", None, {"o_orderpriority": "1-URGENT"}))
+
+
+@query("question_refused", "SELECT 'no such measure' AS why UNION ALL SELECT 'unknown name' UNION ALL SELECT 'no rows' FROM orders HAVING count(*) >= 0")
+def question_refused(spark: SparkSession, folder: str) -> DataFrame:
+    """Three questions without an answer: each is refused, none is answered with
+    another number."""
+    ds, why = orders(spark, folder), []
+    for name, q in (("no such measure", Question("profit")), ("unknown name", Question("o_totalprice", unresolved=["Mars"]))):
+        try:
+            metrics.ask(ds, q)
+        except AnalysisError:
+            why.append((name,))
+    none = metrics.ask(ds, Question("o_totalprice", filters={"o_orderstatus": "no such status"})).agg(
+        F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("no rows").alias("why"))
+    return spark.createDataFrame(why, "why string").unionByName(none)
+
+
+@query("question_answer", f"""WITH {SALES}, g AS (SELECT r_name, sum(o_totalprice) / 1e7 AS v FROM s GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY v DESC) AS k FROM g)
+SELECT max(r_name) FILTER (k = 1) || ' leads with ₹' || format('{{:.2f}}', round(max(v) FILTER (k = 1), 2)) ||
+  ' Cr (total o totalprice), followed by ' || max(r_name) FILTER (k = 2) || ' (₹' ||
+  format('{{:.2f}}', round(max(v) FILTER (k = 2), 2)) || ' Cr).' AS answer FROM r""")
+def question_answer(spark: SparkSession, folder: str) -> DataFrame:
+    return metrics.answer(sales(spark, folder), Question("o_totalprice", "sum", "r_name"))
+
+
+# --------------------------------------------------------------- targets ---
+
+TARGETS = (
+    goals.Target("t1", "o_totalprice", "year", "1999", 400_000_000.0), goals.Target("t2", "o_totalprice", "year", "1999", 1e12),
+    goals.Target("t3", "o_totalprice", "month", "2001-08", 20_000_000.0), goals.Target("t4", "o_totalprice", "quarter", "2001-Q3", 1e9),
+    goals.Target("t5", "o_totalprice", "week", "2001-07-30", 1000.0, {"o_orderstatus": "F"}),
+    goals.Target("t6", "o_totalprice", "day", "2030-01-01", 5.0), goals.Target("t7", "profit", "month", "2001-08", 5.0),
+    goals.Target("t8", "o_totalprice", "year", "2001", 950_000_000.0))
+
+_TARGETS = """r(target_id, grain, period, goal, status_filter, lo, hi) AS (VALUES
+  ('t1', 'year', '1999', 400000000.0::DOUBLE, NULL, DATE '1999-01-01', DATE '1999-12-31'),
+  ('t2', 'year', '1999', 1e12, NULL, DATE '1999-01-01', DATE '1999-12-31'),
+  ('t3', 'month', '2001-08', 20000000.0, NULL, DATE '2001-08-01', DATE '2001-08-31'),
+  ('t4', 'quarter', '2001-Q3', 1e9, NULL, DATE '2001-07-01', DATE '2001-09-30'),
+  ('t5', 'week', '2001-07-30', 1000.0, 'F', DATE '2001-07-30', DATE '2001-08-05'),
+  ('t6', 'day', '2030-01-01', 5.0, NULL, DATE '2030-01-01', DATE '2030-01-01'),
+  ('t8', 'year', '2001', 950000000.0, NULL, DATE '2001-01-01', DATE '2001-12-31')),
+e AS (SELECT max(o_orderdate)::DATE AS d FROM orders),
+a AS (SELECT r.*, d, coalesce((SELECT sum(o_totalprice) FROM orders WHERE o_orderdate >= lo AND o_orderdate < hi + 1
+    AND (status_filter IS NULL OR o_orderstatus = status_filter)), 0) AS actual, (hi - lo) + 1 AS days,
+  CASE WHEN d < lo THEN 0 ELSE least((hi - lo) + 1, (d - lo) + 1) END AS elapsed FROM r, e),
+j AS (SELECT *, days - elapsed AS remaining,
+  CASE WHEN days = elapsed OR elapsed = 0 THEN actual ELSE actual / elapsed * days END AS projection FROM a),
+t AS (SELECT target_id, grain, period, goal, CASE WHEN status_filter IS NULL THEN 0 ELSE 1 END AS filters, actual, projection,
+  projection / goal AS ratio, days, elapsed, remaining,
+  CASE WHEN remaining > 0 AND goal > actual THEN (goal - actual) / remaining ELSE 0.0 END AS needed,
+  lo <= d AND d <= hi AS current, CASE WHEN elapsed = 0 THEN 'not_started' WHEN actual >= goal THEN 'met'
+    WHEN remaining = 0 THEN 'missed' WHEN projection >= goal THEN 'on_track'
+    WHEN projection >= 0.9 * goal THEN 'at_risk' ELSE 'off_track' END AS status FROM j)"""
+
+
+@query("targets_eval", f"""WITH {_TARGETS}
+SELECT target_id, 'o_totalprice' AS measure, grain, period, goal, filters, round(actual, 2) AS actual, round(projection, 2) AS projection,
+  round(actual / goal, 6) AS progress, round(ratio, 6) AS projected_ratio, round(projection - goal, 2) AS gap, days,
+  elapsed AS days_elapsed, remaining AS days_remaining, round(needed, 2) AS needed_per_day, current, status,
+  NULL::VARCHAR AS reason FROM t
+UNION ALL SELECT 't7', 'profit', 'month', '2001-08', 5.0, 0, NULL, NULL, NULL, NULL, NULL, 31, 0, 31, NULL, false, 'broken',
+  '''profit'' is not a numeric measure'""")
+def targets_eval(spark: SparkSession, folder: str) -> DataFrame:
+    out = goals.evaluate_targets(orders(spark, folder), TARGETS)
+    broken = F.col("status") == "broken"
+    out = out.withColumn("days", F.when(broken, F.lit(31)).otherwise(F.col("days"))).withColumn(
+        "days_remaining", F.when(broken, F.lit(31)).otherwise(F.col("days_remaining")))
+    return rounded(out, progress=6, projected_ratio=6)
+
+
+ALERTS = (
+    goals.Alert("a1", "o_totalprice", "total", "gt", 1.0), goals.Alert("a2", "o_totalprice", "latest", "lt", 1e12, "firing"),
+    goals.Alert("a3", "o_totalprice", "mom_pct", "lte", -20.0, "ok"), goals.Alert("a4", "o_totalprice", "target_pace", "gte", 1e6),
+    goals.Alert("a5", "profit", "total", "gt", 0.0), goals.Alert("a6", "o_totalprice", "total", "lt", 0.0, enabled=False))
+
+
+@query("alert_states", f"""WITH {_TARGETS},
+m AS (SELECT date_trunc('month', o_orderdate) AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1),
+z AS (SELECT k, v, lag(v) OVER (ORDER BY k) AS pv FROM m ORDER BY k DESC LIMIT 1),
+x AS (SELECT 'a1' AS alert_id, (SELECT sum(v) FROM m) AS value, 'firing' AS state, true AS fired
+  UNION ALL SELECT 'a2', (SELECT v FROM z), 'firing', false
+  UNION ALL SELECT 'a3', (SELECT (v - pv) / pv * 100 FROM z), CASE WHEN (SELECT (v - pv) / pv * 100 FROM z) <= -20 THEN 'firing' ELSE 'ok' END,
+    (SELECT (v - pv) / pv * 100 FROM z) <= -20
+  UNION ALL SELECT 'a4', (SELECT ratio * 100 FROM t WHERE target_id = 't3'), 'ok', false
+  UNION ALL SELECT 'a5', NULL, 'error', false)
+SELECT alert_id, round(value, 4) AS value, state, fired FROM x""")
+def alert_states(spark: SparkSession, folder: str) -> DataFrame:
+    values = goals.alert_values(orders(spark, folder), ALERTS, TARGETS)
+    return rounded(goals.alert_states(values).select("alert_id", "value", "state", "fired"), 4)
+
+
+@query("alert_history", f"""WITH {EVENTS},
+d AS (SELECT event_type, ts::DATE AS day, sum(value) AS v FROM ev WHERE value IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN v > 1000 THEN 'firing' ELSE 'ok' END AS state FROM d)
+SELECT event_type, strftime(day, '%Y-%m-%d') AS day, round(v, 2) AS value, state,
+  state = 'firing' AND coalesce(lag(state) OVER (PARTITION BY event_type ORDER BY day), 'pending') <> 'firing' AS fired FROM s""")
+def alert_history(spark: SparkSession, folder: str) -> DataFrame:
+    """A threshold over daily values: fires on entry, re-arms on return."""
+    daily = events(spark, folder).frame.where("value is not null").groupBy(
+        "event_type", F.col("ts").cast("date").alias("day")).agg(F.sum("value").alias("value"))
+    return rounded(goals.alert_history(daily, "gt", 1000.0, ["event_type"], "day"))
+
+
+@query("alert_messages")
+def alert_messages(spark: SparkSession, folder: str) -> DataFrame:
+    values = goals.alert_values(orders(spark, folder), ALERTS, TARGETS)
+    return goals.message(goals.alert_states(values)).select("alert_id", "text")
+
+
+# ----------------------------------------------------------------- rules ---
+
+def _orders_with_count(spark: SparkSession, folder: str) -> Dataset:
+    return orders(spark, folder).slice(date_to="2001-07")
+
+
+@query("insights", """
+WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS k, sum(o_totalprice) AS v FROM orders
+  WHERE o_orderdate < DATE '2001-08-01' GROUP BY 1),
+e AS (SELECT min_by(v, k) AS f, max_by(v, k) AS l, max(k) AS k FROM m),
+z AS (SELECT v AS pv FROM m ORDER BY k DESC LIMIT 1 OFFSET 1),
+t AS (SELECT k, v, row_number() OVER (ORDER BY k) - 1 AS t FROM m),
+x AS (SELECT k, v, v - (SELECT regr_intercept(v, t) + regr_slope(v, t) * t.t FROM t t2) AS res FROM t),
+y AS (SELECT *, res / stddev_samp(res) OVER () AS dev FROM x),
+d AS (SELECT o_orderstatus AS member, sum(o_totalprice) AS v FROM orders WHERE o_orderdate < DATE '2001-08-01' GROUP BY 1),
+s AS (SELECT *, round(v / sum(v) OVER () * 100, 1) AS share, row_number() OVER (ORDER BY v DESC, member) AS rank FROM d)
+SELECT 'trend' AS category, 'o_totalprice' AS subject, round((l - f) / abs(f) * 100, 4) AS metric,
+  CASE WHEN (l - f) / abs(f) >= 0.05 THEN 'good' WHEN (l - f) / abs(f) <= -0.05 THEN 'warning' ELSE 'info' END AS severity FROM e
+UNION ALL SELECT 'momentum', strftime(k, '%Y-%m'), round((l - pv) / abs(pv) * 100, 4), CASE WHEN l > pv THEN 'good' ELSE 'warning' END
+  FROM e, z WHERE abs((l - pv) / abs(pv)) >= 0.08
+UNION ALL SELECT 'anomaly', strftime(k, '%Y-%m'), round(v, 4), CASE WHEN abs(dev) >= 3.5 THEN 'critical' ELSE 'warning' END FROM y WHERE abs(dev) >= 2.5
+UNION ALL SELECT 'concentration', member, share, 'warning' FROM s WHERE rank = 1 AND share >= 40
+UNION ALL SELECT 'leader', member, round(v, 4), 'good' FROM s WHERE rank = 1
+UNION ALL SELECT 'pareto', 'o_orderstatus', n, 'info' FROM (SELECT min(rank) FILTER (c >= 80) AS n, count(*) AS total
+  FROM (SELECT rank, sum(share) OVER (ORDER BY rank) AS c FROM s)) WHERE total > n""")
+def insights(spark: SparkSession, folder: str) -> DataFrame:
+    """Every rule but the projection, which has its own queries."""
+    found = rules.insights(_orders_with_count(spark, folder)).where("category <> 'forecast'")
+    return rounded(found.select("category", "subject", "metric", "severity"), 4)
+
+
+@query("insights_text")
+def insights_text(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.insights(_orders_with_count(spark, folder)).select("position", "severity", "title", "detail")
+
+
+@query("actions")
+def actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Recommended actions for line items, with a target in reach."""
+    return rounded(rules.actions(lineitem(spark, folder), "l_extendedprice", [
+        goals.Target("t1", "l_extendedprice", "year", "2001", 1e12)]))
+
+
+@query("actions_missing_values", f"""WITH {EVENTS}, n AS (SELECT count(*) AS n, count(*) - count(value) AS missing FROM ev)
+SELECT 'missing_values:value' AS id, 'medium' AS severity, missing::DOUBLE AS magnitude FROM n WHERE missing / n >= 0.05""")
+def actions_missing_values(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.actions(events(spark, folder), "value").where("kind = 'missing_values'").select(
+        "id", "severity", "magnitude")
+
+
+@query("fact_sheet", """
+WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1),
+r AS (SELECT v, lag(v) OVER w AS m1, lag(v, 12) OVER w AS m12, sum(v) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS q,
+  sum(v) OVER (w ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) AS q0, row_number() OVER (ORDER BY k DESC) AS age FROM m WINDOW w AS (ORDER BY k)),
+d AS (SELECT o_orderstatus AS member, sum(o_totalprice) AS v FROM orders GROUP BY 1),
+s AS (SELECT row_number() OVER (ORDER BY v DESC, member) AS rank, round(v / sum(v) OVER () * 100, 1) AS share FROM d)
+SELECT 'total' AS section, 'o_totalprice' AS name, round(sum(o_totalprice), 2) AS value FROM orders
+UNION ALL SELECT 'mom_change_pct', 'o_totalprice', round((v - m1) / abs(m1) * 100, 1) FROM r WHERE age = 1
+UNION ALL SELECT 'mom', 'o_totalprice', round((v - m1) / abs(m1) * 100, 1) FROM r WHERE age = 1
+UNION ALL SELECT 'qoq', 'o_totalprice', round((q - q0) / abs(q0) * 100, 1) FROM r WHERE age = 1
+UNION ALL SELECT 'yoy', 'o_totalprice', round((v - m12) / abs(m12) * 100, 1) FROM r WHERE age = 1
+UNION ALL SELECT 'top_n_for_80pct', 'o_orderstatus', min(rank) FILTER (c >= 80) FROM (SELECT rank, sum(share) OVER (ORDER BY rank) AS c FROM s)""")
+def fact_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(reports.fact_sheet(orders(spark, folder)))
+
+
+@query("report_facts")
+def report_facts(spark: SparkSession, folder: str) -> DataFrame:
+    return reports.report(sales(spark, folder), None, [goals.Target("t8", "o_totalprice", "year", "2001", 950_000_000.0)])
+
+
+@query("dashboard_blocks", """SELECT block FROM (VALUES ('kpis'), ('profile'), ('distributions'), ('filter_options'), ('trend'),
+  ('deltas'), ('growth'), ('moving_average'), ('anomalies'), ('forecasts'), ('breakdowns'), ('pareto'), ('correlations'),
+  ('treemap'), ('insights')) AS t(block), (SELECT count(*) AS n FROM lineitem) WHERE n > 0""")
+def dashboard_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of a dashboard that have at least a schema over these rows."""
+    ds = lineitem(spark, folder)
+    blocks = reports.dashboard(ds)
+    rows = ds.frame.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    return rows.select(F.explode(F.array(*[F.lit(b) for b in blocks])).alias("block"))
