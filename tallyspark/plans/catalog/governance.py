@@ -1 +1,196 @@
-"""To be filled."""
+"""Retention, subject access, erasure and snapshots."""
+
+from __future__ import annotations
+
+import datetime as dt
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.model import ColumnMeta, Dataset
+from tallyspark.operators import governance
+from tallyspark.operators.governance import Policy
+from tallyspark.plans.catalog.registry import query, rounded, table
+from tallyspark.sources import snapshots, tables
+
+NOW = dt.datetime(2024, 2, 1)
+POLICY = Policy(audit_days=20, archive_days=10, dataset_days=40)
+
+
+def _audit(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("ts", F.col("user_id").cast("string").alias("user_id"), F.col(
+        "event_type").alias("action"), F.col("props").alias("detail"))
+
+
+def _batches(spark: SparkSession, folder: str) -> DataFrame:
+    """A batch per user, as old as the user's first event; a dataset per nation-sized group."""
+    return table(spark, folder, "events").groupBy(F.col("user_id").alias("batch_id")).agg(
+        F.min("ts").alias("created_at"), F.min("event_type").alias("dataset_id"))
+
+
+def _archive(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select(F.col("user_id").alias("batch_id"), F.col("event_type").alias(
+        "dataset_id"), "value")
+
+
+def _datasets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").groupBy(F.col("event_type").alias("dataset_id")).agg(
+        F.min("ts").alias("ingested_at"))
+
+
+@query("retention_preview", """
+WITH b AS (SELECT user_id AS batch_id, min(ts) AS created_at FROM events GROUP BY 1)
+SELECT 'audit_entries' AS category, count(*) AS n_rows FROM events WHERE ts < TIMESTAMP '2024-02-01' - INTERVAL 20 DAY
+UNION ALL SELECT 'archived_rows', count(*) FROM events WHERE user_id IN (SELECT batch_id FROM b WHERE created_at < TIMESTAMP '2024-02-01' - INTERVAL 10 DAY)
+UNION ALL SELECT 'datasets', count(*) FROM (SELECT event_type, min(ts) AS t FROM events GROUP BY 1) WHERE t < TIMESTAMP '2024-02-01' - INTERVAL 40 DAY""")
+def retention_preview(spark: SparkSession, folder: str) -> DataFrame:
+    return governance.retention_preview(POLICY, NOW, *(f(spark, folder) for f in (_audit, _archive, _batches, _datasets)))
+
+
+@query("retention_by_workspace", """
+WITH p AS (SELECT DISTINCT user_id AS workspace_id, CASE WHEN user_id < 20 THEN 0 ELSE user_id END AS days FROM events)
+SELECT workspace_id, count(*) AS expired_rows FROM events JOIN p ON user_id = workspace_id
+WHERE days > 0 AND date_diff('day', ts::DATE, DATE '2024-02-01') > days GROUP BY 1""")
+def retention_by_workspace(spark: SparkSession, folder: str) -> DataFrame:
+    """Each workspace (here: user) under its own number of days; 0 keeps forever."""
+    rows = table(spark, folder, "events").withColumnRenamed("user_id", "workspace_id")
+    policies = rows.select("workspace_id").distinct().withColumn(
+        "days", F.when(F.col("workspace_id") < 20, 0).otherwise(F.col("workspace_id")))
+    return governance.retention_preview_by_workspace(rows, "ts", policies, NOW)
+
+
+@query("retention_sweep", """
+WITH b AS (SELECT user_id AS batch_id, min(ts) AS created_at FROM events GROUP BY 1),
+old AS (SELECT batch_id FROM b WHERE created_at < TIMESTAMP '2024-02-01' - INTERVAL 10 DAY)
+SELECT 'audit' AS table_name, count(*) + 1 AS n_rows FROM events WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 20 DAY
+UNION ALL SELECT 'archive', count(*) FROM events WHERE user_id NOT IN (SELECT batch_id FROM old)
+UNION ALL SELECT 'batches', count(*) FROM b UNION ALL SELECT 'datasets', count(DISTINCT event_type) FROM events
+UNION ALL SELECT 'chunks', count(*) FROM events""")
+def retention_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows left per table; the audit trail gains the sweep's own row."""
+    swept = governance.retention_sweep(POLICY, NOW, *(f(spark, folder) for f in (_audit, _archive, _batches, _datasets)),
+                                       {"chunks": _archive(spark, folder)})
+    out = None
+    for name, df in swept.items():
+        row = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("subject_export", """
+SELECT 'customer' AS table_name, count(*) AS n_rows, count(*) AS with_key FROM customer WHERE c_custkey = 17
+UNION ALL SELECT 'orders', count(*), count(*) FROM orders WHERE o_custkey = 17 HAVING count(*) > 0
+UNION ALL SELECT 'events', count(*), count(*) FROM events WHERE user_id = 17 HAVING count(*) > 0""")
+def subject_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Everything about one person, as JSON rows; counted here."""
+    rows = governance.export_subject({
+        "customer": (table(spark, folder, "customer"), "c_custkey"), "orders": (table(spark, folder, "orders"), "o_custkey"),
+        "events": (table(spark, folder, "events"), "user_id")}, 17)
+    return rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(
+        F.col("row_json").contains(":17")).alias("with_key"))
+
+
+def _workspace(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    ev = table(spark, folder, "events")
+    who = F.col("user_id").cast("string")
+    return {"users": ev.select(who.alias("user_id")).distinct(), "audit": _audit(spark, folder),
+            "alerts": ev.where("event_type = 'error'").select("event_id", who.alias("created_by")),
+            "reports": ev.groupBy("event_type").agg(F.sort_array(F.collect_set(
+                F.concat(F.lit("user"), who, F.lit("@example.com")))).alias("recipients"))}
+
+
+@query("member_erasure", """
+SELECT 'users' AS table_name, count(DISTINCT user_id) - 1 AS n_rows, 0 AS cleared FROM events
+UNION ALL SELECT 'audit', count(*), count(*) FILTER (user_id = 7) FROM events
+UNION ALL SELECT 'alerts', count(*), count(*) FILTER (user_id = 7) FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'reports', count(DISTINCT event_type), count(DISTINCT event_type) FILTER (user_id = 7) FROM events""")
+def member_erasure(spark: SparkSession, folder: str) -> DataFrame:
+    before = _workspace(spark, folder)
+    after = governance.erase_member(before, "7", "USER7@example.com")
+    n = F.count(F.lit(1)).alias("n_rows")
+    gone = F.count_if(F.size("recipients") < F.size("was")).alias("cleared")
+    mail = before["reports"].select("event_type", F.col("recipients").alias("was")).join(after["reports"], "event_type")
+    parts = {"users": after["users"].agg(n, F.lit(0).cast("long").alias("cleared")),
+             "audit": after["audit"].agg(n, F.count_if(F.col("user_id") == "erased").alias("cleared")),
+             "alerts": after["alerts"].agg(n, F.count_if(F.col("created_by").isNull()).alias("cleared")),
+             "reports": mail.agg(n, gone)}
+    out = None
+    for name, row in parts.items():
+        row = row.select(F.lit(name).alias("table_name"), "n_rows", "cleared")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("workspace_erasure", """SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders WHERE o_orderpriority <> '1-URGENT'
+UNION ALL SELECT 'events', count(*) FROM events WHERE event_type <> '1-URGENT'""")
+def workspace_erasure(spark: SparkSession, folder: str) -> DataFrame:
+    """A tenant's rows leave every table, and it is checked that none is left."""
+    tabs = {"orders": table(spark, folder, "orders").withColumnRenamed("o_orderpriority", "workspace_id"),
+            "events": table(spark, folder, "events").withColumnRenamed("event_type", "workspace_id")}
+    left = governance.erase_workspace(tabs, "1-URGENT")
+    governance.check_erased(left, "1-URGENT")
+    return governance.survivors(left, F.lit(True))
+
+
+# --------------------------------------------------------------- snapshots ---
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one of ``spark.checkpoint.dir``; where that
+    is unset, as in tests, below this machine's temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-")
+    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
+
+
+_NAMES = ("nation", "customer", "orders", "events")
+
+
+@query("snapshot_verify", " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, count(*) AS expected, count(*) AS found, true AS ok FROM {n}" for n in _NAMES))
+def snapshot_verify(spark: SparkSession, folder: str) -> DataFrame:
+    target = fresh_folder(spark)
+    snapshots.create(spark, {n: table(spark, folder, n) for n in _NAMES}, target)
+    return snapshots.verify(spark, target)
+
+
+@query("snapshot_restore", "SELECT o_orderstatus, count(*) AS n_rows, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1")
+def snapshot_restore(spark: SparkSession, folder: str) -> DataFrame:
+    source, target = fresh_folder(spark), fresh_folder(spark)
+    snapshots.create(spark, {"orders": table(spark, folder, "orders")}, source)
+    snapshots.restore(spark, source, target)
+    return rounded(spark.read.parquet(f"{target}/orders").groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("o_totalprice").alias("value")))
+
+
+@query("csv_round_trip", "SELECT c_mktsegment, count(*) AS n_rows, round(sum(c_acctbal), 2) AS value FROM customer GROUP BY 1")
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Export, read back with inferred types, aggregate."""
+
+    path = fresh_folder(spark)
+    df = table(spark, folder, "customer")
+    tables.write_csv(Dataset.open(df, [ColumnMeta(c, "ignored") for c in df.columns]), path)
+    return rounded(tables.read_csv(spark, path).groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("c_acctbal").alias("value")))
+
+
+@query("clean_column_names", "SELECT count(*) AS n_rows, count(DISTINCT c_custkey) AS customers FROM customer")
+def clean_column_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers with blanks, a leading digit and a repeat become usable names."""
+    path = fresh_folder(spark)
+    messy = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("Cust Key!"), F.col("c_name").alias("2nd name"), F.col("c_mktsegment").alias("Cust-Key"))
+    messy.write.option("header", True).csv(path)
+    df = tables.read_csv(spark, path)
+    return df.select("Cust_Key", "c_2nd_name", "Cust_Key_1").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("Cust_Key").alias("customers"))
+
+
+@query("table_refresh", "SELECT count(*) AS n_rows, 'second' AS batch FROM customer WHERE c_acctbal > 0")
+def table_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """A table is created from one snapshot of its source and replaced by the next."""
+    path = fresh_folder(spark)
+    df = table(spark, folder, "customer")
+    tables.create_table(df, path, "first")
+    snapshots.refresh(spark.read.parquet(path), df.where("c_acctbal > 0"), path, "second")
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"), F.max("_batch").alias("batch"))
