@@ -101,64 +101,59 @@ def terms(question: str) -> list[str]:
 def bm25(chunks: DataFrame, question: str, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
     """``score`` of the chunks that share a term with the question.
 
-    Two scans: one aggregate for document frequencies and the mean length, one
-    that scores.  Both work row by row on the terms of the question."""
+    A text is reduced to its counts of the question's terms before anything
+    moves, so what is shuffled grows with the matches and not with the texts."""
     asked = terms(question)
     words = chunks.select(key, text.tokens(F.col("text")).alias("w"))
     if not asked:
         return words.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
-    tf = [F.size(F.filter("hits", lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(asked)]
-    counted = words.select(key, F.size("w").alias("length"), F.filter("w", lambda w: w.isin(asked)).alias("hits")
-                           ).select(key, "length", *tf)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"),
-                        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
-    s = stats.select(F.struct("*")).scalar()
-    score = F.lit(0.0)
-    for i in range(len(asked)):
-        hit, df = F.col(f"tf{i}"), F.col("s")[f"df{i}"]
-        idf = F.log(1 + (F.col("s")["n"] - df + 0.5) / (df + 0.5))
-        long = k1 * (1 - b + b * F.col("length") / F.col("s")["mean"])
-        score = score + F.when(hit > 0, idf * hit * (k1 + 1) / (hit + long)).otherwise(F.lit(0.0))
-    matched = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(asked))))
-    return matched.withColumn("s", s).select(key, score.alias("score")).where("score > 0")
-
-
-def trigram_vector(body: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Hashed character trigrams as a sparse map bucket -> signed count.
+    hits = words.select(key, F.size("w").alias("length"), F.explode(F.filter("w", lambda w: w.isin(asked))).alias("term"))
+    tf = hits.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per term of the question
+    corpus = chunks.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.tokens(F.col("text")))).alias("mean")))
+    idf = F.log(1 + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    long = k1 * (1 - b + b * F.col("length") / F.col("s.mean"))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + long)
+    scored = tf.join(F.broadcast(df), "term").withColumn("s", corpus.scalar())
+    return scored.groupBy(key).agg(F.sum(part).alias("score")).where("score > 0")
+
+
+def trigram_votes(texts: DataFrame, key: str, body: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
+    """``key``, ``bucket``, ``sign`` of every character trigram of ``#word#``.
 
     The md5 of a trigram gives a bucket (its first four bytes, little-endian)
     and a sign (parity of the fifth)."""
-    plain = F.regexp_replace(F.lower(body), r"[^\p{L}\p{N}]", " ")
-    words = F.filter(F.split(plain, " +"), lambda w: F.length(w) > 0)
+    plain = F.regexp_replace(F.lower(F.col(body)), r"[^\p{L}\p{N}]", " ")
+    words = texts.select(key, F.explode(F.split(plain, " +")).alias("w")).where("w <> ''")
+    padded = F.concat(F.lit("#"), "w", F.lit("#"))
+    grams = words.select(key, F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3)))).alias("g"))
+    hashed = grams.select(key, F.md5(F.col("g").cast("binary")).alias("h"))
 
-    def grams(w: Column) -> Column:
-        padded = F.concat(F.lit("#"), w, F.lit("#"))
-        return F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(padded, i, F.lit(3)))
+    def digit(position: int) -> Column:
+        return F.instr(F.lit("0123456789abcdef"), F.substring("h", position, 1)) - 1
 
-    def signed(g: Column) -> Column:
-        h = F.md5(g.cast("binary"))
-        # little-endian value modulo 256 is its first byte; other sizes need the four
-        if dimensions == 256:
-            bucket = F.conv(F.substring(h, 1, 2), 16, 10).cast("int")
-        else:
-            swapped = F.concat(*[F.substring(h, p, 2) for p in (7, 5, 3, 1)])
-            bucket = (F.conv(swapped, 16, 10).cast("long") % dimensions).cast("int")
-        odd = F.conv(F.substring(h, 10, 1), 16, 10).cast("int") % 2
-        return F.struct(bucket.alias("bucket"), (1 - 2 * odd).alias("sign"))
+    def byte(number: int) -> Column:
+        return digit(2 * number - 1) * 16 + digit(2 * number)
 
-    return F.transform(F.flatten(F.transform(words, grams)), signed)
+    little_endian = byte(1).cast("long")
+    if dimensions != 256:  # modulo 256 the first byte is all there is
+        little_endian = sum((byte(n).cast("long") * 256 ** (n - 1) for n in (2, 3, 4)), little_endian)
+    return hashed.select(key, (little_endian % dimensions).cast("int").alias("bucket"),
+                         (1 - 2 * (digit(10) % 2)).alias("sign"))
 
 
 def embed(chunks: DataFrame, key: str = "chunk_id", body: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``key``, ``embedding``: dense, of unit length (all zero for an empty text).
+    """``key``, ``embedding``: dense, of unit length; a text without any letter
+    or digit has no row (its vector is zero and ranks nowhere).
 
     Votes are summed per (key, bucket) before they move, so a text of any length
     is at most ``dimensions`` rows in the shuffle."""
-    votes = chunks.select(key, F.inline_outer(trigram_vector(F.col(body), dimensions)))
-    sums = votes.groupBy(key, "bucket").agg(F.coalesce(F.sum("sign"), F.lit(0)).cast("double").alias("w"))
+    sums = trigram_votes(chunks, key, body, dimensions).groupBy(key, "bucket").agg(
+        F.sum("sign").cast("double").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    filled = F.filter(F.collect_list(F.struct("bucket", "w")), lambda e: e["bucket"].isNotNull())
-    sparse = sums.groupBy(key).agg(F.map_from_entries(filled).alias("m"), norm.alias("norm"))
+    sparse = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"),
+                                   norm.alias("norm"))
     slots = F.sequence(F.lit(0), F.lit(dimensions - 1))
     return sparse.select(key, F.transform(slots, lambda i: F.coalesce(ratio(
         F.try_element_at("m", i), F.nullif("norm", F.lit(0.0))), F.lit(0.0))).alias("embedding"))

@@ -1 +1,81 @@
-"""To be filled."""
+"""Streaming forms, run over the events as a stream that ends."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyspark.plans.catalog.governance import fresh_folder
+from tallyspark.plans.catalog.registry import query, rounded, table
+from tallyspark.streaming import jobs
+
+
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = table(spark, folder, "events").schema
+    return jobs.read_files(spark, folder, schema, "events.parquet")
+
+
+def _finished(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
+    """Run a stream to its end into Parquet files and read them; in complete
+    mode each batch replaces the last."""
+    out, state = fresh_folder(spark), fresh_folder(spark)
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        job = writer.format("parquet").option("path", out).start()
+    else:
+        job = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    job.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def _trend_sql(key: str) -> str:
+    return f"""SELECT strftime({key}, '%Y-%m-%d') AS period_key, event_type, round(sum(value), 2) AS value, count(*) AS n_rows
+FROM events GROUP BY {key}, 2"""
+
+
+@query("stream_trend_day", _trend_sql("date_trunc('day', ts)"))
+def stream_trend_day(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_finished(spark, jobs.trend(_stream(spark, folder), "ts", "value", "day", keys=["event_type"]), "complete"))
+
+
+@query("stream_trend_week", _trend_sql("date_trunc('week', ts)"))
+def stream_trend_week(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_finished(spark, jobs.trend(_stream(spark, folder), "ts", "value", "week", keys=["event_type"]), "complete"))
+
+
+@query("stream_trend_month", _trend_sql("date_trunc('month', ts)"))
+def stream_trend_month(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(_finished(spark, jobs.trend(_stream(spark, folder), "ts", "value", "month", keys=["event_type"]), "complete"))
+
+
+@query("stream_append", "SELECT 'live' AS _batch, count(*) AS n_rows, count(DISTINCT event_id) AS ids, round(sum(value), 2) AS value FROM events")
+def stream_append(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event arrives twice and is stored once."""
+    twice = _stream(spark, folder).unionByName(_stream(spark, folder))
+    out = fresh_folder(spark)
+    jobs.append_to(jobs.without_duplicates(twice, ["event_id"], "ts", "60 days"), out, fresh_folder(spark), "live").awaitTermination()
+    return rounded(spark.read.parquet(out).groupBy("_batch").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("ids"), F.sum("value").alias("value")))
+
+
+@query("stream_alerts", """
+WITH h AS (SELECT event_type, date_trunc('hour', ts) AS k, sum(value) AS v FROM events GROUP BY 1, 2),
+s AS (SELECT *, CASE WHEN v > 50 THEN 'firing' ELSE 'ok' END AS state FROM h
+  WHERE k + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events))
+SELECT event_type || ' above 50' AS alert_id, strftime(k + INTERVAL 1 HOUR, '%Y-%m-%d %H') AS at, round(v, 2) AS value, state,
+  state = 'firing' AND coalesce(lag(state) OVER (PARTITION BY event_type ORDER BY k), 'pending') <> 'firing' AS fired FROM s""")
+def stream_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """Hourly values per event type against a threshold; hours close with the watermark."""
+    rows = _stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
+    hourly = rows.groupBy(F.window("ts", "1 hour").alias("w"), F.col("event_type").alias("measure")).agg(
+        F.sum("value").alias("value")).select("measure", F.col("w.end").alias("at"), "value")
+    rules = table(spark, folder, "events").select(F.col("event_type").alias("measure")).distinct().select(
+        F.concat("measure", F.lit(" above 50")).alias("alert_id"), "measure", F.lit("gt").alias("op"),
+        F.lit(50.0).alias("threshold"))
+    out = fresh_folder(spark)
+    jobs.follow_alerts(hourly, rules, out, fresh_folder(spark), fresh_folder(spark)).awaitTermination()
+    states = spark.read.schema(jobs.ALERT_OUTPUT).parquet(f"{out}/batch=*")
+    return rounded(states.withColumn("at", F.date_format("at", "yyyy-MM-dd HH")))
+
+

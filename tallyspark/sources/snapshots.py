@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.model import AnalysisError
+from tallyspark.model import BATCH_COLUMN, AnalysisError
 
 MANIFEST = "_manifest"
 MANIFEST_SCHEMA = "table_name string, n_rows long"
@@ -78,4 +78,4 @@ def refresh(table: DataFrame, incoming: DataFrame, path: str, batch_id: str) ->
     """Replace all rows of a table by a new full snapshot of its source."""
     if incoming.isEmpty():
         raise AnalysisError("no data rows")
-    incoming.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(path)
+    incoming.withColumn(BATCH_COLUMN, F.lit(batch_id)).write.mode("overwrite").partitionBy(BATCH_COLUMN).parquet(path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyspark.functions import periods
 from tallyspark.functions.numbers import number
@@ -60,29 +58,39 @@ def trend(stream: DataFrame, ts: str, measure: str, grain: str = "day", delay: s
     return rows.groupBy(periods.key(F.col(ts), grain).alias("period_key"), *keys).agg(*value)
 
 
-ALERT_OUTPUT = "alert_id string, at timestamp, value double, state string, fired boolean"
-
-
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One alert's evaluations in order; remembers the last state between batches."""
-    rows = pd.concat(list(batches)).sort_values("at")
-    now = rows["over"].map({True: "firing", False: "ok"}).fillna("pending")
-    before = now.shift(1, fill_value=state.get[0] if state.exists else "pending")
-    state.update((now.iloc[-1],))
-    yield pd.DataFrame({"alert_id": key[0], "at": rows["at"], "value": rows["value"], "state": now,
-                        "fired": (now == "firing") & (before != "firing")})
-
-
-def alerts(values: DataFrame, rules: DataFrame) -> DataFrame:
+def follow_alerts(values: DataFrame, rules: DataFrame, out: str, states: str, checkpoint: str) -> StreamingQuery:
     """States of threshold alerts over a stream of evaluations (``measure``,
     ``at``, ``value``); an alert fires on entering ``firing`` only.
 
-    ``rules`` (``alert_id``, ``measure``, ``op``, ``threshold``) is the static registry.  What reaches
-    an alert's state is one row per evaluation, so values must be aggregated first."""
+    ``rules`` (``alert_id``, ``measure``, ``op``, ``threshold``) is the static
+    registry.  Each batch reads the last states left by the batch before and
+    writes its own under its number, so a batch that is run again after a
+    failure gives the same files.  Values should be aggregated first: what
+    reaches an alert is one row per evaluation."""
     v, t = F.col("value"), F.col("threshold")
     over = (F.when(F.col("op") == "lt", v < t).when(F.col("op") == "lte", v <= t)
             .when(F.col("op") == "gt", v > t).when(F.col("op") == "gte", v >= t))
+    state = F.when(over.isNull(), "pending").when(over, "firing").otherwise("ok")
     watched = values.join(rules, "measure").select("alert_id", F.col("at").cast("timestamp").alias("at"), "value",
-                                                   over.alias("over"))
-    return watched.groupBy("alert_id").applyInPandasWithState(
-        _follow, ALERT_OUTPUT, "last_state string", "append", GroupStateTimeout.NoTimeout)
+                                                   state.alias("state"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.createDataFrame([], "alert_id string, last_state string")
+        if number > 0:
+            before = spark.read.schema(before.schema).parquet(f"{states}/{number - 1}")
+        order = Window.partitionBy("alert_id").orderBy("at")
+        rows = batch.withColumn("_before", F.lag("state").over(order)).join(before, "alert_id", "left")
+        was = F.coalesce("_before", "last_state", F.lit("pending"))
+        rows.select("alert_id", "at", "value", "state", ((F.col("state") == "firing") & (was != "firing")).alias(
+            "fired")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        written = spark.read.schema("alert_id string, at timestamp, state string").parquet(f"{out}/batch={number}")
+        newest = written.groupBy("alert_id").agg(F.max_by("state", "at").alias("last_state"))
+        kept = before.join(newest, "alert_id", "left_anti")
+        newest.unionByName(kept).write.mode("overwrite").parquet(f"{states}/{number}")
+
+    return (watched.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(step).start())
+
+
+ALERT_OUTPUT = "alert_id string, at timestamp, value double, state string, fired boolean"
