@@ -1,6 +1,6 @@
 """Exact order statistics and top-k folds that never gather a group in one task.
 
-Quantiles are exact and move almost no data: a first pass sketches the value
+Quantiles are exact and move almost no data: a first pass sketches the values'
 range, a second counts rows per (keys, bucket) with map-side combining, and a
 third keeps only the rows of the one or two buckets that hold a wanted rank.
 The sketch balances the buckets; it cannot change the answer.
@@ -9,6 +9,7 @@ The sketch balances the buckets; it cannot change the answer.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,14 +32,36 @@ def _bucket(value: Column, low: float, mid_low: float, mid_high: float, high: fl
             .otherwise(_TAIL_BUCKETS + _BUCKETS + 4 + F.width_bucket(value, F.lit(mid_high), F.lit(high), tail)))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], measures: Sequence[str], probs: Sequence[float]) -> DataFrame:
+@dataclass(frozen=True)
+class Sketch:
+    """Bucket edges per measure, and roughly how many groups the keys make."""
+
+    edges: dict[str, list[float | None]]
+    groups: int
+
+
+def sketch(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Sketch:
+    """One aggregate with a bounded buffer; one row comes back."""
+    parts = []
+    for m in measures:
+        v = number(m)
+        mid = F.percentile_approx(v, [0.01, 0.99], 200)
+        parts.append(F.array(F.min(v), F.get(mid, F.lit(0)), F.get(mid, F.lit(1)), F.max(v)).alias(m))
+    size = F.approx_count_distinct(F.xxhash64(*keys)) if keys else F.lit(1)
+    row = df.agg(*parts, size.alias("_groups")).first()
+    return Sketch({m: row[m] for m in measures}, row["_groups"])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], measures: Sequence[str], probs: Sequence[float],
+              known: Sketch | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles of each measure within each key.
 
     Columns: keys, ``measure``, ``n`` (values counted) and ``q0``, ``q1``, ...
+    ``known`` saves a pass when a sketch of these rows, or of rows that include them, exists.
     """
     pos = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
     ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in pos])))
-    picked = values_at(df, keys, measures, ranks)
+    picked = values_at(df, keys, measures, ranks, known)
     # at most two values per probability and group
     found = picked.groupBy(*keys, "measure", "n").agg(
         F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("v"))
@@ -49,18 +72,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], measures: Sequence[str], probs
     return found.select(*keys, "measure", "n", *out)
 
 
-def values_at(df: DataFrame, keys: Sequence[str], measures: Sequence[str], ranks: Column) -> DataFrame:
+def values_at(df: DataFrame, keys: Sequence[str], measures: Sequence[str], ranks: Column,
+              known: Sketch | None = None) -> DataFrame:
     """keys, ``measure``, ``n``, ``rank``, ``value`` for the zero-based ``ranks``,
     an array expression over ``n``, the group's number of values."""
     by = [*keys, "measure"]
-    sketch = [F.array(F.min(v), F.get(mid, F.lit(0)), F.get(mid, F.lit(1)), F.max(v)).alias(m) for m in measures
-              for v in [number(m)] for mid in [F.percentile_approx(v, [0.01, 0.99], 500)]]
-    size = F.approx_count_distinct(F.xxhash64(*keys)) if keys else F.lit(1)
-    # one row: the edges of each measure, and roughly how many groups there are
-    known = df.agg(*sketch, size.alias("_groups")).first()
-    parts = [F.struct(F.lit(m).alias("measure"), number(m).alias("value"),
-                      (F.lit(0) if known[m][0] is None else _bucket(number(m), *known[m])).cast("int").alias("bucket"))
-             for m in measures]
+    known = known or sketch(df, keys, measures)
+    parts = [F.struct(F.lit(m).alias("measure"), number(m).alias("value"), (
+        F.lit(0) if known.edges[m][0] is None else _bucket(number(m), *known.edges[m])).cast("int").alias("bucket"))
+        for m in measures]
     long = df.select(*keys, F.inline(F.array(*parts))).where("value is not null")
 
     hist = long.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("held"))
@@ -72,7 +92,7 @@ def values_at(df: DataFrame, keys: Sequence[str], measures: Sequence[str], ranks
                   r < F.col("below") + F.col("held"))))
               .where(F.size("ranks") > 0).drop("held"))
     right = wanted.select(*[F.col(c).alias(f"_{c}") for c in [*by, "bucket"]], "below", "n", "ranks")
-    if known["_groups"] <= _BROADCAST_GROUPS:
+    if known.groups <= _BROADCAST_GROUPS:
         right = F.broadcast(right)
     same = F.col("bucket") == F.col("_bucket")
     for c in by:

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,59 +107,60 @@ def bm25(chunks: DataFrame, question: str, key: str = "chunk_id", k1: float = K1
     A text is reduced to its counts of the question's terms before anything
     moves, so what is shuffled grows with the matches and not with the texts."""
     asked = terms(question)
-    words = chunks.select(key, text.tokens(F.col("text")).alias("w"))
+    body = F.lower("text")
     if not asked:
-        return words.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
-    hits = words.select(key, F.size("w").alias("length"), F.explode(F.filter("w", lambda w: w.isin(asked))).alias("term"))
+        return chunks.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    edge = text.TOKEN[:-1]
+    found = F.regexp_extract_all(body, F.lit(f"(?<!{edge})(?:{'|'.join(asked)})(?!{edge})"), F.lit(0))
+    # every text also holds the empty term once: it counts texts and their lengths
+    reduced = chunks.select(key, F.regexp_count(body, F.lit(text.TOKEN)).alias("length"),
+                            F.concat(found, F.array(F.lit(""))).alias("found"))
+    hits = reduced.select(key, "length", F.explode_outer("found").alias("term"))
     tf = hits.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per term of the question
-    corpus = chunks.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg(F.size(text.tokens(F.col("text")))).alias("mean")))
+    once = F.col("term") == ""
+    # conditions inside the aggregates, so that all three readers share one shuffle of tf
+    corpus = tf.agg(F.struct(F.count_if(once).alias("n"), F.avg(F.when(once, F.col("length"))).alias("mean")))
     idf = F.log(1 + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     long = k1 * (1 - b + b * F.col("length") / F.col("s.mean"))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + long)
+    part = F.when(~once, idf * F.col("tf") * (k1 + 1) / (F.col("tf") + long)).otherwise(F.lit(0.0))
     scored = tf.join(F.broadcast(df), "term").withColumn("s", corpus.scalar())
     return scored.groupBy(key).agg(F.sum(part).alias("score")).where("score > 0")
 
 
-def trigram_votes(texts: DataFrame, key: str, body: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``key``, ``bucket``, ``sign`` of every character trigram of ``#word#``.
-
-    The md5 of a trigram gives a bucket (its first four bytes, little-endian)
-    and a sign (parity of the fifth)."""
-    plain = F.regexp_replace(F.lower(F.col(body)), r"[^\p{L}\p{N}]", " ")
-    words = texts.select(key, F.explode(F.split(plain, " +")).alias("w")).where("w <> ''")
-    padded = F.concat(F.lit("#"), "w", F.lit("#"))
-    grams = words.select(key, F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3)))).alias("g"))
-    hashed = grams.select(key, F.md5(F.col("g").cast("binary")).alias("h"))
+def embed(chunks: DataFrame, key: str = "chunk_id", body: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
+    """``key``, ``embedding``: hashed character trigrams of ``#word#``, of unit
+    length (all zero for a text without letters or digits).  The md5 of a trigram
+    gives its bucket (first four bytes, little-endian) and sign (parity of the fifth).
 
-    def digit(position: int) -> Column:
-        return F.instr(F.lit("0123456789abcdef"), F.substring("h", position, 1)) - 1
+    A Pandas UDF: trigrams repeat, and remembering their hashes beats computing
+    md5 for each of them in the JVM several times over.  Nothing is shuffled."""
 
-    def byte(number: int) -> Column:
-        return digit(2 * number - 1) * 16 + digit(2 * number)
+    @F.pandas_udf("array<double>")
+    def vectors(lines: pd.Series) -> pd.Series:
+        seen: dict[str, int] = {}
 
-    little_endian = byte(1).cast("long")
-    if dimensions != 256:  # modulo 256 the first byte is all there is
-        little_endian = sum((byte(n).cast("long") * 256 ** (n - 1) for n in (2, 3, 4)), little_endian)
-    return hashed.select(key, (little_endian % dimensions).cast("int").alias("bucket"),
-                         (1 - 2 * (digit(10) % 2)).alias("sign"))
+        def votes(word: str) -> list[int]:
+            padded, codes = f"#{word}#", []
+            for i in range(len(word)):
+                gram = padded[i:i + 3]
+                code = seen.get(gram)
+                if code is None:
+                    digest = md5(gram.encode(), usedforsecurity=False).digest()
+                    code = seen[gram] = int.from_bytes(digest[:4], "little") % dimensions * 2 + (digest[4] & 1)
+                codes.append(code)
+            return codes
 
+        def unit(line: str) -> np.ndarray:
+            codes = np.array([c for word in line.split() for c in votes(word)], dtype=np.int64)
+            v = np.bincount(codes >> 1, weights=1.0 - 2.0 * (codes & 1), minlength=dimensions)
+            return v / (np.linalg.norm(v) or 1.0)
 
-def embed(chunks: DataFrame, key: str = "chunk_id", body: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``key``, ``embedding``: dense, of unit length; a text without any letter
-    or digit has no row (its vector is zero and ranks nowhere).
+        return lines.map(unit)
 
-    Votes are summed per (key, bucket) before they move, so a text of any length
-    is at most ``dimensions`` rows in the shuffle."""
-    sums = trigram_votes(chunks, key, body, dimensions).groupBy(key, "bucket").agg(
-        F.sum("sign").cast("double").alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    sparse = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"),
-                                   norm.alias("norm"))
-    slots = F.sequence(F.lit(0), F.lit(dimensions - 1))
-    return sparse.select(key, F.transform(slots, lambda i: F.coalesce(ratio(
-        F.try_element_at("m", i), F.nullif("norm", F.lit(0.0))), F.lit(0.0))).alias("embedding"))
+    plain = F.regexp_replace(F.lower(F.coalesce(F.col(body), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    # marked non-deterministic so that filters and projections above do not repeat the call
+    return chunks.select(key, vectors.asNondeterministic()(plain).alias("embedding"))
 
 
 def missing_embeddings(chunks: DataFrame, embedded: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -195,13 +199,20 @@ def top_k(scores: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame
 
 
 def hybrid(word_scores: DataFrame, vector_scores: DataFrame, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
-    """Half words, half vectors, after bringing both to 0..1."""
-    w = normalized(word_scores, key).withColumnRenamed("score", "word_score")
-    v = normalized(vector_scores, key).withColumnRenamed("score", "vector_score")
-    both = w.join(v, key, "full_outer").select(
-        key, F.coalesce("word_score", F.lit(0.0)).alias("word_score"),
-        F.coalesce("vector_score", F.lit(0.0)).alias("vector_score"))
-    return top_k(both.withColumn("score", 0.5 * F.col("word_score") + 0.5 * F.col("vector_score")), k, key)
+    """Half words, half vectors, after bringing both to 0..1.
+
+    The ends of both scales are taken from the joined scores: the subquery
+    shares the join's shuffles, so that no text is scored twice."""
+    both = word_scores.select(key, F.col("score").alias("w")).join(
+        vector_scores.select(key, F.col("score").alias("v")), key, "full_outer")
+    ends = both.agg(F.struct(*[f(c).alias(f"{c}_{n}") for c in "wv" for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
+
+    def scaled(c: str) -> Column:
+        lo, hi = F.col(f"e.{c}_lo"), F.col(f"e.{c}_hi")
+        return F.when(F.col(c).isNull(), 0.0).otherwise(F.coalesce(ratio(F.col(c) - lo, hi - lo), F.lit(1.0)))
+
+    scores = both.withColumn("e", ends).select(key, scaled("w").alias("word_score"), scaled("v").alias("vector_score"))
+    return top_k(scores.withColumn("score", 0.5 * F.col("word_score") + 0.5 * F.col("vector_score")), k, key)
 
 
 # -------------------------------------------------------- offline answers ---

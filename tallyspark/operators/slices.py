@@ -29,12 +29,13 @@ def aggregate(measure: str | None, agg: str) -> Column:
     return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[agg](number(measure))
 
 
-def value_by(df: DataFrame, keys: Sequence[str], measure: str | None, agg: str) -> DataFrame:
+def value_by(df: DataFrame, keys: Sequence[str], measure: str | None, agg: str,
+             known: ranking.Sketch | None = None) -> DataFrame:
     """keys, ``value``, ``n_rows`` for any aggregation."""
     n_rows = F.count(F.lit(1)).alias("n_rows")
     if check_aggregation(agg) != "median":
         return df.groupBy(*keys).agg(aggregate(measure, agg).alias("value"), n_rows)
-    middle = ranking.quantiles(df, keys, [measure], [0.5]).select(*keys, F.col("q0").alias("value"))
+    middle = ranking.quantiles(df, keys, [measure], [0.5], known).select(*keys, F.col("q0").alias("value"))
     sizes = df.groupBy(*keys).agg(n_rows)
     if not keys:
         return sizes.select(middle.scalar().alias("value"), "n_rows")
@@ -147,11 +148,8 @@ def contributors(ds: Dataset, measure: str | None = None, agg: str = "sum", limi
     if not dims:
         raise AnalysisError("no dimension left to split by")
     if agg == "median":
-        parts = [breakdown(ds, d, measure, agg, limit) for d in dims]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        # not rebuilt from parts: the rows of the tail are ranked anew
+        return _with_share(ds, _top_and_tail(ds, dims, measure, agg, limit), measure, agg)
     v = number(measure) if measure else F.lit(1.0)
     partials = [F.count(F.lit(1)).alias("n_rows"), F.sum(v).alias("s"), F.count(v).alias("c"), F.min(v).alias("lo"),
                 F.max(v).alias("hi")]
@@ -178,21 +176,26 @@ def _with_share(ds: Dataset, folded: DataFrame, measure: str | None, agg: str) -
 
 
 def breakdown(ds: Dataset, dimension: str, measure: str | None = None, agg: str = "sum", limit: int = 50) -> DataFrame:
-    """One dimension, ranked, the tail re-aggregated from rows where it must be."""
+    """One dimension, ranked, the tail re-aggregated from rows."""
     measure = None if check_aggregation(agg) == "count" else ds.need_measure(measure)
-    dimension = ds.need_dimension(dimension)
     limit = max(1, min(int(limit), BREAKDOWN_MAX))
-    rows = ds.frame.where(F.col(dimension).isNotNull()).withColumn("member", F.col(dimension).cast("string"))
-    groups = value_by(rows, ["member"], measure, agg)
-    top = groups.orderBy(*_order()).limit(limit)
-    shown = top.select(F.col("member").alias("_member"))  # at most BREAKDOWN_MAX rows
-    tail_rows = rows.join(F.broadcast(shown), F.col("member") == F.col("_member"), "left_anti")
-    tail = value_by(tail_rows, [], measure, agg).where("n_rows > 0").withColumn(
-        "folded", tail_rows.agg(F.count_distinct("member")).scalar())
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*_order()))).withColumn(
-        "folded", F.lit(0).cast("long"))
-    both = ranked.unionByName(tail, allowMissingColumns=True).withColumn("dimension", F.lit(dimension))
-    return _with_share(ds, both, measure, agg)
+    return _with_share(ds, _top_and_tail(ds, [ds.need_dimension(dimension)], measure, agg, limit), measure, agg)
+
+
+def _top_and_tail(ds: Dataset, dims: Sequence[str], measure: str | None, agg: str, limit: int) -> DataFrame:
+    by = ["dimension"]
+    pairs = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("member")) for d in dims]
+    rows = ds.frame.select(*([measure] if measure else []), F.inline(F.array(*pairs))).where("member is not null")
+    known = ranking.sketch(rows, [*by, "member"], [measure]) if agg == "median" else None
+    groups = value_by(rows, [*by, "member"], measure, agg, known)
+    top = groups.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*_order()))).where(
+        F.col("rank") <= limit)
+    shown = top.select("dimension", "member")  # at most `limit` rows per dimension of the schema
+    tail_rows = rows.join(F.broadcast(shown), ["dimension", "member"], "left_anti")
+    few = ranking.Sketch(known.edges, len(dims)) if known else None
+    tail = value_by(tail_rows, by, measure, agg, few)
+    held = groups.groupBy(*by).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("folded"))
+    return top.withColumn("folded", F.lit(0).cast("long")).unionByName(tail.join(held, by), allowMissingColumns=True)
 
 
 # -------------------------------------------------------------- records ---

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text
 from tallyspark.operators import retrieval
 from tallyspark.plans.catalog.registry import query, rounded, table
+from tallyspark.sources.tables import spread
 
 QUESTION = "What is there in the nation, and who does the leading thing?"
 _TERMS = "[" + ", ".join(f"'{t}'" for t in retrieval.terms(QUESTION)) + "]"
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def _chunks_sql(source: str, keys: str) -> str:

@@ -30,6 +30,13 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
                         F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than there are cores, dealt out to all of
+    them: worth it before heavy work per row, and never the case for large inputs."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def create_table(df: DataFrame, path: str, batch_id: str) -> DataFrame:
     """First load of a table: clean names, a provenance column, and at least one row."""
     tagged = df.toDF(*clean_names(df.columns)).withColumn(BATCH_COLUMN, F.lit(batch_id))
