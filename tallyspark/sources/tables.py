@@ -27,7 +27,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     Bytes that are not UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.lit("document").alias("locator"),
-                        F.decode(F.col("content"), F.lit("UTF-8")).alias("text"))
+                        F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def spread(scan: DataFrame) -> DataFrame:
