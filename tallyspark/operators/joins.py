@@ -26,9 +26,10 @@ def join(left: Dataset, right: Dataset, left_key: str, right_key: str, how: str
     slug = clean_name(right.name) or "right"
     others = [F.col(f"r.{c}").alias(clean_name(f"{slug}_{c}") if c in taken else c)
               for c in right.user_columns if c != right_key]
-    on = F.col(f"l.{left_key}") == F.col(f"r.{right_key}").try_cast(left.frame.schema[left_key].dataType)
-    if left.frame.schema[left_key].dataType == right.frame.schema[right_key].dataType:
-        on = F.col(f"l.{left_key}") == F.col(f"r.{right_key}")
+    theirs, wanted = F.col(f"r.{right_key}"), left.frame.schema[left_key].dataType
+    if right.frame.schema[right_key].dataType != wanted:
+        theirs = theirs.try_cast(wanted)
+    on = F.col(f"l.{left_key}") == theirs
     return left.frame.alias("l").join(right.frame.alias("r"), on, how).select(
         *[F.col(f"l.{c}") for c in left.user_columns], *others)
 

@@ -92,13 +92,17 @@ def values_at(df: DataFrame, keys: Sequence[str], measures: Sequence[str], ranks
                   r < F.col("below") + F.col("held"))))
               .where(F.size("ranks") > 0).drop("held"))
     right = wanted.select(*[F.col(c).alias(f"_{c}") for c in [*by, "bucket"]], "below", "n", "ranks")
-    if known.groups <= _BROADCAST_GROUPS:
-        right = F.broadcast(right)
     same = F.col("bucket") == F.col("_bucket")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    inside = long.join(right, same).groupBy(*by, "bucket", "below", "n", "ranks", "value").agg(
-        F.count(F.lit(1)).alias("copies"))
+    held = [*by, "bucket", "value"]
+    if known.groups <= _BROADCAST_GROUPS:
+        # few groups by measure: the rows are filtered where they lie
+        inside = long.join(F.broadcast(right), same).groupBy(*held, "below", "n", "ranks").agg(
+            F.count(F.lit(1)).alias("copies"))
+    else:
+        # equal values become one row before the shuffled join, however hot they are
+        inside = long.groupBy(*held).agg(F.count(F.lit(1)).alias("copies")).join(right, same)
     before = Window.partitionBy(*by, "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     placed = inside.withColumn("start", F.col("below") + F.coalesce(F.sum("copies").over(before), F.lit(0)))
     return placed.withColumn("rank", F.explode(F.filter("ranks", lambda r: (r >= F.col("start")) & (

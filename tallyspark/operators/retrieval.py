@@ -22,6 +22,7 @@ CHUNK_CHARS, CHUNK_OVERLAP, CHUNK_MIN = 1200, 200, 20
 TOP_K, WHOLE_CORPUS_CHARS = 8, 300_000
 K1, B = 1.5, 0.75
 DIMENSIONS = 256
+_UNITS_PER_BLOCK = 4096
 SNIPPET = 220
 
 
@@ -62,15 +63,23 @@ def _pieces(body: Column, size: int, overlap: int, least: int) -> Column:
 def chunk(units: DataFrame, dataset: str = "dataset_id", order: str = "unit", locator: str = "locator",
           body: str = "text", size: int = CHUNK_CHARS, overlap: int = CHUNK_OVERLAP, least: int = CHUNK_MIN
           ) -> DataFrame:
-    """Chunks of every unit (page, file, turn), numbered densely within a document.
+    """Chunks of every unit (page, file, turn), numbered densely within a document
+    by the unit's number, a column of whole numbers.
 
-    Positions need the number of chunks of earlier units only, so the text
-    itself is never sorted by document: a document with most of the corpus does
-    not meet in one task."""
+    Positions need only the number of chunks of earlier units, so the text is
+    never sorted by document: a document with most of the corpus does not meet
+    in one task."""
     cut = units.withColumn("_pieces", _pieces(F.col(body), size, overlap, least))
-    counts = cut.groupBy(dataset, order).agg(F.sum(F.size("_pieces")).alias("held"))
-    before = Window.partitionBy(dataset).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(dataset, order, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    block = F.floor(F.col(order) / _UNITS_PER_BLOCK).alias("_block")
+    counts = cut.groupBy(dataset, block, order).agg(F.sum(F.size("_pieces")).alias("held"))
+    # running sums in two levels: over the blocks of a document, then within a block
+    ahead = Window.unboundedPreceding, -1
+    blocks = counts.groupBy(dataset, "_block").agg(F.sum("held").alias("held")).select(
+        dataset, "_block", F.coalesce(F.sum("held").over(Window.partitionBy(dataset).orderBy("_block").rowsBetween(
+            *ahead)), F.lit(0)).alias("base"))
+    within = Window.partitionBy(dataset, "_block").orderBy(order).rowsBetween(*ahead)
+    starts = counts.join(blocks, [dataset, "_block"]).select(
+        dataset, order, (F.col("base") + F.coalesce(F.sum("held").over(within), F.lit(0))).alias("start"))
     placed = cut.join(starts, [dataset, order]).select(
         F.col(dataset).cast("string").alias("dataset_id"), F.col(locator).alias("locator"), "start",
         F.posexplode("_pieces").alias("piece", "text"))
@@ -262,15 +271,15 @@ def citation_gate(claims: DataFrame, supplied: DataFrame, key: str = "chunk_id")
 
 
 def number_gate(claims: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Every claim with the numerals its own cited chunks do not contain.
-
-    Only (claim, numeral) pairs travel: each cited chunk is reduced to its distinct numerals first."""
-    wanted = claims.select("claim_id", F.explode(text.numerals(F.col("text"))).alias("raw")).select(
-        "claim_id", "raw", text.canonical_number(F.col("raw")).alias("number")).distinct()
-    cited = claims.select("claim_id", F.explode("evidence").alias(key)).distinct()
-    present = cited.join(chunks.select(key, F.explode(text.numerals(F.col("text"))).alias("n")).select(
-        key, text.canonical_number(F.col("n")).alias("number")).distinct(), key).select("claim_id", "number").distinct()
-    bad = wanted.join(present, ["claim_id", "number"], "left_anti").groupBy("claim_id").agg(
+    """Every claim with the numerals that none of its own cited chunks contains."""
+    said = claims.select("claim_id", "evidence", F.explode(F.array_distinct(text.numerals(F.col("text")))).alias("raw"))
+    wanted = said.select("claim_id", "raw", text.canonical_number(F.col("raw")).alias("number"),
+                         F.explode_outer(F.array_distinct("evidence")).alias(key))
+    present = chunks.select(key, F.explode(F.array_distinct(text.numerals(F.col("text")))).alias("n")).select(
+        key, text.canonical_number(F.col("n")).alias("number")).distinct().withColumn("hit", F.lit(1))
+    # joined on chunk and number: a chunk cited by many claims does not multiply its numerals with them
+    checked = wanted.join(present, [key, "number"], "left").groupBy("claim_id", "raw").agg(F.count("hit").alias("hits"))
+    bad = checked.where("hits = 0").groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("raw")).alias("unsupported"))
     return claims.join(bad, "claim_id", "left").select(
         "claim_id", F.coalesce("n", F.lit(0)).alias("unsupported_count"), F.col("n").isNull().alias("passed"),

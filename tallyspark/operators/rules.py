@@ -45,14 +45,17 @@ def _insight(df: DataFrame, severity: Column | str, category: str, subject: Colu
 
 def insights(ds: Dataset, measure: str | None = None, monthly: DataFrame | None = None,
              shares: DataFrame | None = None) -> DataFrame:
-    """What stands out in a slice, most severe first by ``position``."""
+    """What stands out in a slice, most severe first by ``position``.
+
+    ``monthly`` and ``shares`` may come from a caller that has them; otherwise
+    these small aggregates are kept, since several rules read them."""
     pm = ds.need_measure(measure)
     kinds, label = ds.measures, _title(pm)
     kind = kinds[pm]
     rules: list[DataFrame] = []
     say = F.concat
     if ds.date_column:
-        monthly = overview.monthly_series(ds) if monthly is None else monthly
+        monthly = overview.monthly_series(ds).persist() if monthly is None else monthly
         own = monthly.where(F.col("measure") == pm)
         order = Window.partitionBy("measure").orderBy("period_key")
         ends = own.withColumn("before", F.lag("value").over(order)).withColumn(
@@ -120,7 +123,7 @@ def insights(ds: Dataset, measure: str | None = None, monthly: DataFrame | None
                 F.format_string(f"{_title(prof)} is %.1f%% of {_title(rev)}.", margin)))
     if ds.dimensions:
         dim = next(iter(ds.dimensions))
-        shares = overview.breakdown_shares(ds, pm) if shares is None else shares
+        shares = overview.breakdown_shares(ds, pm).persist() if shares is None else shares
         mine = shares.where(F.col("dimension") == dim)
         members = mine.agg(F.count_if(F.col("rank").isNotNull())).scalar()
         lead = mine.where("rank = 1")

@@ -110,10 +110,17 @@ def latest_period(ds: Dataset, grain: str = "month") -> DataFrame:
 
 
 def with_spine(df: DataFrame, grain: str, last: Column, keys: Sequence[str] = ()) -> DataFrame:
-    """Fill the gaps of (keys, ``period_key``, ``value``) with zeros up to ``last``."""
-    span = df.groupBy(*keys).agg(F.min("period_key").alias("first")).select(
-        *keys, F.explode(F.sequence(F.col("first"), last, periods.step(grain))).alias("period_key"))
-    return span.join(df, [*keys, "period_key"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    """Fill the gaps of (keys, ``period_key``, ``value``) with zeros up to ``last``.
+
+    Each period unfolds into itself and the empty ones before the next, so the
+    input is read once and joined with nothing."""
+    step = periods.step(grain)
+    order = Window.partitionBy(*keys).orderBy("period_key")  # one row per period of the calendar
+    until = F.coalesce(F.lead("period_key").over(order) - step, last).cast("date")
+    open_ended = df.where(F.col("period_key") <= last).withColumn("until", until)
+    return open_ended.withColumn("k", F.explode(F.sequence("period_key", F.greatest("period_key", "until"), step))).select(
+        *keys, F.col("k").alias("period_key"),
+        F.when(F.col("k") == F.col("period_key"), F.coalesce("value", F.lit(0.0))).otherwise(F.lit(0.0)).alias("value"))
 
 
 # ----------------------------------------------------------- parts of it ---

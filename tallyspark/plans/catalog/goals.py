@@ -210,8 +210,9 @@ def insights_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("actions")
 def actions(spark: SparkSession, folder: str) -> DataFrame:
     """Recommended actions for line items, with a target in reach."""
-    return rounded(rules.actions(lineitem(spark, folder), "l_extendedprice", [
-        goals.Target("t1", "l_extendedprice", "year", "2001", 1e12)]))
+    found = rules.actions(lineitem(spark, folder), "l_extendedprice", [
+        goals.Target("t1", "l_extendedprice", "year", "2001", 1e12)])
+    return rounded(found.withColumn("evidence", F.to_json("evidence")))
 
 
 @query("actions_missing_values", f"""WITH {EVENTS}, n AS (SELECT count(*) AS n, count(*) - count(value) AS missing FROM ev)

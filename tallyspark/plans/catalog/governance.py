@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +11,7 @@ from tallyspark.model import ColumnMeta, Dataset
 from tallyspark.operators import governance
 from tallyspark.operators.governance import Policy
 from tallyspark.plans.catalog.registry import query, rounded, table
+from tallyspark.session import fresh_folder
 from tallyspark.sources import snapshots, tables
 
 NOW = dt.datetime(2024, 2, 1)
@@ -136,13 +135,6 @@ def workspace_erasure(spark: SparkSession, folder: str) -> DataFrame:
 
 # --------------------------------------------------------------- snapshots ---
 
-def fresh_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one of ``spark.checkpoint.dir``; where that
-    is unset, as in tests, below this machine's temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-")
-    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"
-
-
 _NAMES = ("nation", "customer", "orders", "events")
 
 

@@ -87,9 +87,9 @@ def filter_options(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("schema_summary", """
 WITH u AS (SELECT 'event_type' AS dimension, event_type AS value FROM events GROUP BY 2)
-SELECT dimension, list(value ORDER BY value) AS examples, count(*) AS shown FROM u GROUP BY 1""")
+SELECT dimension, string_agg(value, ',' ORDER BY value) AS examples, count(*) AS shown FROM u GROUP BY 1""")
 def schema_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return overview.schema_summary(events(spark, folder))
+    return overview.schema_summary(events(spark, folder)).withColumn("examples", F.array_join("examples", ","))
 
 
 @query("data_profile", f"""WITH {EVENTS}

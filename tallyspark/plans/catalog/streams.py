@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.plans.catalog.governance import fresh_folder
 from tallyspark.plans.catalog.registry import query, rounded, table
+from tallyspark.session import fresh_folder
 from tallyspark.streaming import jobs
 
 

@@ -1,7 +1,10 @@
-"""Session settings shared by the bench, the tests and the command-line checks."""
+"""Session settings of the bench, the tests and the checks, and shared scratch folders."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +25,10 @@ def local_session(cpus: int | str = 8, app: str = "tallyspark", shuffle_partitio
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one of ``spark.checkpoint.dir``; where that
+    is unset, as in tests, below this machine's temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-")
+    return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"

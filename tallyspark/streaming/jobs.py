@@ -10,20 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyspark.functions import periods
 from tallyspark.functions.numbers import number
-from tallyspark.model import AnalysisError
 
 # Windows start on a Monday: the epoch was a Thursday.
 _WINDOWS = {"day": ("1 day", None), "week": ("7 days", "4 days")}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder below the shared one the cluster names in ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise AnalysisError("set spark.checkpoint.dir to a shared folder")
-    return f"{root.rstrip('/')}/{name}"
-
-
 def read_files(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files_per_batch: int = 1000
                ) -> DataFrame:
     return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)

@@ -45,7 +45,8 @@ def test_chunks_equal_a_plain_loop(spark):
         assert mine == chunk_by_hand(t, 60, 10, 5)
 
 
-def test_positions_run_through_the_units(spark):
+def test_positions_run_through_the_units(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "_UNITS_PER_BLOCK", 2)  # several blocks
     units = spark.createDataFrame([("d", 1, "p1", "a" * 90), ("d", 2, "p2", "b" * 30)],
                                   "dataset_id string, unit int, locator string, text string")
     out = retrieval.chunk(units, size=50, overlap=10, least=5).orderBy("position")

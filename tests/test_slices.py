@@ -78,8 +78,10 @@ def test_records_and_description(sales):
     assert text == "Sum of revenue across 2 rows where region = North and date from 2025-02 to 2025-03."
 
 
-def test_quantiles_against_brute_force(spark):
-    """A hot key, ties, outliers, nulls and a constant group."""
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_quantiles_against_brute_force(spark, monkeypatch, few):
+    """A hot key, ties, outliers, nulls and a constant group; both join paths."""
+    monkeypatch.setattr(ranking, "_BROADCAST_GROUPS", few)
     rng = random.Random(7)
     data = [("hot", rng.choice([rng.random(), 5.0, 1e12, -3.25])) for _ in range(2000)]
     data += [("small", v) for v in (3.0, 1.0, 2.0, 10.0)] + [("flat", 4.0)] * 9 + [("hot", None)] * 50
