@@ -125,10 +125,6 @@ def with_spine(df: DataFrame, grain: str, last: Column, keys: Sequence[str] = ()
 
 # ----------------------------------------------------------- parts of it ---
 
-def _order() -> list[Column]:
-    return [F.desc_nulls_last("value"), F.asc("member")]
-
-
 def members(ds: Dataset, dims: Sequence[str], *aggs: Column, blanks: bool = False) -> DataFrame:
     """Every member of every dimension with its aggregates, from one scan.
 
@@ -150,23 +146,30 @@ def members(ds: Dataset, dims: Sequence[str], *aggs: Column, blanks: bool = Fals
 
 def contributors(ds: Dataset, measure: str | None = None, agg: str = "sum", limit: int = CONTRIBUTORS) -> DataFrame:
     """The biggest members of every free dimension and an exact tail for each."""
-    measure = None if check_aggregation(agg) == "count" else ds.need_measure(measure)
     dims = ds.free_dimensions
     if not dims:
         raise AnalysisError("no dimension left to split by")
+    return _split(ds, dims, measure, agg, limit)
+
+
+def breakdown(ds: Dataset, dimension: str, measure: str | None = None, agg: str = "sum", limit: int = 50) -> DataFrame:
+    """One dimension of a slice, ranked, with an exact tail."""
+    return _split(ds, [ds.need_dimension(dimension)], measure, agg, max(1, min(int(limit), BREAKDOWN_MAX)))
+
+
+def _split(ds: Dataset, dims: Sequence[str], measure: str | None, agg: str, limit: int) -> DataFrame:
+    measure = None if check_aggregation(agg) == "count" else ds.need_measure(measure)
     if agg == "median":
         # not rebuilt from parts: the rows of the tail are ranked anew
-        return _with_share(ds, _top_and_tail(ds, dims, measure, agg, limit), measure, agg)
+        return _with_share(ds, _top_and_tail(ds, dims, measure, limit), measure, agg)
     v = number(measure) if measure else F.lit(1.0)
     partials = [F.count(F.lit(1)).alias("n_rows"), F.sum(v).alias("s"), F.count(v).alias("c"), F.min(v).alias("lo"),
                 F.max(v).alias("hi")]
-    groups = members(ds, dims, *partials)
     merge = [F.sum("n_rows").alias("n_rows"), F.sum("s").alias("s"), F.sum("c").alias("c"), F.min("lo").alias("lo"),
              F.max("hi").alias("hi")]
     order = [F.desc_nulls_last(_rebuilt(agg)), F.asc("member")]
-    folded = ranking.top_and_rest(groups, ["dimension"], "member", order, limit, merge).withColumn(
-        "value", _rebuilt(agg))
-    return _with_share(ds, folded, measure, agg)
+    folded = ranking.top_and_rest(members(ds, dims, *partials), ["dimension"], "member", order, limit, merge)
+    return _with_share(ds, folded.withColumn("value", _rebuilt(agg)), measure, agg)
 
 
 def _rebuilt(agg: str) -> Column:
@@ -182,25 +185,18 @@ def _with_share(ds: Dataset, folded: DataFrame, measure: str | None, agg: str) -
     return folded.select("dimension", "rank", "member", "value", "n_rows", "folded", share.alias("share_pct"))
 
 
-def breakdown(ds: Dataset, dimension: str, measure: str | None = None, agg: str = "sum", limit: int = 50) -> DataFrame:
-    """One dimension, ranked, the tail re-aggregated from rows."""
-    measure = None if check_aggregation(agg) == "count" else ds.need_measure(measure)
-    limit = max(1, min(int(limit), BREAKDOWN_MAX))
-    return _with_share(ds, _top_and_tail(ds, [ds.need_dimension(dimension)], measure, agg, limit), measure, agg)
-
-
-def _top_and_tail(ds: Dataset, dims: Sequence[str], measure: str | None, agg: str, limit: int) -> DataFrame:
+def _top_and_tail(ds: Dataset, dims: Sequence[str], measure: str, limit: int) -> DataFrame:
+    """Medians of the best members, and of all rows of the other members."""
     by = ["dimension"]
     pairs = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("member")) for d in dims]
-    rows = ds.frame.select(*([measure] if measure else []), F.inline(F.array(*pairs))).where("member is not null")
-    known = ranking.sketch(rows, [*by, "member"], [measure]) if agg == "median" else None
-    groups = value_by(rows, [*by, "member"], measure, agg, known)
-    top = groups.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*_order()))).where(
-        F.col("rank") <= limit)
+    rows = ds.frame.select(measure, F.inline(F.array(*pairs))).where("member is not null")
+    known = ranking.sketch(rows, [*by, "member"], [measure])
+    groups = value_by(rows, [*by, "member"], measure, "median", known)
+    top = groups.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(
+        F.desc_nulls_last("value"), F.asc("member")))).where(F.col("rank") <= limit)
     shown = top.select("dimension", "member")  # at most `limit` rows per dimension of the schema
     tail_rows = rows.join(F.broadcast(shown), ["dimension", "member"], "left_anti")
-    few = ranking.Sketch(known.edges, len(dims)) if known else None
-    tail = value_by(tail_rows, by, measure, agg, few)
+    tail = value_by(tail_rows, by, measure, "median", ranking.Sketch(known.edges, len(dims)))
     held = groups.groupBy(*by).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("folded"))
     return top.withColumn("folded", F.lit(0).cast("long")).unionByName(tail.join(held, by), allowMissingColumns=True)
 

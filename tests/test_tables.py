@@ -107,6 +107,9 @@ def test_quality_report_and_cleaning(dataset):
     assert profile.fill_missing(ds, "revenue", "median").frame.agg(F.max("revenue")).first()[0] == 99999
     with pytest.raises(AnalysisError):
         profile.fill_missing(ds, "nope", "mean")
+    empty = dataset("date branch revenue", [("2025-01-05", None, 5)])
+    with pytest.raises(Exception, match="no value available"):
+        profile.fill_missing(empty, "branch", "mode").frame.collect()
 
 
 def test_roles(spark):
