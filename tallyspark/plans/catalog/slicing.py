@@ -51,7 +51,7 @@ def slice_stats(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(slices.slice_stats(events(spark, folder)), 4)
 
 
-def _trend_sql(source: str, date: str, value: str, grain: str) -> str:
+def _trend_sql(source: str, date: str, value: str, grain: str, digits: int = 2) -> str:
     k = f"date_trunc('{grain}', {date})"
     day = f"strftime({k}, '%Y-%m-%d')"
     month = f"strftime({k}, '%Y-%m')"
@@ -60,7 +60,7 @@ def _trend_sql(source: str, date: str, value: str, grain: str) -> str:
     start = day if grain in ("day", "week") else month
     stop = {"day": day, "week": f"strftime({k} + INTERVAL 6 DAY, '%Y-%m-%d')", "month": month,
             "quarter": f"strftime({k} + INTERVAL 2 MONTH, '%Y-%m')", "year": f"strftime({k}, '%Y') || '-12'"}[grain]
-    return f"""SELECT strftime({k}, '%Y-%m-%d') AS period_key, {label} AS period, round({value}, 2) AS value,
+    return f"""SELECT strftime({k}, '%Y-%m-%d') AS period_key, {label} AS period, round({value}, {digits}) AS value,
   count(*) AS n_rows, {start} AS "from", {stop} AS "to" FROM {source}
 GROUP BY {k} ORDER BY {k} DESC LIMIT 400"""
 
@@ -71,9 +71,9 @@ for _grain in periods.GRAINS:
         return rounded(slices.trend(orders(spark, folder), grain=grain))
 
 
-@query("trend_median_quarter", _trend_sql("lineitem", "l_shipdate", "median(l_extendedprice)", "quarter"))
+@query("trend_median_quarter", _trend_sql("lineitem", "l_shipdate", "median(l_extendedprice)", "quarter", 4))
 def trend_median_quarter(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(slices.trend(lineitem(spark, folder), "l_extendedprice", "median", "quarter"))
+    return rounded(slices.trend(lineitem(spark, folder), "l_extendedprice", "median", "quarter"), 4)
 
 
 def _compare_sql(source: str, date: str, value: str, grain: str, back: str) -> str:
@@ -118,7 +118,7 @@ g AS (SELECT dimension, member, {value} AS value, row_number() OVER (PARTITION B
   ORDER BY {value} DESC NULLS LAST, member) AS k FROM u WHERE member IS NOT NULL GROUP BY dimension, member),
 x AS (SELECT u.dimension, CASE WHEN k <= {limit} THEN k END AS rank, CASE WHEN k <= {limit} THEN u.member END AS member,
   u.member AS original, o_totalprice FROM u JOIN g USING (dimension, member))
-SELECT dimension, rank, member, round({value}, 2) AS value, count(*) AS n_rows,
+SELECT dimension, rank, member, round({value}, 4) AS value, count(*) AS n_rows,
   CASE WHEN rank IS NULL THEN count(DISTINCT original) ELSE 0 END AS folded, {share} AS share_pct
 FROM x GROUP BY dimension, rank, member"""
 
@@ -128,29 +128,29 @@ _SHARE = "round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM o) * 100, 1)"
 
 @query("contributors", _parts_sql("sum", _SHARE, 2))
 def contributors(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(slices.contributors(orders(spark, folder), agg="sum", limit=2))
+    return rounded(slices.contributors(orders(spark, folder), agg="sum", limit=2), 4)
 
 
 @query("contributors_avg", _parts_sql("avg", "NULL::DOUBLE", 2))
 def contributors_avg(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(slices.contributors(orders(spark, folder), agg="avg", limit=2))
+    return rounded(slices.contributors(orders(spark, folder), agg="avg", limit=2), 4)
 
 
 @query("contributors_min", _parts_sql("min", "NULL::DOUBLE", 1))
 def contributors_min(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(slices.contributors(orders(spark, folder), agg="min", limit=1))
+    return rounded(slices.contributors(orders(spark, folder), agg="min", limit=1), 4)
 
 
 @query("contributors_median", _parts_sql("median", "NULL::DOUBLE", 2))
 def contributors_median(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(slices.contributors(orders(spark, folder), agg="median", limit=2))
+    return rounded(slices.contributors(orders(spark, folder), agg="median", limit=2), 4)
 
 
 def _breakdown_sql(value: str, share: str, limit: int) -> str:
     return f"""WITH g AS (SELECT o_custkey, {value} AS value,
   row_number() OVER (ORDER BY {value} DESC NULLS LAST, o_custkey::VARCHAR) AS k FROM orders GROUP BY o_custkey)
 SELECT 'o_custkey' AS dimension, CASE WHEN k <= {limit} THEN k END AS rank,
-  CASE WHEN k <= {limit} THEN o_custkey::VARCHAR END AS member, round({value}, 2) AS value, count(*) AS n_rows,
+  CASE WHEN k <= {limit} THEN o_custkey::VARCHAR END AS member, round({value}, 4) AS value, count(*) AS n_rows,
   CASE WHEN min(k) > {limit} THEN count(DISTINCT o_custkey) ELSE 0 END AS folded, {share} AS share_pct
 FROM orders JOIN g USING (o_custkey) GROUP BY 2, 3"""
 
@@ -158,12 +158,12 @@ FROM orders JOIN g USING (o_custkey) GROUP BY 2, 3"""
 @query("breakdown_with_other", _breakdown_sql(
     "sum(o_totalprice)", "round(sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders) * 100, 1)", 50))
 def breakdown_with_other(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(slices.breakdown(orders(spark, folder), "o_custkey"))
+    return rounded(slices.breakdown(orders(spark, folder), "o_custkey"), 4)
 
 
 @query("breakdown_median_other", _breakdown_sql("median(o_totalprice)", "NULL::DOUBLE", 20))
 def breakdown_median_other(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(slices.breakdown(orders(spark, folder), "o_custkey", agg="median", limit=20))
+    return rounded(slices.breakdown(orders(spark, folder), "o_custkey", agg="median", limit=20), 4)
 
 
 @query("records_page", f"""WITH {ORDERS}
