@@ -14,8 +14,11 @@ with independent hashes.
    leader of each bucket is verified against the members on full sets; the
    links found give components.
 3. What a bucket's leader could not settle is done pair by pair: members outside
-   the bucket's main component against all members of other components, if the
-   sketches do not rule the pair out (two bits of every coordinate).
+   the bucket's main component against all members of other components.  A pair
+   is left out if the sketches rule it out (two bits of every coordinate), or
+   if its sizes and the numbers of shingles that either text shares with any
+   other open text bound the similarity below 0.75.  The last bound is exact and
+   keeps a large group of copies with many changes each from being paired out.
 4. The links of both rounds give the final components.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no band with
@@ -117,6 +120,22 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, words in pieces(batch.column(1)):
+            sets = shingles(words, words.hashes(lower=True))
+            ids = batch.column(0).slice(lo, hi - lo).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(s) for s in sets])),
+                                              pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "shingle"])
+
+
+def _shared_counts(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(rep, shared): how many of its shingles stand in another of the given texts as well."""
+    rows = texts.join(ids.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_shingle_rows, "rep long, shingle long")
+    common = rows.groupBy("shingle").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("shingle")
+    return rows.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("shared"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -155,11 +174,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                                                 F.count("*").alias("parts")).where("parts > 1")
     open_ = written(named.join(split, ["band", "value"]).join(classes.select("rep", "bits"), "rep").select(
         "rep", "n_shingles", "band", "value", "component", "main", *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]))
+    open_ = written(open_.join(_shared_counts(open_.select("rep").distinct(), texts), "rep"))
     x = open_.where("component <> main").alias("x")
     y = open_.alias("y")
     differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0))
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
                   & (F.col("x.component") != F.col("y.component"))
+                  & (F.least("x.shared", "y.shared") * 7 >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * 3)
                   & (F.col("x.n_shingles") * 4 >= F.col("y.n_shingles") * 3)
                   & (F.col("y.n_shingles") * 4 >= F.col("x.n_shingles") * 3) & (differ <= MOST_BITS)).select(
         F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
