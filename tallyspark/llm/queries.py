@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, decontaminate, neardup, quality, repeats
+from tallyspark.llm import bpe, decontaminate, fingerprint, neardup, quality, repeats, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,6 +59,18 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+@query("op3_minimax_shards")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.sharded(table(spark, folder, "documents"), 40).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_threshold_fingerprints")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.edited(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query("op5_recompression", r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w)),
