@@ -13,12 +13,13 @@ with independent hashes.
 2. Classes whose sketches agree in all rows of a band are candidates.  The
    leader of each bucket is verified against the members on full sets; the
    links found give components.
-3. What a bucket's leader could not settle is done pair by pair: members outside
-   the bucket's main component against all members of other components.  A pair
-   is left out if the sketches rule it out (two bits of every coordinate), or
-   if its sizes and the numbers of shingles that either text shares with any
-   other open text bound the similarity below 0.75.  The last bound is exact and
-   keeps a large group of copies with many changes each from being paired out.
+3. What the leaders left apart is done pair by pair: open texts (of buckets with
+   several components) that are in different components.  A pair is tried if the
+   texts share a shingle that fewer than ``RARE`` open texts have; or if they
+   share a bucket, and the shingles of each that ``RARE`` or more open texts have
+   would alone be enough for 0.75.  A pair that fits neither cannot reach it, so
+   a large group of copies with many changes each is not paired out.  Pairs that
+   the sketches rule out (two bits of every coordinate) are left out too.
 4. The links of both rounds give the final components.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no band with
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components
@@ -47,6 +48,8 @@ BANDS = COORDINATES // ROWS
 #: Differing bits of 256 at which a pair is ruled out: 32 coordinates are expected to differ at 0.75, in a bit each
 #: on average; 61 is five standard deviations above.
 MOST_BITS = 61
+#: A shingle of fewer open texts is rare: its texts are paired.
+RARE = 64
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * U(0xA24BAED4963EE407))
 _VALUE = U((1 << 55) - 1)
 
@@ -129,13 +132,6 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                               pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "shingle"])
 
 
-def _shared_counts(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(rep, shared): how many of its shingles stand in another of the given texts as well."""
-    rows = texts.join(ids.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_shingle_rows, "rep long, shingle long")
-    common = rows.groupBy("shingle").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("shingle")
-    return rows.join(common, "shingle").groupBy("rep").agg(F.count("*").alias("shared"))
-
-
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -157,9 +153,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spread = F.xxhash64("rep", F.col("band") % 8)  # eight different choices of leaders
     leaders = rows.groupBy("band", "value").agg(F.min_by("rep", spread).alias("leader"), F.count("*").alias("size"),
                                                 F.min_by("n_shingles", spread).alias("n_leader")).where("size > 1")
-    alike = F.col("n_leader") * 4 >= F.col("n_shingles") * 3, F.col("n_shingles") * 4 >= F.col("n_leader") * 3
+    near_size = F.col("n_leader") * 4 >= F.col("n_shingles") * 3, F.col("n_shingles") * 4 >= F.col("n_leader") * 3
     members = written(rows.join(leaders, ["band", "value"]).select("rep", "n_shingles", "band", "value", "leader", "n_leader"))
-    pairs = members.where((F.col("rep") != F.col("leader")) & alike[0] & alike[1]).select(
+    pairs = members.where((F.col("rep") != F.col("leader")) & near_size[0] & near_size[1]).select(
         F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     texts = written(source.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
                     .dropDuplicates(["id"]))
@@ -174,17 +170,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                                                 F.count("*").alias("parts")).where("parts > 1")
     open_ = written(named.join(split, ["band", "value"]).join(classes.select("rep", "bits"), "rep").select(
         "rep", "n_shingles", "band", "value", "component", "main", *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]))
-    open_ = written(open_.join(_shared_counts(open_.select("rep").distinct(), texts), "rep"))
-    x = open_.where("component <> main").alias("x")
-    y = open_.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0))
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value"))
-                  & (F.col("x.component") != F.col("y.component"))
-                  & (F.least("x.shared", "y.shared") * 7 >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * 3)
-                  & (F.col("x.n_shingles") * 4 >= F.col("y.n_shingles") * 3)
-                  & (F.col("y.n_shingles") * 4 >= F.col("x.n_shingles") * 3) & (differ <= MOST_BITS)).select(
-        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"))
+    # how many open texts have each shingle
+    one = open_.dropDuplicates(["rep"]).drop("band", "value", "main")
+    rows = texts.join(one.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_shingle_rows, "rep long, shingle long")
+    rows = written(rows.join(rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "shingle"))
+    enough = rows.groupBy("rep").agg(F.count("*").alias("shared"), F.count_if(F.col("texts") >= RARE).alias("common"))
+    open_ = written(open_.join(enough, "rep"))
+    rare = rows.where(F.col("texts") < RARE).select("rep", "shingle").join(one.join(enough, "rep"), "rep")
+
+    def alike(bound: str) -> Column:
+        differ = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(4)), F.lit(0))
+        return ((F.col("x.component") != F.col("y.component"))
+                & (F.least(f"x.{bound}", f"y.{bound}") * 7 >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * 3)
+                & (F.col("x.n_shingles") * 4 >= F.col("y.n_shingles") * 3)
+                & (F.col("y.n_shingles") * 4 >= F.col("x.n_shingles") * 3) & (differ <= MOST_BITS))
+
+    pair = F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")
+    by_shingle = rare.alias("x").join(rare.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep"))
+                                      & alike("shared")).select(*pair)
+    by_bucket = open_.where("component <> main").alias("x").join(
+        open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & alike("common")).select(*pair)
+    rest = written(by_shingle.union(by_bucket).distinct().join(first, ["a", "b"], "left_anti"))
     second = _verified(rest, texts)
     final = components(first.select("a", "b").union(second.select("a", "b")))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, decontaminate, fingerprint, neardup, quality, repeats, shards
+from tallyspark.llm import bpe, decontaminate, fingerprint, neardup, pii, quality, repeats, shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_bpe_tree")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), tokenizer_file()).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_pii_boosting")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.detected(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.printed(F.col("base")), 256).alias("base_sha256"), pii.printed(F.col("spans")).alias("spans"))
