@@ -19,7 +19,7 @@ from tallyspark.llm.shared import written
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from those with labels, does not reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs).where("score >= 0.3").select(*docs.columns)
+    return model.score(docs, into="_quality").where("_quality >= 0.3").select(*docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with a benchmark item."""
-    return decontaminate.marked(docs, table(spark, sf_dir, "benchmark")).where(
-        "overlaps IS NULL OR size(overlaps) = 0").select(*docs.columns)
+    return decontaminate.marked(docs, table(spark, sf_dir, "benchmark"), into="_overlaps").where(
+        "_overlaps IS NULL OR size(_overlaps) = 0").select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -101,9 +101,9 @@ class Seeds:
 
 def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
            into: str = "overlaps") -> DataFrame:
-    """``docs`` with ``into`` as last column: item_id, equal words, words of the
-    overlap and its first word, for each item the whole text overlaps."""
-    spark = docs.sparkSession
+    """``docs`` with ``into`` as last column (in place of one of that name): item_id, equal words,
+    words of the overlap and its first word, for each item the whole text overlaps."""
+    docs, spark = docs.drop(into), docs.sparkSession
     items = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = size // BLOCK + 1

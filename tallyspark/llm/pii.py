@@ -14,7 +14,8 @@
 * The *threshold* is calibrated on documents kept out of the trees (crc32 of the
   id modulo 5 is 0): the lowest score from which on at least ``PRECISION`` of the
   candidates coincide with base spans.  Candidates at or above it that overlap no
-  base span are added; base spans always stay.
+  base span and follow a word that announces them are added (where the trees have
+  seen nothing like a candidate, form alone is no evidence); base spans always stay.
 
 The trees become one SQL expression, so scoring is part of the row's projection.
 Patterns are written so that they cannot back-track over long runs: quantifiers
@@ -28,6 +29,7 @@ by ``redacted``), and an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,8 +69,8 @@ def _digits(t: Column) -> Column:
 def _luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn's test."""
     d = F.reverse(F.split(digits, ""))
-    value = F.transform(d, lambda x, i: F.when(i % 2 == 0, x.cast("int")).otherwise(
-        F.when(x.cast("int") > 4, x.cast("int") * 2 - 9).otherwise(x.cast("int") * 2)))
+    value = F.transform(d, lambda x, i: F.when(i % 2 == 0, x.try_cast("int")).otherwise(
+        F.when(x.try_cast("int") > 4, x.try_cast("int") * 2 - 9).otherwise(x.try_cast("int") * 2)))
     return F.aggregate(value, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
@@ -81,8 +83,11 @@ def base_spans(text: Column) -> Column:
         F.filter(_found(text, _IP, some), lambda s: F.forall(F.split(s["t"], r"\."), lambda p: p.rlike(_OCTET))),
         F.filter(_found(text, _CARD, some), lambda s: n(s["t"]).between(14, 19) & _luhn(_digits(s["t"]))),
         F.filter(_found(text, _PHONE, F.contains(text, F.lit("+"))), lambda s: n(s["t"]).between(10, 15)))
-    return F.array_sort(F.concat(*[F.transform(a, lambda s, k=k: F.struct(
-        s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"))) for k, a in enumerate(by_kind)]))
+
+    def of(kind: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))
+
+    return F.array_sort(F.concat(*[F.transform(a, of(k)) for k, a in enumerate(by_kind)]))
 
 
 def _features(text: Column, s: Column, generator: int) -> dict[str, Column]:
@@ -94,7 +99,7 @@ def _features(text: Column, s: Column, generator: int) -> dict[str, Column]:
     digits = _digits(t)
     return {
         "generator": F.lit(generator), "digits": F.least(F.length(digits), F.lit(20)), "groups": F.least(groups, F.lit(7)),
-        "luhn": (F.length(digits) >= 12).cast("int") * _luhn(digits).cast("int"), "plus": t.startswith("+").cast("int"),
+        "luhn": F.when(F.length(digits) >= 12, _luhn(digits).cast("int")).otherwise(0), "plus": t.startswith("+").cast("int"),
         "brackets": t.rlike(r"[()\[\]]").cast("int"), "blanks": t.rlike(r"\x20").cast("int"), "dots": F.least(F.size(F.split(t, r"\.")) - 1, F.lit(4)),
         "dashes": t.rlike("-").cast("int"), "at": F.contains(t, F.lit("@")).cast("int"), "octets": F.forall(F.split(t, r"\."), lambda p: p.rlike(_OCTET)).cast("int"),
         "word": before.rlike(_WORDS_BEFORE).cast("int"), "touches": F.when(before.rlike(r"[\p{L}0-9_=\"'/]$"), 1).otherwise(0)
@@ -108,9 +113,12 @@ def candidates(text: Column) -> Column:
     """array<struct<start, end, features...>> of all generators."""
     some = text.rlike("[0-9]")
     generators = ((_NAMED, F.contains(text, F.lit("@")) | F.lower(text).rlike(r"[\[(\x20]at[\])\x20]")), (_DOTTED, some), (_DIGITS, some))
-    return F.concat(*[F.transform(_found(text, pattern, when), lambda s, g=g: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), *[c.cast("int").alias(k) for k, c in _features(text, s, g).items()]))
-        for g, (pattern, when) in enumerate(generators)])
+
+    def of(generator: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"),
+                                  *[c.cast("int").alias(k) for k, c in _features(text, s, generator).items()])
+
+    return F.concat(*[F.transform(_found(text, pattern, when), of(g)) for g, (pattern, when) in enumerate(generators)])
 
 
 @dataclass(frozen=True)
@@ -203,7 +211,7 @@ def _all_spans(text: Column, base: Column, model: PiiModel) -> Column:
     """Base spans and those that the model adds, sorted; an added one takes the kind its form is nearest to."""
     if model.threshold == math.inf:
         return base
-    picked = F.filter(candidates(text), lambda c: (model.score(c) >= model.threshold)
+    picked = F.filter(candidates(text), lambda c: (model.score(c) >= model.threshold) & (c["word"] == 1)
                       & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
     kind = lambda c: F.when(c["generator"] == 0, 0).when((c["generator"] == 1) & (c["octets"] == 1), 1).when(c["digits"] > 13, 2).otherwise(3)
     return F.array_sort(F.array_distinct(F.concat(base, F.transform(picked, lambda c: F.struct(
@@ -225,11 +233,13 @@ def printed(spans: Column) -> Column:
 def redacted(docs: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; overlapping spans become one."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    found = detected(docs.select("*", F.col(text).cast("string").alias("_text")), model, "_text")
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    own = plain[docs.columns.index(text)]
+    found = detected(docs.toDF(*plain).withColumn("_text", F.col(own).cast("string")), model, "_text")
     whole = F.col("_text")
     out = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("all")), lambda a, s: F.when(
         s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["all"], F.array(
             F.substring(whole, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))).alias("all"))).otherwise(
         F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["all"].alias("all"))),
         lambda a: F.concat(F.array_join(a["all"], ""), F.substring(whole, a["at"] + 1, F.char_length(whole))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, out).otherwise(whole)).drop("_text", "base", "spans")
+    return found.withColumn(own, F.when(F.size("spans") > 0, out).otherwise(whole)).select(*plain).toDF(*docs.columns)

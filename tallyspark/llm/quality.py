@@ -121,8 +121,9 @@ class QualityModel:
 
     weights: np.ndarray
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """``docs`` with ``score`` (0 to 1) as its last column."""
+    def score(self, docs: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
+        """``docs`` with the score (0 to 1) as its last column ``into``, in place of one of that name."""
+        docs = docs.drop(into)
         shared = docs.sparkSession.sparkContext.broadcast(self.weights.astype(np.float32))
         names = [f"c{i}" for i in range(len(docs.columns))]
         place = docs.columns.index(text)
@@ -139,7 +140,7 @@ class QualityModel:
 
         plain = docs.toDF(*names)
         schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", score double"
-        return plain.mapInArrow(scored, schema).toDF(*docs.columns, "score")
+        return plain.mapInArrow(scored, schema).toDF(*docs.columns, into)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str = "doc_id", text: str = "text",
