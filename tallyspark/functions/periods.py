@@ -6,7 +6,6 @@ every plan; labels are made for output only.
 
 from __future__ import annotations
 
-import calendar
 import datetime as dt
 import re
 from dataclasses import dataclass
@@ -98,21 +97,35 @@ def is_bound(text: str) -> bool:
     return True
 
 
+# Days of the calendar are placed on a line of months, numbered from the year 0.
+
+_DAY = dt.timedelta(days=1)
+
+
+def _month(day: dt.date) -> int:
+    return day.year * 12 + day.month - 1
+
+
+def _start(month: int) -> dt.date:
+    return dt.date(month // 12, month % 12 + 1, 1)
+
+
 def first_day(text: str) -> dt.date:
     return dt.date.fromisoformat(text if len(text) == 10 else f"{text}-01")
 
 
 def last_day(text: str) -> dt.date:
-    return dt.date.fromisoformat(text) if len(text) == 10 else month_end(first_day(text))
+    return first_day(text) if len(text) == 10 else month_end(first_day(text))
 
 
 def month_end(day: dt.date) -> dt.date:
-    return day.replace(day=calendar.monthrange(day.year, day.month)[1])
+    return _start(_month(day) + 1) - _DAY
 
 
 def add_months(day: dt.date, months: int) -> dt.date:
-    year, month0 = divmod(day.year * 12 + day.month - 1 + months, 12)
-    return dt.date(year, month0 + 1, min(day.day, calendar.monthrange(year, month0 + 1)[1]))
+    """The same day of another month, or that month's last."""
+    to = _start(_month(day) + months)
+    return min(to + _DAY * (day.day - 1), month_end(to))
 
 
 @dataclass(frozen=True)
@@ -122,79 +135,80 @@ class Span:
     first: dt.date
     last: dt.date
 
+    @classmethod
+    def of_months(cls, months: range) -> Span:
+        return cls(_start(months.start), _start(months.stop) - _DAY)
+
     @property
     def days(self) -> int:
-        return (self.last - self.first).days + 1
+        return (self.last - self.first) // _DAY + 1
 
     @property
-    def whole_months(self) -> bool:
-        return self.first.day == 1 and self.last == month_end(self.last)
+    def months(self) -> range | None:
+        """The months that the span covers exactly, if it does."""
+        touched = range(_month(self.first), _month(self.last) + 1)
+        return touched if touched and Span.of_months(touched) == self else None
 
     @property
     def label(self) -> str:
-        a, b = self.first, self.last
-        if self.whole_months:
-            names = [f"{d:%b %Y}" for d in (a, b)]
-            return names[0] if names[0] == names[1] else " – ".join(names)
-        if a == b:
-            return f"{a.day} {a:%b %Y}"
-        return f"{a.day} {a:%b} – {b.day} {b:%b %Y}"
+        def day(d: dt.date, year: bool) -> str:
+            return f"{d.day} {d:%b %Y}" if year else f"{d.day} {d:%b}"
+
+        if self.months:
+            ends = sorted({_start(self.months[0]), _start(self.months[-1])})
+            return " – ".join(f"{d:%b %Y}" for d in ends)
+        return day(self.last, True) if self.days == 1 else f"{day(self.first, False)} – {day(self.last, True)}"
+
+    def head(self, days: int) -> Span:
+        """At most its first ``days`` days."""
+        return Span(self.first, min(self.last, self.first + _DAY * (days - 1)))
 
     def before(self, compare: str) -> Span:
-        """The span this one is compared with.  Whole months shift by months
-        (31 days against 28 is still month against month); anything else shifts
-        by its own length, or by a calendar year."""
+        """The span to hold this one against: as many months before, if it is made of whole months;
+        as many days before, if not; or the same a year earlier."""
         if compare not in COMPARES:
-            raise ValueError(f"unknown comparison {compare!r}")
-        if self.whole_months:
-            n = (self.last.year - self.first.year) * 12 + self.last.month - self.first.month + 1
-            back = 12 if compare == "year_ago" else n
-            return Span(add_months(self.first, -back), month_end(add_months(self.last.replace(day=1), -back)))
-        if compare == "year_ago":
-            return Span(add_months(self.first, -12), add_months(self.last, -12))
-        return Span(self.first - dt.timedelta(days=self.days), self.first - dt.timedelta(days=1))
+            raise ValueError(f"{compare!r} is no way to compare")
+        m = self.months
+        if m:
+            back = len(m) if compare == "previous" else 12
+            return Span.of_months(range(m.start - back, m.stop - back))
+        if compare == "previous":
+            return Span(self.first - _DAY * self.days, self.first - _DAY)
+        return Span(*(add_months(d, -12) for d in (self.first, self.last)))
 
 
 def span_around(day: dt.date, grain: str) -> Span:
-    """The whole period at ``grain`` containing ``day``; weeks start on Monday."""
-    check_grain(grain)
-    if grain == "day":
-        return Span(day, day)
-    if grain == "week":
-        monday = day - dt.timedelta(days=day.weekday())
-        return Span(monday, monday + dt.timedelta(days=6))
-    size = MONTHS_IN[grain]
-    start = dt.date(day.year, (day.month - 1) // size * size + 1, 1)
-    return Span(start, add_months(start, size) - dt.timedelta(days=1))
+    """The period of that grain in which a day falls; a week begins with Monday."""
+    size = MONTHS_IN.get(check_grain(grain))
+    if size:
+        m = _month(day) - _month(day) % size
+        return Span.of_months(range(m, m + size))
+    first = day - _DAY * (day.weekday() if grain == "week" else 0)
+    return Span(first, first + _DAY * (6 if grain == "week" else 0))
 
 
 def span_of(label_text: str, grain: str) -> Span:
-    """The days named by a period label; raises on a label of the wrong shape."""
-    shapes = {"day": r"\d{4}-\d{2}-\d{2}", "week": r"\d{4}-\d{2}-\d{2}", "month": r"\d{4}-\d{2}",
-              "quarter": r"\d{4}-Q[1-4]", "year": r"\d{4}"}
-    if not re.fullmatch(shapes[check_grain(grain)], str(label_text)):
-        raise ValueError(f"{label_text!r} is not a valid {grain}")
-    if grain == "quarter":
-        year, q = label_text.split("-Q")
-        start = dt.date(int(year), int(q) * 3 - 2, 1)
-    elif grain == "year":
-        start = dt.date(int(label_text), 1, 1)
-    else:
-        start = first_day(label_text)
-    found = span_around(start, grain)
-    if found.first != start:
-        raise ValueError("a week starts on a Monday")
-    return found
+    """The days that a period label names; a label of another shape is refused."""
+    shapes = {"day": r"(\d{4})-(\d\d)-(\d\d)", "week": r"(\d{4})-(\d\d)-(\d\d)", "month": r"(\d{4})-(\d\d)",
+              "quarter": r"(\d{4})-Q([1-4])", "year": r"(\d{4})"}
+    found = re.fullmatch(shapes[check_grain(grain)], str(label_text))
+    if not found:
+        raise ValueError(f"{label_text!r} names no {grain}")
+    year, part, day = (*(int(x) for x in found.groups()), 1, 1)[:3]
+    span = span_around(dt.date(year, part * 3 - 2 if grain == "quarter" else part, day), grain)
+    if grain == "week" and span.first != dt.date(year, part, day):
+        raise ValueError(f"{label_text!r} is no Monday")
+    return span
 
 
 def preset_start(last: dt.date, preset: str) -> dt.date:
-    """First day of a relative range that ends on the data's last date."""
-    month = last.replace(day=1)
-    if preset in ("MTD", "QTD", "YTD"):
-        return span_around(last, {"MTD": "month", "QTD": "quarter", "YTD": "year"}[preset]).first
+    """Where a relative range that ends with the data begins."""
     if preset not in PRESETS:
-        raise ValueError(f"unknown preset {preset!r}")
-    return add_months(month, 1 - int(preset[:-1]))
+        raise ValueError(f"{preset!r} is no preset")
+    to_date = {"MTD": "month", "QTD": "quarter", "YTD": "year"}
+    if preset in to_date:
+        return span_around(last, to_date[preset]).first
+    return _start(_month(last) + 1 - int(preset.removesuffix("M")))
 
 
 @dataclass(frozen=True)
@@ -210,23 +224,16 @@ class Comparison:
 
 def compare_spans(data_end: dt.date | None, grain: str, compare: str, date_from: str | None = None,
                   date_to: str | None = None) -> Comparison:
-    """Choose B (the asked-for range, or the latest period) and A, cutting both
-    to the days that exist when the data stops partway through B."""
+    """B is the range asked for, or the period in which the data ends; A is what
+    comes before it.  If the data ends within B, both keep as many days as there are."""
     if data_end is None:
-        raise ValueError("no dated rows to compare")
+        raise ValueError("without dates there is nothing to compare")
     if date_to and not date_from:
-        raise ValueError("comparing needs a start date")
-    if date_from:
-        b = Span(first_day(date_from), last_day(date_to) if date_to else data_end)
-    else:
-        b = span_around(data_end, grain)
-    aligned = span_around(b.first, grain) == b
-    a = b.before(compare)
-    short = data_end < b.last
-    if short:
-        offset = (data_end - b.first).days
-        if offset < 0:
-            raise ValueError("the chosen period has no data yet")
-        b = Span(b.first, data_end)
-        a = Span(a.first, min(a.last, a.first + dt.timedelta(days=offset)))
-    return Comparison(a=a, b=b, like_for_like=short, aligned=aligned, data_end=data_end)
+        raise ValueError("give the first day too")
+    asked = Span(first_day(date_from), last_day(date_to) if date_to else data_end) if date_from else span_around(data_end, grain)
+    there = Span(asked.first, data_end).days
+    if there < 1 and data_end < asked.last:
+        raise ValueError("the data ends before that range")
+    cut = data_end < asked.last
+    a, b = (s.head(there) if cut else s for s in (asked.before(compare), asked))
+    return Comparison(a, b, like_for_like=cut, aligned=span_around(asked.first, grain) == asked, data_end=data_end)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import clean_name
+from tallyspark.functions.text import clean_name, distinct_names
 from tallyspark.model import AnalysisError, Dataset
 
 JOIN_TYPES = ("inner", "left")
@@ -24,8 +24,9 @@ def join(left: Dataset, right: Dataset, left_key: str, right_key: str, how: str
     how = how if how in JOIN_TYPES else "left"
     taken = set(left.user_columns)
     slug = clean_name(right.name) or "right"
-    others = [F.col(f"r.{c}").alias(clean_name(f"{slug}_{c}") if c in taken else c)
-              for c in right.user_columns if c != right_key]
+    theirs_in = [c for c in right.user_columns if c != right_key]
+    names = distinct_names([clean_name(f"{slug}_{c}") if c in taken else c for c in theirs_in], taken)
+    others = [F.col(f"r.{c}").alias(n) for c, n in zip(theirs_in, names, strict=True)]
     theirs, wanted = F.col(f"r.{right_key}"), left.frame.schema[left_key].dataType
     if right.frame.schema[right_key].dataType != wanted:
         theirs = theirs.try_cast(wanted)

@@ -1,9 +1,13 @@
 """Exact order statistics and top-k folds that never gather a group in one task.
 
 Quantiles are exact and move almost no data: a first pass sketches the values'
-range, a second counts rows per (keys, bucket) with map-side combining, and a
+distribution, a second counts rows per (keys, bucket) with map-side combining, and a
 third keeps only the rows of the one or two buckets that hold a wanted rank.
-The sketch balances the buckets; it cannot change the answer.
+Buckets lie between about five hundred sketched quantiles, so each holds about a
+five-hundredth of the rows however the values are spread, and a value that is a
+quantile has a bucket of its own.  The sketch cannot change the answer.
+
+The sketch is one small job when a plan is built; pass ``known`` to share it.
 """
 
 from __future__ import annotations
@@ -16,40 +20,36 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.numbers import number
 
-_BUCKETS, _TAIL_BUCKETS = 8192, 2048
+_EDGES, _BLOCK = 512, 32
 _SALTS = 128
 _BROADCAST_GROUPS = 20_000
 
 
-def _bucket(value: Column, low: float, mid_low: float, mid_high: float, high: float) -> Column:
-    """Bucket number of a value, never decreasing in the value: equal steps
-    within the middle 98% of the rows, and within either tail."""
-    tail = F.lit(_TAIL_BUCKETS)
-    return (F.when(value < mid_low, F.width_bucket(value, F.lit(low), F.lit(mid_low), tail))
-            .when(value <= mid_high, _TAIL_BUCKETS + 2 + (
-                F.width_bucket(value, F.lit(mid_low), F.lit(mid_high), F.lit(_BUCKETS)) if mid_low < mid_high
-                else F.lit(0)))
-            .otherwise(_TAIL_BUCKETS + _BUCKETS + 4 + F.width_bucket(value, F.lit(mid_high), F.lit(high), tail)))
+def _bucket(value: Column, edges: Sequence, kind: str) -> Column:
+    """Bucket number of a value, never decreasing in the value: even between two
+    edges, odd on one.  The block of edges is found first, then the place in it."""
+    blocks = [list(edges[i : i + _BLOCK]) for i in range(0, len(edges), _BLOCK)]
+    block = sum(((value >= F.lit(b[0]).cast(kind)).cast("int") for b in blocks[1:]), F.lit(0))
+    own = F.get(F.array(*[F.array(*[F.lit(e).cast(kind) for e in b]) for b in blocks]), block)
+    below = F.size(F.filter(own, lambda e: e < value))
+    return (block * _BLOCK + below) * 2 + F.array_contains(own, value).cast("int")
 
 
 @dataclass(frozen=True)
 class Sketch:
     """Bucket edges per measure, and roughly how many groups the keys make."""
 
-    edges: dict[str, list[float | None]]
+    edges: dict[str, list]
     groups: int
 
 
-def sketch(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Sketch:
+def sketch(df: DataFrame, keys: Sequence[str], measures: Sequence[str], typed: bool = False) -> Sketch:
     """One aggregate with a bounded buffer; one row comes back."""
-    parts = []
-    for m in measures:
-        v = number(m)
-        mid = F.percentile_approx(v, [0.01, 0.99], 200)
-        parts.append(F.array(F.min(v), F.get(mid, F.lit(0)), F.get(mid, F.lit(1)), F.max(v)).alias(m))
+    steps = [k / _EDGES for k in range(1, _EDGES)]
+    parts = [F.percentile_approx(F.col(m) if typed else number(m), steps, 10_000).alias(m) for m in measures]
     size = F.approx_count_distinct(F.xxhash64(*keys)) if keys else F.lit(1)
     row = df.agg(*parts, size.alias("_groups")).first()
-    return Sketch({m: row[m] for m in measures}, row["_groups"])
+    return Sketch({m: sorted(set(row[m] or [])) for m in measures}, row["_groups"])
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], measures: Sequence[str], probs: Sequence[float],
@@ -73,14 +73,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], measures: Sequence[str], probs
 
 
 def values_at(df: DataFrame, keys: Sequence[str], measures: Sequence[str], ranks: Column,
-              known: Sketch | None = None) -> DataFrame:
+              known: Sketch | None = None, typed: bool = False) -> DataFrame:
     """keys, ``measure``, ``n``, ``rank``, ``value`` for the zero-based ``ranks``,
-    an array expression over ``n``, the group's number of values."""
+    an array expression over ``n``, the group's number of values.  ``typed``: one
+    column is ranked in its own type, not as a double."""
     by = [*keys, "measure"]
-    known = known or sketch(df, keys, measures)
-    parts = [F.struct(F.lit(m).alias("measure"), number(m).alias("value"), (
-        F.lit(0) if known.edges[m][0] is None else _bucket(number(m), *known.edges[m])).cast("int").alias("bucket"))
-        for m in measures]
+    known = known or sketch(df, keys, measures, typed)
+    parts = []
+    for m in measures:
+        value, kind = (F.col(m), df.schema[m].dataType.simpleString()) if typed else (number(m), "double")
+        bucket = _bucket(value, known.edges[m], kind) if known.edges[m] else F.lit(0)
+        parts.append(F.struct(F.lit(m).alias("measure"), value.alias("value"), bucket.cast("int").alias("bucket")))
     long = df.select(*keys, F.inline(F.array(*parts))).where("value is not null")
 
     hist = long.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("held"))
@@ -117,8 +120,8 @@ def systematic_sample(df: DataFrame, order: str, points: int) -> DataFrame:
     every = F.transform(F.sequence(F.lit(0), F.lit(points - 1)),
                         lambda i: F.floor(i * (n.cast("double") / points)).cast("long"))
     all_ranks = F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(points)) - 1)
-    picked = values_at(df, [], [order], F.when(n > points, every).otherwise(all_ranks))
-    chosen = picked.select(F.col("value").cast(df.schema[order].dataType).alias(order))
+    picked = values_at(df, [], [order], F.when(n > points, every).otherwise(all_ranks), typed=True)
+    chosen = picked.select(F.col("value").alias(order))
     # at most `points` rows
     return df.join(F.broadcast(chosen), order, "left_semi")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import periods, text
 from tallyspark.model import AnalysisError, ColumnMeta, Dataset
 
-_IN_LIST = 1000
+MAX_VALUES = 200
 
 
 @dataclass(frozen=True)
@@ -47,21 +47,22 @@ def row_predicate(ds: Dataset, rules: Sequence[RowRule]) -> Column | None:
 
 
 def apply_rules(ds: Dataset, rules: Sequence[RowRule]) -> Dataset:
-    """Short value lists become a predicate that reaches the scan; a long one
-    is a semi-join with the list."""
-    long = [r for r in rules if len(r.values) > _IN_LIST and r.operator == "in"]
-    columns = [r.column for r in rules]
-    if all(columns.count(r.column) == 1 and r.column in ds.user_columns for r in long):
-        frame = ds.frame
-        for rule in long:
-            kind = frame.schema[rule.column].dataType
-            listed = frame.sparkSession.createDataFrame([(str(v),) for v in rule.values], "v string").select(
-                F.col("v").try_cast(kind).alias(rule.column)).distinct()
-            frame = frame.join(listed, rule.column, "left_semi").select(*frame.columns)
-        ds, rules = ds.with_frame(frame), [r for r in rules if r not in long]
+    """Rules become a predicate that reaches the scan.  A rule lists at most
+    ``MAX_VALUES`` values; longer lists are tables, see ``apply_listed``."""
+    for rule in rules:
+        if len(rule.values) > MAX_VALUES:
+            raise AnalysisError(f"a rule on {rule.column!r} lists more than {MAX_VALUES} values")
     predicate = row_predicate(ds, rules)
     frame = ds.frame if predicate is None else ds.frame.where(predicate)
-    return replace(ds, frame=frame, whole=frame, restricted=bool(columns), _shared={})
+    return replace(ds, frame=frame, whole=frame, restricted=bool(rules), _shared={})
+
+
+def apply_listed(ds: Dataset, column: str, listed: DataFrame) -> Dataset:
+    """A rule whose values are the column ``column`` of a table: a semi-join."""
+    if column not in ds.user_columns:
+        return replace(ds, frame=ds.frame.where(F.lit(False)), whole=ds.frame.where(F.lit(False)), restricted=True, _shared={})
+    frame = ds.frame.join(listed.select(column), column, "left_semi").select(*ds.frame.columns)
+    return replace(ds, frame=frame, whole=frame, restricted=True, _shared={})
 
 
 def mask_columns(ds: Dataset, masks: Mapping[str, str]) -> Dataset:

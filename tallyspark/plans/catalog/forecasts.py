@@ -10,8 +10,8 @@ from tallyspark.plans.catalog.registry import query, rounded, table
 
 
 def _series(spark: SparkSession, folder: str) -> DataFrame:
-    """One monthly series per order status, without the cut-off last month."""
-    whole = table(spark, folder, "orders").where("o_orderdate < timestamp_ntz'2001-08-01 00:00:00'")
+    """One monthly series per order status, every month of the table."""
+    whole = table(spark, folder, "orders")
     return whole.groupBy(F.col("o_orderstatus").alias("measure"), F.trunc(F.col("o_orderdate").cast("date"), "month").alias(
         "period_key")).agg(F.sum("o_totalprice").alias("value"))
 
@@ -24,7 +24,7 @@ def _grid(*axes: tuple[float, ...]) -> str:
 
 
 _CTE = f"""RECURSIVE ser AS (SELECT o_orderstatus AS measure, date_trunc('month', o_orderdate)::DATE AS k, sum(o_totalprice) AS v
-  FROM orders WHERE o_orderdate < TIMESTAMP '2001-08-01' GROUP BY 1, 2),
+  FROM orders GROUP BY 1, 2),
 y AS (SELECT measure, k, v, row_number() OVER (PARTITION BY measure ORDER BY k) - 1 AS t, count(*) OVER (PARTITION BY measure) AS n FROM ser),
 o AS (SELECT DISTINCT measure, n, unnest(range(greatest(4, n - 8), n + 1)) AS origin FROM y),
 h AS (SELECT unnest(range(1, 4)) AS h),

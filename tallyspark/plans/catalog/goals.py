@@ -172,20 +172,15 @@ def alert_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 # ----------------------------------------------------------------- rules ---
 
-def _orders_with_count(spark: SparkSession, folder: str) -> Dataset:
-    return orders(spark, folder).slice(date_to="2001-07")
-
-
 @query("insights", """
-WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS k, sum(o_totalprice) AS v FROM orders
-  WHERE o_orderdate < DATE '2001-08-01' GROUP BY 1),
+WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1),
 e AS (SELECT min_by(v, k) AS f, max_by(v, k) AS l, max(k) AS k FROM m),
 z AS (SELECT v AS pv FROM m ORDER BY k DESC LIMIT 1 OFFSET 1),
 n AS (SELECT k, v, row_number() OVER (ORDER BY k) - 1 AS t FROM m),
 fit AS (SELECT regr_intercept(v, t) AS b, regr_slope(v, t) AS a FROM n),
 x AS (SELECT k, v, v - (b + a * t) AS res FROM n, fit),
 y AS (SELECT *, res / stddev_samp(res) OVER () AS dev FROM x),
-d AS (SELECT o_orderstatus AS member, sum(o_totalprice) AS v FROM orders WHERE o_orderdate < DATE '2001-08-01' GROUP BY 1),
+d AS (SELECT o_orderstatus AS member, sum(o_totalprice) AS v FROM orders GROUP BY 1),
 s AS (SELECT *, round(v / sum(v) OVER () * 100, 1) AS share, row_number() OVER (ORDER BY v DESC, member) AS rank FROM d)
 SELECT 'trend' AS category, 'o_totalprice' AS subject, round((l - f) / abs(f) * 100, 4) AS metric,
   CASE WHEN (l - f) / abs(f) >= 0.05 THEN 'good' WHEN (l - f) / abs(f) <= -0.05 THEN 'warning' ELSE 'info' END AS severity FROM e
@@ -198,13 +193,13 @@ UNION ALL SELECT 'pareto', 'o_orderstatus', n, 'info' FROM (SELECT min(rank) FIL
   FROM (SELECT rank, sum(share) OVER (ORDER BY rank) AS c FROM s)) WHERE total > n""")
 def insights(spark: SparkSession, folder: str) -> DataFrame:
     """Every rule but the projection, which has its own queries."""
-    found = rules.insights(_orders_with_count(spark, folder)).where("category <> 'forecast'")
+    found = rules.insights(orders(spark, folder)).where("category <> 'forecast'")
     return rounded(found.select("category", "subject", "metric", "severity"), 4)
 
 
 @query("insights_text")
 def insights_text(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.insights(_orders_with_count(spark, folder)).select("position", "severity", "title", "detail")
+    return rules.insights(orders(spark, folder)).select("position", "severity", "title", "detail")
 
 
 @query("actions")

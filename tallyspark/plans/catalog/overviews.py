@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import overview, series, slices
-from tallyspark.plans.catalog.registry import (EVENTS, ORDERS, SALES, events, lineitem, orders, query, rounded, sales)
+from tallyspark.plans.catalog.registry import (EVENTS, ORDERS, SALES, events, lineitem, orders, query, rounded, sales,
+                                               table)
 
 _MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -175,15 +176,14 @@ def anomalies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("gap_filled_series", """
-WITH d AS (SELECT event_type AS measure, date_trunc('day', ts)::DATE AS k, sum(value) AS v FROM events
-  WHERE value > 40 GROUP BY 1, 2),
+WITH d AS (SELECT user_id::VARCHAR AS measure, date_trunc('day', ts)::DATE AS k, sum(value) AS v FROM events GROUP BY 1, 2),
 s AS (SELECT measure, unnest(generate_series(min(k), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS k
   FROM d GROUP BY 1)
 SELECT measure, strftime(k, '%Y-%m-%d') AS period_key, round(coalesce(v, 0), 2) AS value FROM s LEFT JOIN d USING (measure, k)""")
 def gap_filled_series(spark: SparkSession, folder: str) -> DataFrame:
-    """Days of rare large values; the days between are zeros."""
+    """Each user's days; the days without an event are zeros."""
     ds = events(spark, folder)
-    raw = ds.whole.sparkSession.read.parquet(f"{folder}/events.parquet").where("value > 40")
-    daily = raw.groupBy(F.col("event_type").alias("measure"), F.col("ts").cast("date").alias("period_key")).agg(
+    raw = table(spark, folder, "events")
+    daily = raw.groupBy(F.col("user_id").cast("string").alias("measure"), F.col("ts").cast("date").alias("period_key")).agg(
         F.sum("value").alias("value"))
     return rounded(slices.with_spine(daily, "day", F.lit(ds.data_end()), ["measure"]))

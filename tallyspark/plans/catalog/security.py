@@ -41,8 +41,7 @@ def row_rules_long_list(spark: SparkSession, folder: str) -> DataFrame:
     """Rules given as a table: the facts are semi-joined with it."""
     listed = table(spark, folder, "customer").where("c_mktsegment = 'MACHINERY'").select(
         F.col("c_custkey").alias("o_custkey"))
-    ds = orders(spark, folder)
-    kept = ds.with_frame(ds.frame.join(listed, "o_custkey", "left_semi").select(*ds.frame.columns))
+    kept = security.apply_listed(orders(spark, folder), "o_custkey", listed)
     return rounded(slices.slice_value(kept).select("n_rows", "value"))
 
 
@@ -112,7 +111,7 @@ def pii_share_in_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("log_redaction", r"""
-WITH l AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'Authorization: Bearer ' || md5(text) || '.x' ELSE left(text, 80) END AS line,
+WITH l AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'Authorization: Bearer ' || md5(text) || '.x' ELSE text END AS line,
   md5(text) AS t FROM documents)
 SELECT doc_id, regexp_replace(line, '(Bearer\s+)[A-Za-z0-9._\-]+', '\1[redacted]', 'gi') AS line, '[redacted]' AS api_key,
   lang_value AS lang FROM (SELECT l.*, d.lang AS lang_value FROM l JOIN documents d USING (doc_id))""")
@@ -120,7 +119,7 @@ def log_redaction(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     line = F.when(F.col("source") == "src0", F.concat(F.lit("Authorization: Bearer "), F.md5(F.col("text").cast("binary")),
-                                                      F.lit(".x"))).otherwise(F.substring("text", 1, 80))
+                                                      F.lit(".x"))).otherwise(F.col("text"))
     log = docs.select("doc_id", line.alias("line"), F.create_map(
         F.lit("api_key"), F.md5(F.col("text").cast("binary")), F.lit("lang"), F.col("lang")).alias("extra"))
     out = governance.redact_log(log, "line", "extra")

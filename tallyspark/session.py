@@ -28,7 +28,11 @@ def local_session(cpus: int | str = 8, app: str = "tallyspark", shuffle_partitio
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A new folder below the shared one of ``spark.checkpoint.dir``; where that
-    is unset, as in tests, below this machine's temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyspark-")
+    """A new folder below the shared one of ``spark.checkpoint.dir``.  A session on one machine
+    that sets none, as in tests, gets a temporary folder; on a cluster a shared one must be set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tallyspark-")
     return f"{root.rstrip('/')}/run-{uuid.uuid4().hex}"

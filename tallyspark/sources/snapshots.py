@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.model import BATCH_COLUMN, AnalysisError
 
 MANIFEST = "_manifest"
-MANIFEST_SCHEMA = "table_name string, n_rows long"
+COUNTS = "table_name string, n_rows long"
+MANIFEST_SCHEMA = f"{COUNTS}, schema string"
 
 
 def _count(df: DataFrame, name: str) -> DataFrame:
@@ -19,22 +23,33 @@ def _count(df: DataFrame, name: str) -> DataFrame:
 
 
 def _union(parts: list[DataFrame], spark: SparkSession) -> DataFrame:
-    out = spark.createDataFrame([], MANIFEST_SCHEMA)
+    out = spark.createDataFrame([], COUNTS)
     for p in parts:
         out = out.unionByName(p)
     return out
 
 
 def create(spark: SparkSession, tables: Mapping[str, DataFrame], target: str) -> DataFrame:
-    """Write every table, then the manifest, counted from what was written.  A
-    target that is not empty is refused."""
+    """Write every table, then the manifest, with the rows counted in what was
+    written and the schema.  A target that holds anything is refused."""
+    if _holds_files(spark, target):
+        raise AnalysisError(f"{target} is not empty")
     for name, df in tables.items():
         df.write.mode("error").parquet(f"{target}/{name}")
-    counts = _union([_count(spark.read.parquet(f"{target}/{n}"), n) for n in tables], spark)
-    counts.coalesce(1).write.mode("error").parquet(f"{target}/{MANIFEST}")
+    counts = _union([_count(spark.read.schema(df.schema).parquet(f"{target}/{n}"), n) for n, df in tables.items()], spark)
+    schemas = spark.createDataFrame([(n, df.schema.json()) for n, df in tables.items()], "table_name string, schema string")
+    counts.join(schemas, "table_name").select(*[c.split()[0] for c in MANIFEST_SCHEMA.split(", ")]).coalesce(1).write.mode(
+        "error").parquet(f"{target}/{MANIFEST}")
     return manifest(spark, target)
 
 
+def _holds_files(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").isEmpty()
+    except AnalysisException:  # no such folder
+        return False
+
+
 def manifest(spark: SparkSession, source: str) -> DataFrame:
     try:
         return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{source}/{MANIFEST}")
@@ -44,16 +59,20 @@ def manifest(spark: SparkSession, source: str) -> DataFrame:
 
 def verify(spark: SparkSession, source: str) -> DataFrame:
     """One row per table of the manifest: expected rows, found rows (null when
-    unreadable) and whether they agree."""
+    the files cannot be read) and whether they agree.
+
+    A table is read in full, as its schema in the manifest has it, so that damage shows here."""
     expected = manifest(spark, source)
-    parts = []
-    for row in expected.select("table_name").collect():  # one row per table
+    found = []
+    for row in expected.collect():  # one row per table
         try:
-            parts.append(_count(spark.read.parquet(f"{source}/{row['table_name']}"), row["table_name"]))
-        except AnalysisException:
-            continue
-    found = _union(parts, spark).withColumnRenamed("n_rows", "found")
-    return expected.withColumnRenamed("n_rows", "expected").join(found, "table_name", "left").withColumn(
+            df = spark.read.schema(T.StructType.fromJson(json.loads(row["schema"]))).parquet(f"{source}/{row['table_name']}")
+            whole = df.agg(F.count(F.lit(1)), *[F.count(c) for c in df.columns]).first()
+            found.append((row["table_name"], whole[0]))
+        except (PySparkException, Py4JJavaError):
+            found.append((row["table_name"], None))
+    rows = spark.createDataFrame(found, "table_name string, found long")
+    return expected.select("table_name", F.col("n_rows").alias("expected")).join(rows, "table_name", "left").withColumn(
         "ok", F.col("expected").eqNullSafe(F.col("found")))
 
 

@@ -39,12 +39,11 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def create_table(df: DataFrame, path: str, batch_id: str) -> DataFrame:
     """First load of a table: clean names, a provenance column, and at least one row."""
+    if df.isEmpty():
+        raise AnalysisError("no data rows")
     tagged = df.toDF(*clean_names(df.columns)).withColumn(BATCH_COLUMN, F.lit(batch_id))
     tagged.write.mode("error").partitionBy(BATCH_COLUMN).parquet(path)
-    written = df.sparkSession.read.schema(tagged.schema).parquet(path)
-    if written.isEmpty():
-        raise AnalysisError("no data rows")
-    return written
+    return df.sparkSession.read.schema(tagged.schema).parquet(path)
 
 
 def write_csv(ds: Dataset, path: str) -> None:

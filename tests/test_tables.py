@@ -189,3 +189,52 @@ def test_redaction(spark):
                                "line string, extra map<string,string>")
     row = df.select(redact_text(F.col("line")), redact_map(F.col("extra"))).first()
     assert row[0] == "Bearer [redacted] next" and row[1] == {"api_key": "[redacted]", "note": "bearer [redacted]"}
+
+
+def test_cleaned_names_are_free(spark):
+    from tallyspark.functions.text import clean_name, clean_names
+    assert clean_names(["a", "a_1", "a"]) == ["a", "a_1", "a_2"] and clean_names(["x y", "x-y", "x_y_1"]) == ["x_y", "x_y_2", "x_y_1"]
+    assert [clean_name(n) for n in (" Net  Sales (%) ", "2024", "é", "_a_")] == ["Net_Sales", "c_2024", "col", "a"]
+
+
+def test_joined_names_are_distinct(dataset):
+    from tallyspark.operators import joins
+    left = dataset("k v r_v", [("a", 1, 2)], measures=("v", "r_v"))
+    right = dataset("k v", [("a", 3)], measures=("v",))
+    out = joins.join(left, __import__("dataclasses").replace(right, name="r"), "k", "k")
+    assert out.columns == ["k", "v", "r_v", "r_v_1"] and rows(out) == [("a", 1, 2, 3)]
+
+
+def test_snapshot_refuses_full_targets_and_tells_damage(spark, tmp_path):
+    from tallyspark.model import AnalysisError
+    from tallyspark.sources import snapshots
+    tables = {"one": spark.range(50), "two": spark.range(9)}
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x").write_text("here")
+    with pytest.raises(AnalysisError):
+        snapshots.create(spark, tables, f"{tmp_path}/other")
+    snapshots.create(spark, tables, f"{tmp_path}/s")
+    for part in (tmp_path / "s" / "two").glob("part-*"):
+        part.write_bytes(b"PAR1 damaged PAR1")
+    for crc in (tmp_path / "s" / "two").glob(".part-*.crc"):
+        crc.unlink()
+    assert {r["table_name"]: r["ok"] for r in snapshots.verify(spark, f"{tmp_path}/s").collect()} == {"one": True, "two": False}
+
+
+def test_large_keys_keep_their_value_in_a_sample(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import ranking
+    big = spark.range(4000).select((F.col("id") + 2**60).alias("key"))
+    assert ranking.systematic_sample(big, "key", 400).count() == 400
+
+
+def test_buckets_of_heavy_tails_are_even(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.operators import ranking
+    df = spark.range(200_000).select(F.exp(F.randn(7) * 3).alias("v"))
+    edges = ranking.sketch(df, [], ["v"]).edges["v"]
+    sizes = [r["count"] for r in df.groupBy(ranking._bucket(F.col("v"), edges, "double").alias("b")).count().collect()]
+    assert max(sizes) < 0.02 * 200_000
+    assert ranking.quantiles(df, [], ["v"], [0.5]).first()["q0"] == df.agg(F.percentile("v", 0.5)).first()[0]
