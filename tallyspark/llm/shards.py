@@ -9,11 +9,12 @@ the given number of shards.
 The sizes summed up to each group are computed in two steps (sums of 4,096 ranges
 of the hash, then within a range), so no task holds all groups.  Filling only asks
 for the last group that ends at or before a point.  The driver answers from a
-summary: of up to 4,096 stretches the first and last end.  Where that leaves the
-answer open, the capacity is bounded from both sides, and only the stretches in
-question (at most one per shard) are summarised anew, 256 times as finely,
-until both bounds and both fillings agree.  The result is exact; the driver
-holds some thousand numbers, whatever the number of groups.
+summary: of up to ``_STRETCHES`` stretches the first and last end.  Where that
+leaves the answer open, the capacity is bounded from both sides, and the parts in
+question (at most one per shard) are summarised anew by as many stretches, until
+both bounds and both fillings agree.  The parts shrink by the stretches per shard
+squared or so, so a few rounds do.  The result is exact; the driver holds some
+ten thousand numbers, whatever the number of groups.
 
 A null text counts as an empty one.  Rows that repeat are rows of one group.
 An empty table gives an empty result.  Extra columns are ignored.
@@ -21,6 +22,7 @@ An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from bisect import bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm.shared import written
 
-_RANGES, _FINER, _CELLS = 4096, 256, 256
+_RANGES, _STRETCHES, _CELLS = 4096, 1 << 15, 256
 OVERHEAD = 16
 
 
@@ -82,36 +84,30 @@ def cuts(groups: DataFrame, shards: int) -> list[int]:
         return []
     low = max(largest, -(-total // shards))
 
-    def summary(cell: Column, where: Column | None = None) -> list[tuple[int, int]]:
+    def summary(width: int, where: Column | None = None) -> list[tuple[int, int]]:
         part = groups if where is None else groups.where(where)
-        return [(r[1], r[2]) for r in part.groupBy(cell.alias("cell")).agg(F.min("end"), F.max("end")).collect()]
+        return [(r[1], r[2]) for r in part.groupBy(F.floor(F.col("end") / F.lit(width))).agg(F.min("end"), F.max("end")).collect()]
 
-    known = _Summary(summary(F.floor(F.col("end") / F.lit(total / _RANGES + 1))), total)
+    known = _Summary(summary(total // _STRETCHES + 1), total)
     while True:
         sure, hope = known.least(low, shards, False), known.least(low, shards, True)
         slow, fast = known.fill(hope, shards, False), known.fill(sure, shards, True)
         if sure == hope and slow == fast:
             return fast
-        # every point that a filling with a capacity between the bounds may ask for
-        asked, a, b = [], 0, 0
+        # every point that a filling with a capacity between the bounds may ask for, and the open stretches there
+        asked: list[list[int]] = []
+        a = b = 0
         for _ in range(shards):
             x, y = a + hope, b + sure
-            asked.append((x, y))
-            a, b = max(a, known.last_end(x)[0]), known.last_end(y)[1]
-        open_ = [(p, q) for p, q in known.stretches if p < q and any(x < q and p <= y for x, y in asked)]
-        merged: list[list[int]] = []
-        for p, q in open_:
-            if merged and len(merged) >= shards:
-                merged[-1][1] = q
-            else:
-                merged.append([p, q])
-        cell, where = F.lit(None).cast("long"), F.lit(False)
-        for k, (p, q) in enumerate(merged):
-            own = F.col("end").between(p, q)
-            where = where | own
-            cell = F.when(own, k * (_FINER + 1) + F.floor((F.col("end") - p) / F.lit((q - p) / _FINER + 1 / _FINER))).otherwise(cell)
-        fresh = summary(cell, where)
-        known.put([s for s in known.stretches if not any(p <= s[0] and s[1] <= q for p, q in merged)] + fresh)
+            a, b = known.last_end(x)[0], known.last_end(y)[1]
+            inside = [s for s in known.stretches if s[0] < s[1] and x < s[1] and s[0] <= y]
+            if inside and asked and inside[0][0] <= asked[-1][1]:
+                asked[-1][1] = max(asked[-1][1], inside[-1][1])
+            elif inside:
+                asked.append([inside[0][0], inside[-1][1]])
+        width = sum(q - p for p, q in asked) // _STRETCHES + 1
+        where = functools.reduce(lambda u, v: u | v, [F.col("end").between(p, q) for p, q in asked])
+        known.put([s for s in known.stretches if not any(p <= s[0] and s[1] <= q for p, q in asked)] + summary(width, where))
 
 
 def sharded(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -47,8 +47,7 @@ def test_shards_are_the_smallest_that_any_cut_allows(docs, prose):
 
 
 def test_cuts_are_refined_until_exact(spark, monkeypatch):
-    monkeypatch.setattr(shards, "_RANGES", 8)
-    monkeypatch.setattr(shards, "_FINER", 4)
+    monkeypatch.setattr(shards, "_STRETCHES", 400)
     sizes = [16 + (k * 7919) % 400 for k in range(3000)] + [9000]
     at, rows = 0, []
     for s in sizes:
