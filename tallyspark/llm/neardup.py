@@ -168,10 +168,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shares = named.groupBy("band", "value", "component").agg(F.count("*").alias("size"))
     split = shares.groupBy("band", "value").agg(F.max_by("component", F.struct("size", "component")).alias("main"),
                                                 F.count("*").alias("parts")).where("parts > 1")
-    open_ = written(named.join(split, ["band", "value"]).join(classes.select("rep", "bits"), "rep").select(
-        "rep", "n_shingles", "band", "value", "component", "main", *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]))
+    open_ = written(named.join(split, ["band", "value"]).join(classes.select("rep", "bits", "bands"), "rep").select(
+        "rep", "n_shingles", "band", "value", "component", "main", "bands", *[F.col("bits")[i].alias(f"s{i}") for i in range(4)]))
     # how many open texts have each shingle
-    one = open_.dropDuplicates(["rep"]).drop("band", "value", "main")
+    one = open_.dropDuplicates(["rep"]).drop("band", "value", "main", "bands")
     rows = texts.join(one.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_shingle_rows, "rep long, shingle long")
     rows = written(rows.join(rows.groupBy("shingle").agg(F.count("*").alias("texts")).where("texts > 1"), "shingle"))
     enough = rows.groupBy("rep").agg(F.count("*").alias("shared"), F.count_if(F.col("texts") >= RARE).alias("common"))
@@ -188,8 +188,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pair = F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")
     by_shingle = rare.alias("x").join(rare.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.rep") < F.col("y.rep"))
                                       & alike("shared")).select(*pair)
+    # of the buckets that two texts share, the first pairs them
+    once = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True) == F.col("x.band") + 1
     by_bucket = open_.where("component <> main").alias("x").join(
-        open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & alike("common")).select(*pair)
+        open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & alike("common") & once).select(*pair)
     rest = written(by_shingle.union(by_bucket).distinct().join(first, ["a", "b"], "left_anti"))
     second = _verified(rest, texts)
     final = components(first.select("a", "b").union(second.select("a", "b")))
