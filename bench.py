@@ -16,7 +16,7 @@ HEADLINE = (
     "slice_value", "slice_stats", "grain_trend_month", "period_compare_month", "contributors", "breakdown_with_other",
     "breakdown_median_other", "records_page", "kpi_totals", "kpi_delta", "breakdown_share", "distribution", "treemap",
     "filter_options", "correlation_pairs", "anomalies", "variance_waterfall", "variance_ranking", "significance",
-    "pvm_total", "drivers", "metrics_all", "targets_eval", "row_rules", "masked_projection", "quality_columns",
+    "pvm_total", "drivers", "metrics_all", "targets_eval", "row_rules", "masked_projection", "quality_columns", "pii_detect",
     "duplicate_rows", "append_dedup", "replace_period", "join_facts", "forecast_best", "chunks", "bm25_top", "hash_embed",
     "hybrid_topk", "number_gate", "stream_trend_day")
 

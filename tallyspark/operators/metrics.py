@@ -33,8 +33,8 @@ class Part:
             raise AnalysisError(f"unknown column {self.column!r}")
         return self
 
-    def over(self, ds: Dataset, when: Column | None = None) -> Column:
-        """The aggregate, of the rows where ``when`` holds."""
+    def over(self, ds: Dataset, when: Column | None = None, medians: Column | None = None) -> Column:
+        """The aggregate, of the rows where ``when`` holds; ``medians`` are those of ``_medians``, where known."""
         if self.agg == "count":
             return (F.count(F.lit(1)) if when is None else F.count_if(when)).cast("double")
         raw = F.col(self.column)
@@ -42,9 +42,7 @@ class Part:
             return F.count_distinct(raw if when is None else F.when(when, raw)).cast("double")
         value = number(raw) if when is None else F.when(when, number(raw))
         if self.agg == "median":
-            # exact and outside the shared pass: ranked without gathering the rows
-            rows = ds.frame if when is None else ds.frame.where(when)
-            return F.max(ranking.quantiles(rows, [], [self.column], [0.5]).select("q0").scalar())
+            return F.max(F.element_at(_medians(ds, [self], when) if medians is None else medians, F.lit(self.column)))
         return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[self.agg](value)
 
 
@@ -61,22 +59,36 @@ class Metric:
     def scale(self) -> float:
         return 100.0 if self.format == "percent" else 1.0
 
-    def over(self, ds: Dataset, when: Column | None = None) -> Column:
-        top = self.numerator.check(ds).over(ds, when)
-        if self.denominator is not None:
-            top = ratio(top, self.denominator.check(ds).over(ds, when))
-        return top * self.scale
+    @property
+    def parts(self) -> list[Part]:
+        return [p for p in (self.numerator, self.denominator) if p is not None]
+
+    def over(self, ds: Dataset, when: Column | None = None, medians: Column | None = None) -> Column:
+        values = [p.check(ds).over(ds, when, medians) for p in self.parts]
+        return (values[0] if len(values) == 1 else ratio(*values)) * self.scale
+
+
+def _medians(ds: Dataset, parts: Sequence[Part], when: Column | None = None) -> Column | None:
+    """Medians by column, as one map value, ranked together without gathering the rows."""
+    columns = sorted({p.column for p in parts if p.agg == "median"})
+    if not columns:
+        return None
+    rows = ds.frame if when is None else ds.frame.where(when)
+    found = ranking.quantiles(rows, [], columns, [0.5])
+    return found.agg(F.map_from_entries(F.collect_list(F.struct("measure", "q0")))).scalar()
 
 
 def evaluate(ds: Dataset, metrics: Sequence[Metric]) -> DataFrame:
     """All metrics in one pass; one that cannot be computed is a row with its
     error and does not stop the others."""
-    good, bad = [], []
+    sound, bad = [], []
     for m in metrics:
         try:
-            good.append((m.name, m.over(ds)))
+            sound.append((m, [p.check(ds) for p in m.parts]))
         except AnalysisError as problem:
             bad.append((m.name, str(problem)))
+    medians = _medians(ds, [p for _, parts in sound for p in parts])
+    good = [(m.name, m.over(ds, medians=medians)) for m, _ in sound]
     row = ds.frame.agg(*[c.alias(f"v{i}") for i, (_, c) in enumerate(good)]) if good else ds.frame.agg(
         F.count(F.lit(1)))
     shape = [F.struct(F.lit(n).alias("metric"), F.col(f"v{i}").cast("double").alias("value"),

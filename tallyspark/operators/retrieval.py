@@ -110,35 +110,51 @@ def terms(question: str) -> list[str]:
     return sorted(set(re.findall(text.TOKEN, question.lower())))
 
 
+def _counted(chunks: DataFrame, question: str, *keep: str) -> tuple[DataFrame, Column]:
+    """Each text's length and its counts of the question's terms, row by row, and the corpus'
+    figures as one value: texts, mean length, texts with each term."""
+    asked, body, edge = terms(question), F.lower("text"), text.TOKEN[:-1]
+    pattern = f"(?<!{edge})(?:{'|'.join(asked)})(?!{edge})" if asked else "(?!)"
+    found = chunks.select(*keep, F.regexp_count(body, F.lit(text.TOKEN)).alias("length"),
+                          F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("found"))
+    rows = found.select(*keep, "length", F.array(*[_times(t) for t in asked]).cast("array<int>").alias("tf"))
+    corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.array(
+        *[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(asked))]).cast("array<bigint>").alias("df")))
+    return rows, corpus.scalar()
+
+
+def _times(term: str) -> Column:
+    return F.size(F.filter("found", lambda w: w == term))
+
+
+def _bm25(tf: Column, length: Column, corpus: Column, k1: float, b: float) -> Column:
+    """The score of a row: a sum over the terms, in their order."""
+    long = k1 * (1 - b + b * length / corpus["mean"])
+
+    def part(times: Column, df: Column) -> Column:
+        idf = F.log(1 + (corpus["n"] - df + 0.5) / (df + 0.5))
+        return F.when(times > 0, idf * times * (k1 + 1) / (times + long)).otherwise(0.0)
+
+    return F.aggregate(F.zip_with(tf, corpus["df"], part), F.lit(0.0), lambda s, x: s + x)
+
+
 def bm25(chunks: DataFrame, question: str, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
     """``score`` of the chunks that share a term with the question.
 
-    A text is reduced to its counts of the question's terms before anything
-    moves, so what is shuffled grows with the matches and not with the texts."""
-    asked = terms(question)
-    body = F.lower("text")
-    if not asked:
-        return chunks.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
-    edge = text.TOKEN[:-1]
-    found = F.regexp_extract_all(body, F.lit(f"(?<!{edge})(?:{'|'.join(asked)})(?!{edge})"), F.lit(0))
-    # every text also holds the empty term once: it counts texts and their lengths
-    reduced = chunks.select(key, F.regexp_count(body, F.lit(text.TOKEN)).alias("length"),
-                            F.concat(found, F.array(F.lit(""))).alias("found"))
-    hits = reduced.select(key, "length", F.explode_outer("found").alias("term"))
-    tf = hits.groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # one row per term of the question
-    once = F.col("term") == ""
-    # conditions inside the aggregates, so that all three readers share one shuffle of tf
-    corpus = tf.agg(F.struct(F.count_if(once).alias("n"), F.avg(F.when(once, F.col("length"))).alias("mean")))
-    idf = F.log(1 + (F.col("s.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    long = k1 * (1 - b + b * F.col("length") / F.col("s.mean"))
-    part = F.when(~once, idf * F.col("tf") * (k1 + 1) / (F.col("tf") + long)).otherwise(F.lit(0.0))
-    scored = tf.join(F.broadcast(df), "term").withColumn("s", corpus.scalar())
-    return scored.groupBy(key).agg(F.sum(part).alias("score")).where("score > 0")
+    Texts are scored where they lie: a first pass reduces them to the corpus'
+    figures, a second scores each row.  Nothing is shuffled but those figures."""
+    rows, corpus = _counted(chunks, question, key)
+    scored = rows.where(F.exists("tf", lambda n: n > 0)).withColumn("_c", corpus)
+    return scored.select(key, _bm25(F.col("tf"), F.col("length"), F.col("_c"), k1, b).alias("score")).where("score > 0")
 
 
 def embed(chunks: DataFrame, key: str = "chunk_id", body: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """``key``, ``embedding``: hashed character trigrams of ``#word#``, of unit
+    """``key``, ``embedding``, see ``_vectors``."""
+    return chunks.select(key, _vectors(F.col(body), dimensions).alias("embedding"))
+
+
+def _vectors(body: Column, dimensions: int) -> Column:
+    """Hashed character trigrams of ``#word#``, of unit
     length (all zero for a text without letters or digits).  The md5 of a trigram
     gives its bucket (first four bytes, little-endian) and sign (parity of the fifth).
 
@@ -167,9 +183,9 @@ def embed(chunks: DataFrame, key: str = "chunk_id", body: str = "text", dimensio
 
         return lines.map(unit)
 
-    plain = F.regexp_replace(F.lower(F.coalesce(F.col(body), F.lit(""))), r"[^\p{L}\p{N}]+", " ")
+    plain = F.regexp_replace(F.lower(F.coalesce(body, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
     # marked non-deterministic so that filters and projections above do not repeat the call
-    return chunks.select(key, vectors.asNondeterministic()(plain).alias("embedding"))
+    return vectors.asNondeterministic()(plain)
 
 
 def missing_embeddings(chunks: DataFrame, embedded: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -214,6 +230,11 @@ def hybrid(word_scores: DataFrame, vector_scores: DataFrame, k: int = TOP_K, key
     shares the join's shuffles, so that no text is scored twice."""
     both = word_scores.select(key, F.col("score").alias("w")).join(
         vector_scores.select(key, F.col("score").alias("v")), key, "full_outer")
+    return _blended(both, k, key)
+
+
+def _blended(both: DataFrame, k: int, key: str) -> DataFrame:
+    """The best of (key, w, v), a missing score being 0 on the scale."""
     ends = both.agg(F.struct(*[f(c).alias(f"{c}_{n}") for c in "wv" for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
 
     def scaled(c: str) -> Column:
@@ -224,6 +245,25 @@ def hybrid(word_scores: DataFrame, vector_scores: DataFrame, k: int = TOP_K, key
     return top_k(scores.withColumn("score", 0.5 * F.col("word_score") + 0.5 * F.col("vector_score")), k, key)
 
 
+def hybrid_texts(chunks: DataFrame, question: str, k: int = TOP_K, key: str = "chunk_id") -> DataFrame:
+    """``hybrid`` of texts that have no stored vectors: words and vectors are scored in one pass
+    over the texts, and only keys and scores move, once for the ends of the scales and the ranking."""
+    spark = chunks.sparkSession
+    query = embed_question(spark, question)
+    rows, _ = _counted(chunks.select(key, "text", _vectors(F.col("text"), DIMENSIONS).alias("_v")), question, key, "_v")
+    norm = sum(v * v for v in query) ** 0.5 or 1.0
+    dot = F.aggregate(F.zip_with("_v", F.array(*[F.lit(v) for v in query]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    _, figures = _counted(chunks, question, key)
+    word = F.when(F.exists("tf", lambda n: n > 0), _bm25(F.col("tf"), F.col("length"), F.col("_c"), K1, B))
+    scored = rows.withColumn("_c", figures).select(key, F.when(word > 0, word).alias("w"), (dot / norm).alias("v"))
+    return _blended(scored.repartition(key), k, key)
+
+
+def sourced(ranked: DataFrame, chunks: DataFrame, *columns: str, key: str = "chunk_id") -> DataFrame:
+    """Ranked hits with columns of their chunk, such as title, locator and text; ``ranked`` is a top-k."""
+    return chunks.select(key, *columns).join(F.broadcast(ranked), key)
+
+
 # -------------------------------------------------------- offline answers ---
 
 def _overlap(body: Column, wanted: Sequence[str], stop: bool) -> Column:

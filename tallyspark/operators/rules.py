@@ -249,4 +249,5 @@ def actions(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Tar
     out = rules[0]
     for rule in rules[1:]:
         out = out.unionByName(rule)
-    return out.orderBy(_place(F.col("severity"), URGENCY), F.desc("magnitude"), "id").limit(max(1, min(limit, 20)))
+    urgency = Window.orderBy(_place(F.col("severity"), URGENCY), F.desc("magnitude"), "id")  # a few rows a rule
+    return out.withColumn("position", F.row_number().over(urgency)).where(F.col("position") <= max(1, min(limit, 20)))

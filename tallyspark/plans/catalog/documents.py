@@ -96,6 +96,15 @@ em AS (SELECT doc_id, bucket, w / norm AS w FROM sm JOIN nm USING (doc_id) WHERE
     question=QUESTION.replace("'", "''"))
 
 
+@query("bm25_sources", f"""WITH {_BM25}, top AS (SELECT * FROM bm ORDER BY bm.score DESC, doc_id LIMIT 8)
+SELECT doc_id, source, lang, text, round(top.score, 6) AS score FROM top JOIN documents USING (doc_id)""")
+def bm25_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The best texts with where they come from and what they say."""
+    docs = _docs(spark, folder)
+    best = retrieval.top_k(retrieval.bm25(docs, QUESTION, "doc_id"), key="doc_id")
+    return rounded(retrieval.sourced(best, docs, "source", "lang", "text", key="doc_id"), 6)
+
+
 @query("hash_embed", f"WITH {_EMBED} SELECT doc_id, bucket, round(w, 6) AS weight FROM em WHERE w <> 0 AND doc_id >= 0")
 def hash_embed(spark: SparkSession, folder: str) -> DataFrame:
     e = retrieval.embed(_docs(spark, folder), "doc_id")
@@ -128,8 +137,7 @@ SELECT doc_id, round(w, 6) AS word_score, round(v, 6) AS vector_score, round(0.5
 ORDER BY 0.5 * w + 0.5 * v DESC, doc_id LIMIT 8""")
 def hybrid_topk(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    vectors = retrieval.cosine(retrieval.embed(docs, "doc_id"), retrieval.embed_question(spark, QUESTION), "doc_id")
-    return rounded(retrieval.hybrid(retrieval.bm25(docs, QUESTION, "doc_id"), vectors, key="doc_id"), 6)
+    return rounded(retrieval.hybrid_texts(docs, QUESTION, key="doc_id"), 6)
 
 
 _STEMS = "[" + ", ".join(f"'{s}'" for s in retrieval._asked_stems(QUESTION, True)) + "]"

@@ -164,7 +164,13 @@ def alert_history(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(goals.alert_history(daily, "gt", 1000.0, ["event_type"], "day"))
 
 
-@query("alert_messages")
+@query("alert_messages", f"""WITH {_TARGETS},
+m AS (SELECT date_trunc('month', o_orderdate) AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1),
+z AS (SELECT v, lag(v) OVER (ORDER BY k) AS pv FROM m ORDER BY k DESC LIMIT 1),
+x AS (SELECT 'a1' AS alert_id, 'total o_totalprice' AS what, (SELECT sum(v) FROM m) AS value, '' AS unit, '> 1.0' AS bound
+  UNION ALL SELECT 'a3', 'month-over-month change of o_totalprice', (v - pv) / abs(pv) * 100, '%', '≤ -20.0' FROM z WHERE (v - pv) / abs(pv) * 100 <= -20
+  UNION ALL SELECT 'a4', 'pace against target for o_totalprice', ratio * 100, '%', '≥ 1000000.0' FROM t WHERE target_id = 't3' AND ratio * 100 >= 1e6)
+SELECT alert_id, what || ' is ' || format('{{:,.2f}}', value) || unit || ' (threshold ' || bound || ').' AS text FROM x""")
 def alert_messages(spark: SparkSession, folder: str) -> DataFrame:
     values = goals.alert_values(orders(spark, folder), ALERTS, TARGETS)
     return goals.message(goals.alert_states(values)).select("alert_id", "text")

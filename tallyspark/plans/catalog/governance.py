@@ -96,7 +96,7 @@ def _workspace(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     who = F.col("user_id").cast("string")
     return {"users": ev.select(who.alias("user_id")).distinct(), "audit": _audit(spark, folder),
             "alerts": ev.where("event_type = 'error'").select("event_id", who.alias("created_by")),
-            "reports": ev.groupBy("event_type").agg(F.sort_array(F.collect_set(
+            "reports": ev.groupBy(F.concat("event_type", F.to_date("ts").cast("string")).alias("report_id")).agg(F.sort_array(F.collect_set(
                 F.concat(F.lit("user"), who, F.lit("@example.com")))).alias("recipients"))}
 
 
@@ -104,13 +104,13 @@ def _workspace(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 SELECT 'users' AS table_name, count(DISTINCT user_id) - 1 AS n_rows, 0 AS cleared FROM events
 UNION ALL SELECT 'audit', count(*), count(*) FILTER (user_id = 7) FROM events
 UNION ALL SELECT 'alerts', count(*), count(*) FILTER (user_id = 7) FROM events WHERE event_type = 'error'
-UNION ALL SELECT 'reports', count(DISTINCT event_type), count(DISTINCT event_type) FILTER (user_id = 7) FROM events""")
+UNION ALL SELECT 'reports', count(DISTINCT event_type || ts::DATE), count(DISTINCT event_type || ts::DATE) FILTER (user_id = 7) FROM events""")
 def member_erasure(spark: SparkSession, folder: str) -> DataFrame:
     before = _workspace(spark, folder)
     after = governance.erase_member(before, "7", "USER7@example.com")
     n = F.count(F.lit(1)).alias("n_rows")
     gone = F.count_if(F.size("recipients") < F.size("was")).alias("cleared")
-    mail = before["reports"].select("event_type", F.col("recipients").alias("was")).join(after["reports"], "event_type")
+    mail = before["reports"].select("report_id", F.col("recipients").alias("was")).join(after["reports"], "report_id")
     parts = {"users": after["users"].agg(n, F.lit(0).cast("long").alias("cleared")),
              "audit": after["audit"].agg(n, F.count_if(F.col("user_id") == "erased").alias("cleared")),
              "alerts": after["alerts"].agg(n, F.count_if(F.col("created_by").isNull()).alias("cleared")),

@@ -46,21 +46,22 @@ def dashboard(ds: Dataset, measure: str | None = None, level: StorageLevel = Sto
 
 def fact_sheet(ds: Dataset, measure: str | None = None) -> DataFrame:
     """``section``, ``name``, ``value``: the numbers a narrative may use."""
-    board = dashboard(ds, measure)
-
+    monthly = overview.monthly_series(ds) if ds.date_column and ds.measures else None
+    first = next(iter(ds.dimensions), None)
     def facts(df: DataFrame, section: str, name: Column, value: Column) -> DataFrame:
         return df.select(F.lit(section).alias("section"), name.cast("string").alias("name"),
                          value.cast("double").alias("value"))
 
-    parts = [facts(board["kpis"], "total", F.col("measure"), F.col("total"))]
-    if "deltas" in board:
-        parts.append(facts(board["deltas"], "mom_change_pct", F.col("measure"), F.col("delta_pct")))
-        for rate in ("mom", "qoq", "yoy"):
-            parts.append(facts(board["growth"], rate, F.col("measure"), F.col(rate)))
-    if "pareto" in board:
-        parts.append(facts(board["pareto"].where("rank = 1"), "top_n_for_80pct", F.col("dimension"), F.col("n_for_80")))
-    if "correlations" in board:
-        parts.append(facts(board["correlations"].where("strongest"), "strongest_correlation",
+    parts = [facts(overview.kpi_totals(ds), "total", F.col("measure"), F.col("total"))]
+    if monthly is not None:
+        parts.append(facts(series.latest_delta(monthly), "mom_change_pct", F.col("measure"), F.col("delta_pct")))
+        rates = series.growth(monthly)
+        parts += [facts(rates, rate, F.col("measure"), F.col(rate)) for rate in ("mom", "qoq", "yoy")]
+    if first and ds.measures:
+        shares = overview.breakdown_shares(ds, measure).where(F.col("dimension") == first)
+        parts.append(facts(series.pareto(shares).where("rank = 1"), "top_n_for_80pct", F.col("dimension"), F.col("n_for_80")))
+    if len(ds.measures) > 1:
+        parts.append(facts(overview.correlation_pairs(ds).where("strongest"), "strongest_correlation",
                            F.concat_ws(" ~ ", "x", "y"), F.col("r")))
     out = parts[0]
     for p in parts[1:]:
@@ -114,8 +115,7 @@ def report(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Targ
     else:
         parts.append(lines(totals, "Key numbers", place, head))
     todo = rules.actions(ds, m, targets, 5)
-    parts.append(lines(todo, "Recommended actions", F.monotonically_increasing_id(), F.concat(
-        "title", F.lit(". "), "why")))
+    parts.append(lines(todo, "Recommended actions", F.col("position"), F.concat("title", F.lit(". "), "why")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
