@@ -246,7 +246,26 @@ def decomposition_tree(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(tree.select("level", "dimension", "member", "a", "b", "delta"))
 
 
-@query("change_sentence")
+def _money(v: str) -> str:
+    return (f"CASE WHEN {v} >= 1e7 THEN '₹' || format('{{:.2f}}', {v} / 1e7) || ' Cr' WHEN {v} >= 1e5 THEN '₹' || "
+            f"format('{{:.2f}}', {v} / 1e5) || ' L' ELSE '₹' || format('{{:,.0f}}', {v}) END")
+
+
+def _signed(v: str) -> str:
+    return f"(CASE WHEN {v} > 0 THEN '+' ELSE '−' END || {_money(f'abs({v})')})"
+
+
+@query("change_sentence", f"""WITH {SALES}, {_Q},
+g AS (SELECT o_orderstatus AS member, {_sums('o_orderdate', 'o_totalprice')} FROM s, p GROUP BY 1),
+t AS (SELECT sum(a) AS a, sum(b) AS b, sum(b) - sum(a) AS d FROM g),
+l AS (SELECT CASE WHEN d > 0 THEN max_by(member, g.b - g.a) ELSE min_by(member, g.b - g.a) END AS member,
+  CASE WHEN d > 0 THEN max(g.b - g.a) ELSE min(g.b - g.a) END AS m, d, t.a FROM g, t GROUP BY d, t.a)
+SELECT round(d, 2) AS delta, 'O totalprice ' || CASE WHEN d > 0 THEN 'rose ' ELSE 'fell ' END || format('{{:.1f}}% ', abs(d / a * 100)) ||
+  '(' || {_signed('d')} || ') from Oct 2000 – Dec 2000 to Jan 2001 – Mar 2001' || CASE WHEN sign(m) <> sign(d) THEN ''
+  WHEN abs(m / d) * 100 > 100 THEN ' — o orderstatus ' || member || ' alone moved ' || {_signed('m')} ||
+    ', more than the whole change; other o orderstatus values ' || CASE WHEN d < 0 THEN 'rose' ELSE 'fell' END || ' and offset part of it'
+  ELSE ' — o orderstatus ' || member || ' accounts for ' || {_signed('m')} || format(' ({{:.0f}}% of the move)', abs(m / d) * 100) END || '.' AS summary
+FROM l""")
 def change_sentence(spark: SparkSession, folder: str) -> DataFrame:
-    """The change in words; its figures are those of the queries above."""
-    return reports.change_sentence(_quarter(sales(spark, folder)))
+    """The change in words, with the order status that moved it most."""
+    return rounded(reports.change_sentence(_quarter(sales(spark, folder)), dimension="o_orderstatus"))
