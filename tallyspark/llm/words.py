@@ -20,7 +20,7 @@ _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text worked on at a time; a longer text is worked on alone.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
