@@ -3,9 +3,9 @@
 Quantiles are exact and move almost no data: a first pass sketches the values'
 distribution, a second counts rows per (keys, bucket) with map-side combining, and a
 third keeps only the rows of the one or two buckets that hold a wanted rank.
-Buckets lie between about five hundred sketched quantiles, so each holds about a
-five-hundredth of the rows however the values are spread, and a value that is a
-quantile has a bucket of its own.  The sketch cannot change the answer.
+Buckets are equal steps between sketched quantiles, a sixteenth of the rows
+apart and closer and closer in the tails, so that heavy tails are cut finely too; it
+cannot change the answer.
 
 The sketch is one small job when a plan is built; pass ``known`` to share it.
 """
@@ -20,19 +20,21 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.numbers import number
 
-_EDGES, _BLOCK = 512, 32
+_STEPS, _TAIL, _WITHIN = 16, 11, 512
 _SALTS = 128
 _BROADCAST_GROUPS = 20_000
 
 
-def _bucket(value: Column, edges: Sequence, kind: str) -> Column:
-    """Bucket number of a value, never decreasing in the value: even between two
-    edges, odd on one.  The block of edges is found first, then the place in it."""
-    blocks = [list(edges[i : i + _BLOCK]) for i in range(0, len(edges), _BLOCK)]
-    block = sum(((value >= F.lit(b[0]).cast(kind)).cast("int") for b in blocks[1:]), F.lit(0))
-    own = F.get(F.array(*[F.array(*[F.lit(e).cast(kind) for e in b]) for b in blocks]), block)
-    below = F.size(F.filter(own, lambda e: e < value))
-    return (block * _BLOCK + below) * 2 + F.array_contains(own, value).cast("int")
+def _block(value: Column, edges: Sequence, kind: str) -> Column:
+    """Between which two edges a value lies: comparisons with literals."""
+    return sum(((value >= F.lit(e).cast(kind)).cast("int") for e in edges[1:-1]), F.lit(0))
+
+
+def _bucket(value: Column, block: Column, edges: Sequence) -> Column:
+    """Bucket number, never decreasing in the value: the block, then one of equal steps within it."""
+    low, high = (F.get(F.array(*[F.lit(float(e)) for e in some]), block) for some in (edges[:-1], edges[1:]))
+    step = F.width_bucket(value.cast("double"), low, high, F.lit(_WITHIN))
+    return (block * (_WITHIN + 2) + F.coalesce(step, F.lit(0))).cast("int")
 
 
 @dataclass(frozen=True)
@@ -45,8 +47,9 @@ class Sketch:
 
 def sketch(df: DataFrame, keys: Sequence[str], measures: Sequence[str], typed: bool = False) -> Sketch:
     """One aggregate with a bounded buffer; one row comes back."""
-    steps = [k / _EDGES for k in range(1, _EDGES)]
-    parts = [F.percentile_approx(F.col(m) if typed else number(m), steps, 10_000).alias(m) for m in measures]
+    tails = [2.0**-k for k in range(5, _TAIL)]
+    steps = sorted({0.0, 1.0, *tails, *(1 - t for t in tails), *(k / _STEPS for k in range(1, _STEPS))})
+    parts = [F.percentile_approx(F.col(m) if typed else number(m), steps, 1_000).alias(m) for m in measures]
     size = F.approx_count_distinct(F.xxhash64(*keys)) if keys else F.lit(1)
     row = df.agg(*parts, size.alias("_groups")).first()
     return Sketch({m: sorted(set(row[m] or [])) for m in measures}, row["_groups"])
@@ -79,12 +82,13 @@ def values_at(df: DataFrame, keys: Sequence[str], measures: Sequence[str], ranks
     column is ranked in its own type, not as a double."""
     by = [*keys, "measure"]
     known = known or sketch(df, keys, measures, typed)
-    parts = []
-    for m in measures:
-        value, kind = (F.col(m), df.schema[m].dataType.simpleString()) if typed else (number(m), "double")
-        bucket = _bucket(value, known.edges[m], kind) if known.edges[m] else F.lit(0)
-        parts.append(F.struct(F.lit(m).alias("measure"), value.alias("value"), bucket.cast("int").alias("bucket")))
-    long = df.select(*keys, F.inline(F.array(*parts))).where("value is not null")
+    kinds = {m: df.schema[m].dataType.simpleString() if typed else "double" for m in measures}
+    wide = df.select(*keys, *[(F.col(m) if typed else number(m)).alias(f"_v{i}") for i, m in enumerate(measures)])
+    wide = wide.select("*", *[_block(F.col(f"_v{i}"), known.edges[m], kinds[m]).alias(f"_b{i}") for i, m in enumerate(measures)])
+    parts = [F.struct(F.lit(m).alias("measure"), F.col(f"_v{i}").alias("value"), (
+        _bucket(F.col(f"_v{i}"), F.col(f"_b{i}"), known.edges[m]) if len(known.edges[m]) > 1 else F.lit(0)).alias("bucket"))
+        for i, m in enumerate(measures)]
+    long = wide.select(*keys, F.inline(F.array(*parts))).where("value is not null")
 
     hist = long.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("held"))
     whole = Window.partitionBy(*by)

@@ -115,9 +115,10 @@ def _counted(chunks: DataFrame, question: str, *keep: str) -> tuple[DataFrame, C
     figures as one value: texts, mean length, texts with each term."""
     asked, body, edge = terms(question), F.lower("text"), text.TOKEN[:-1]
     pattern = f"(?<!{edge})(?:{'|'.join(asked)})(?!{edge})" if asked else "(?!)"
-    found = chunks.select(*keep, F.regexp_count(body, F.lit(text.TOKEN)).alias("length"),
-                          F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("found"))
-    rows = found.select(*keep, "length", F.array(*[_times(t) for t in asked]).cast("array<int>").alias("tf"))
+    # a generator of one row is where expressions end: nothing above repeats the patterns
+    found = chunks.select(*keep, F.inline(F.array(F.struct(
+        F.regexp_count(body, F.lit(text.TOKEN)).alias("length"), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("found")))))
+    rows = found.select(*keep, F.inline(F.array(F.struct("length", F.array(*[_times(t) for t in asked]).cast("array<int>").alias("tf")))))
     corpus = rows.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.array(
         *[F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(asked))]).cast("array<bigint>").alias("df")))
     return rows, corpus.scalar()
@@ -145,7 +146,8 @@ def bm25(chunks: DataFrame, question: str, key: str = "chunk_id", k1: float = K1
     figures, a second scores each row.  Nothing is shuffled but those figures."""
     rows, corpus = _counted(chunks, question, key)
     scored = rows.where(F.exists("tf", lambda n: n > 0)).withColumn("_c", corpus)
-    return scored.select(key, _bm25(F.col("tf"), F.col("length"), F.col("_c"), k1, b).alias("score")).where("score > 0")
+    score = _bm25(F.col("tf"), F.col("length"), F.col("_c"), k1, b)
+    return scored.select(key, F.inline(F.array(F.struct(score.alias("score"))))).where("score > 0")
 
 
 def embed(chunks: DataFrame, key: str = "chunk_id", body: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
