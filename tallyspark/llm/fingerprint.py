@@ -62,11 +62,12 @@ def with_next(df: DataFrame, *columns: str) -> DataFrame:
     """``df`` (id, text, ...) with ``next_<column>`` from the row with the next id, after the last from the first.
 
     Ids are dealt to ranges, and each range gets the first row of the range after it as its last."""
-    cuts = df.agg(F.percentile_approx("id", [k / _RANGES for k in range(1, _RANGES)], 10_000)).first()[0] or []
+    ranges = max(_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # more for more data
+    cuts = df.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
     edges = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]).cast("array<bigint>")
     ranged = df.withColumn("range", F.when(F.col("id").isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda e: e < F.col("id")))))
     order = [F.col("id").asc_nulls_first(), F.col("text").asc()]
-    # the least id of each range, and of several rows with it the least text: _RANGES rows at most
+    # the least id of each range, and of several rows with it the least text: as many rows as ranges
     heads = ranged.groupBy("range").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("least"))
     turn = Window.orderBy("range")
     heads = heads.select("least", F.coalesce(F.lag("range").over(turn), F.max("range").over(
