@@ -11,11 +11,13 @@
   the others.  Every candidate of every document counts: Spark counts equal
   descriptions by label, and the trees are grown from those counts, whose number
   is bounded by the product of the features' ranges, not by the documents.
-* The *threshold* is calibrated on documents kept out of the trees (crc32 of the
-  id modulo 5 is 0): the lowest score from which on at least ``PRECISION`` of the
-  candidates coincide with base spans.  Candidates at or above it that overlap no
-  base span and follow a word that announces them are added (where the trees have
-  seen nothing like a candidate, form alone is no evidence); base spans always stay.
+* The *thresholds* are calibrated on documents kept out of the trees (crc32 of the
+  id modulo 5 is 0), one for each generator and kind: scores are pooled until the
+  share that coincides with base spans falls with the score (isotonic), and the
+  threshold is the lowest score of the last pool that reaches ``PRECISION`` by
+  itself, so that many sure candidates cannot carry a few poor ones.  Candidates at
+  or above it that overlap no base span are added; base spans always stay.  A
+  generator and kind without a held-out candidate adds nothing.
 
 The trees become one SQL expression, so scoring is part of the row's projection.
 Patterns are written so that they cannot back-track over long runs: quantifiers
@@ -121,13 +123,26 @@ def candidates(text: Column) -> Column:
     return F.concat(*[F.transform(_found(text, pattern, when), of(g)) for g, (pattern, when) in enumerate(generators)])
 
 
+def _kind(c: Column) -> Column:
+    """The kind that a candidate's form is nearest to."""
+    return F.when(c["generator"] == 0, 0).when((c["generator"] == 1) & (c["octets"] == 1), 1).when(c["digits"] > 13, 2).otherwise(3)
+
+
 @dataclass(frozen=True)
 class PiiModel:
-    """Trees (feature, cut, two sides of (feature, cut, value below, value from it)) and a threshold on their sum."""
+    """Trees (feature, cut, two sides of (feature, cut, value below, value from it)) and thresholds on their sum:
+    ((generator, kind), threshold) where there is one, ``threshold`` for all others."""
 
     bias: float
     trees: tuple
     threshold: float
+    thresholds: tuple = ()
+
+    def picks(self, c: Column) -> Column:
+        least = F.lit(self.threshold)
+        for (generator, kind), own in self.thresholds:
+            least = F.when((c["generator"] == generator) & (_kind(c) == kind), F.lit(own)).otherwise(least)
+        return self.score(c) >= least
 
     def score(self, c: Column) -> Column:
         out = F.lit(self.bias)
@@ -179,8 +194,25 @@ def _grow(counts: list[tuple[tuple, int, int]]) -> tuple[float, tuple, list[floa
     return bias, tuple(trees), scores
 
 
+def _threshold(rows: list[tuple[float, int, int]]) -> float:
+    """The lowest score of the last pool of held-out (score, misses, hits) with ``PRECISION``."""
+    by_score: dict[float, list[int]] = {}
+    for score, misses, hits in rows:
+        both = by_score.setdefault(round(score, 9), [0, 0])
+        both[0] += misses
+        both[1] += hits
+    pools: list[tuple[float, int, int]] = []  # from high scores to low, shares of hits falling
+    for score in sorted((s for s, both in by_score.items() if sum(both)), reverse=True):
+        misses, hits = by_score[score]
+        while pools and pools[-1][2] * (hits + misses) <= hits * (pools[-1][1] + pools[-1][2]):
+            _, n, p = pools.pop()
+            misses, hits = misses + n, hits + p
+        pools.append((score, misses, hits))
+    return min((s - 1e-6 for s, n, p in pools if p >= PRECISION * (n + p)), default=math.inf)
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> PiiModel:
-    """Trees and threshold from every candidate of every document."""
+    """Trees and thresholds from every candidate of every document."""
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select((F.coalesce(F.crc32(F.col(key).cast("string")), F.lit(1)) % 5 == 0).alias("held"),
                        base_spans(plain).alias("base"), candidates(plain).alias("c")).where("size(c) > 0")
@@ -193,29 +225,23 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text") -> PiiModel:
     if not counts:
         return PiiModel(0.0, (), math.inf)
     bias, trees, scores = _grow([(r, n, p) for r, n, p, _, _ in counts])
-    hits = misses = 0
-    threshold = math.inf
-    by_score: dict[float, list[int]] = {}
-    for s, (_, _, _, n, p) in zip(scores, counts, strict=True):
-        both = by_score.setdefault(round(s, 9), [0, 0])
-        both[0] += n
-        both[1] += p
-    for s in sorted(by_score, reverse=True):
-        misses, hits = misses + by_score[s][0], hits + by_score[s][1]
-        if hits and hits >= PRECISION * (hits + misses):
-            threshold = s - 1e-6
-    return PiiModel(bias, trees, threshold)
+    by_kind: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    for score, (r, _, _, n, p) in zip(scores, counts, strict=True):
+        c = dict(zip(FEATURES, r, strict=True))
+        kind = 0 if c["generator"] == 0 else 1 if c["generator"] == 1 and c["octets"] else 2 if c["digits"] > 13 else 3  # as _kind
+        by_kind.setdefault((c["generator"], kind), []).append((score, n, p))
+    least = {k: _threshold(rows) for k, rows in sorted(by_kind.items())}
+    return PiiModel(bias, trees, math.inf, tuple((k, t) for k, t in least.items() if t < math.inf))
 
 
 def _all_spans(text: Column, base: Column, model: PiiModel) -> Column:
     """Base spans and those that the model adds, sorted; an added one takes the kind its form is nearest to."""
-    if model.threshold == math.inf:
+    if model.threshold == math.inf and not model.thresholds:
         return base
-    picked = F.filter(candidates(text), lambda c: (model.score(c) >= model.threshold) & (c["word"] == 1)
+    picked = F.filter(candidates(text), lambda c: model.picks(c)
                       & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
-    kind = lambda c: F.when(c["generator"] == 0, 0).when((c["generator"] == 1) & (c["octets"] == 1), 1).when(c["digits"] > 13, 2).otherwise(3)
     return F.array_sort(F.array_distinct(F.concat(base, F.transform(picked, lambda c: F.struct(
-        c["start"].alias("start"), kind(c).alias("kind"), c["end"].alias("end"))))))
+        c["start"].alias("start"), _kind(c).alias("kind"), c["end"].alias("end"))))))
 
 
 def detected(docs: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:

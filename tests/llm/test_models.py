@@ -55,6 +55,23 @@ def test_added_spans_keep_the_base_and_are_redacted(docs):
     assert pii.redacted(df, model).columns == df.columns
 
 
+def test_candidates_without_an_announcing_word_are_added(docs):
+    rows = [(k, f"please call +1 (555) 123-{1000 + k} or mail me{k}@x.example.com, key = \"{10 ** (7 + k % 30)}\"") for k in range(200)]
+    rows += [(1000, "reach me: joe7 [at] host [dot] com now"), (1001, "the number is (555) 123-4567"), (1002, "key = \"1234567890123\"")]
+    model = pii.fit(docs(rows[:200]))
+    added = {r["doc_id"]: r["text"] for r in pii.redacted(docs(rows), model).collect()}
+    assert added[1000] == "reach me: [EMAIL] now" and added[1001] == "the number is [PHONE]"
+    assert added[1002] == rows[-1][1] and all(added[k].endswith(rows[k][1].split(", ")[1]) for k in range(200))
+
+
+def test_thresholds_hold_for_the_marginal_candidates():
+    # many sure ones do not carry the poor ones below them, nor a score that no held-out candidate has
+    assert pii._threshold([(5.0, 0, 1000), (2.0, 9, 1), (1.0, 0, 0)]) == pytest.approx(5.0, abs=1e-5)
+    # one miss above hundreds of hits does not hide them; without evidence nothing is added
+    assert pii._threshold([(6.0, 1, 0), (5.0, 0, 500), (1.0, 40, 0)]) == pytest.approx(5.0, abs=1e-5)
+    assert pii._threshold([(5.0, 0, 0)]) == math.inf
+
+
 def test_nothing_to_learn_from(docs):
     assert pii.fit(docs([])).trees == () and pii.fit(docs([(1, "plain words")])).trees == ()
     assert pii.detected(docs([]), pii.fit(docs([]))).collect() == []
