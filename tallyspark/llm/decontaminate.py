@@ -11,9 +11,10 @@ least one of them untouched somewhere (a test goes through all of them), so
 joining the masked hashes of items and documents misses no overlap.  Each hit
 fixes a shift between item and document, along which the words are compared.
 
-Items are taken in blocks of about ``BLOCK`` bytes by a hash of their text, a
-block's masked hashes are broadcast, and each document is met where it lies: no
-document is shuffled, whatever the number of items.
+Items are taken in blocks of about ``BLOCK`` bytes by a hash of their id and text
+(equal rows once), so copies of one text are spread over the blocks too; a block's
+masked hashes are broadcast, and each document is met where it lies: no document
+is shuffled, whatever the number of items.
 
 Null or empty texts and items overlap nothing; rows that repeat an id are judged
 each for itself; items of one id count together; extra columns stay as they are.
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.shared import written
 from tallyspark.llm.words import U, Words, grams, pieces
 
 WINDOW, SUBSTITUTED = 13, 3
@@ -104,14 +106,15 @@ def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
     """``docs`` with ``into`` as last column (in place of one of that name): item_id, equal words,
     words of the overlap and its first word, for each item the whole text overlaps."""
     docs, spark = docs.drop(into), docs.sparkSession
-    items = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
+    items = written(items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("text"))
+                    .distinct())  # equal rows have equal hashes, and would all meet in one block
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = size // BLOCK + 1
     names = [f"c{i}" for i in range(len(docs.columns))]
     place = docs.columns.index(text)
     out = docs.toDF(*names).withColumn("found", F.lit(None).cast(_FOUND))
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about BLOCK bytes
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK bytes
         shared = spark.sparkContext.broadcast(Seeds([r["id"] for r in part], [r["text"] for r in part]))
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

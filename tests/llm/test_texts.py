@@ -81,6 +81,16 @@ def test_overlaps_as_by_brute_force(spark, docs, prose, monkeypatch):
     assert all(0 < x["matched"] <= x["words"] for x in found)
 
 
+def test_copies_of_one_item_are_spread_over_blocks(spark, docs, prose, monkeypatch):
+    real, sizes = decontaminate.Seeds.__init__, []
+    monkeypatch.setattr(decontaminate.Seeds, "__init__", lambda self, ids, texts: (sizes.append(sum(map(len, texts))), real(self, ids, texts))[1])
+    monkeypatch.setattr(decontaminate, "BLOCK", 2000)
+    items = [(k, prose(1, 20)) for k in range(100)] + [(200, prose(2, 20))] * 100 + [(300 + k, prose(3 + k, 20)) for k in range(20)]
+    found = decontaminate.overlaps(docs([(1, f"{prose(50, 9)} {prose(1, 20)}"), (2, prose(2, 20))]), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x["id"], x["item_id"]) for x in found) == [(1, k) for k in range(100)] + [(2, 200)]
+    assert len(sizes) > 2 and max(sizes) < 3 * 2000 and max(sizes) * 2 < sum(sizes)
+
+
 def test_overlaps_of_nothing(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(docs([(1, "a b c")]), none).collect() == []
