@@ -122,6 +122,16 @@ def test_roles(spark):
                    "grade": ("dimension", "generic")}
 
 
+def test_kinds_do_not_hang_on_the_first_rows(spark):
+    rows = [("none", "n/a", i) for i in range(250)] + [(f"p{i}@acme.com", f"2025-01-{i % 28 + 1:02d}", i) for i in range(5000)]
+    names = "reach string, seen string, amount long"
+    forth, back = (spark.createDataFrame(r, names).coalesce(1) for r in (rows, rows[::-1]))
+    for df in (forth, back):
+        assert {r["column"]: r["kind"] for r in profile.detect_pii(df).collect()} == {"reach": "email"}
+        assert {c.name: c.role for c in profile.detect_roles(df)}["seen"] == "date"
+    assert sorted(profile._samples(forth, ["seen"], 30, ["reach", "seen"]).collect()) == sorted(profile._samples(back, ["seen"], 30, ["reach", "seen"]).collect())
+
+
 def test_joins(spark):
     def side(name, df):
         return Dataset.open(df, [ColumnMeta(c, "ignored") for c in df.columns], name)
