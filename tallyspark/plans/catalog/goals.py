@@ -126,7 +126,7 @@ SELECT target_id, 'o_totalprice' AS measure, grain, period, goal, filters, round
   elapsed AS days_elapsed, remaining AS days_remaining, round(needed, 2) AS needed_per_day, current, status,
   NULL::VARCHAR AS reason FROM t
 UNION ALL SELECT 't7', 'profit', 'month', '2001-08', 5.0, 0, NULL, NULL, NULL, NULL, NULL, NULL, 0, NULL, NULL, false, 'broken',
-  '''profit'' is not a numeric measure'""")
+  'orders has no measure ''profit'''""")
 def targets_eval(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(goals.evaluate_targets(orders(spark, folder), TARGETS), progress=6, projected_ratio=6)
 
