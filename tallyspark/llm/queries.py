@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, decontaminate, fingerprint, neardup, pii, quality, repeats, resample, shards, warc
+from tallyspark.llm import bpe, chat, decontaminate, fingerprint, neardup, phrases, pii, quality, repeats, resample, shards, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,3 +135,23 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select(
         F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query("op13_phrase_collocations", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS g FROM w),
+f AS (SELECT lang, g, string_split(g, ' ') AS s, count(*)::HUGEINT AS f FROM g GROUP BY lang, g HAVING count(*) >= 30),
+c AS (SELECT *, unnest(range(1, len(s))) AS k FROM f),
+q AS (SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r, (2000000 * c.f) // (x.f + y.f) AS score FROM c
+  JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.s[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.s[k + 1:], ' ')),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+h AS (SELECT lang, h, max(f) AS f FROM (SELECT lang, f, unnest(flatten(list_transform(range(2, len(s)), lambda m: list_transform(
+  range(1, len(s) - m + 2), lambda i: array_to_string(s[i:i + m - 1], ' '))))) AS h FROM f WHERE len(s) > 2) GROUP BY lang, h),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.g) AS rank FROM b LEFT JOIN h ON h.lang = b.lang AND h.h = b.g
+  WHERE h.f IS NULL OR 100 * h.f < 80 * a)
+SELECT lang, rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM z JOIN t USING (lang) WHERE rank <= 2000""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
