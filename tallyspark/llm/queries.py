@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import bpe, chat, decontaminate, fingerprint, neardup, phrases, pii, quality, repeats, resample, shards, warc
+from tallyspark.llm import bpe, chat, decontaminate, fingerprint, neardup, phrases, pii, quality, repeats, resample, shards, tokencount, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,6 +137,12 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+@query("op12_prefix_token_counts")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = tokencount.counted(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "kept_chars")
+
+
 @query("op13_phrase_collocations", r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
