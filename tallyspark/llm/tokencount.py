@@ -35,7 +35,8 @@ from tallyspark.llm.words import buffers
 
 LIMIT = 1024
 #: Bytes of text worked on at a time (a longer text by itself), and remembered pieces of each of two generations.
-PIECE, REMEMBERED = 1 << 20, 150_000
+PIECE, REMEMBERED = 1 << 21, 200_000
+_HEAD = 4
 _OTHER, _LETTER, _NUMBER, _SPACE, _UNKNOWN = 0, 1, 2, 3, 255
 
 
@@ -78,7 +79,11 @@ class Counter:
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         #: Every ending of a token, and whether it is one itself.
         self.ending = {t[k:]: False for t in vocabulary for k in range(len(t))} | dict.fromkeys(vocabulary, True)
-        self.fitting: dict[tuple[bytes, bytes], bool] = {}
+        #: For a token (none at the start of a piece): which endings of tokens fit behind it.
+        self.behind: dict[bytes, dict] = {}
+        self.n_behind = 0
+        #: The state after the first bytes of a piece, which many pieces share.
+        self.heads: dict[bytes, tuple[list[int], list[dict]]] = {}
         self.young: dict[bytes, Sequence[int]] = {}
         self.old: dict[bytes, Sequence[int]] = {}
         self.kind = np.full(0x110000, _UNKNOWN, np.uint8)
@@ -101,35 +106,42 @@ class Counter:
         return parts
 
     def fits(self, first: bytes, second: bytes) -> bool:
-        """Whether the two tokens are the encoding of their bytes; ``first`` may be empty."""
-        pair = first, second
-        known = self.fitting.get(pair)
-        if known is None:
-            if len(self.fitting) > 1_000_000:
-                self.fitting.clear()
-            known = self.fitting[pair] = self.merge(first + second) == [t for t in pair if t]
-        return known
+        """Whether the tokens are the encoding of their bytes; ``first`` may be empty, and ``second`` may be no token."""
+        return self.ending[second] and self.merge(first + second) == [t for t in (first, second) if t]
 
     def prefixes(self, piece: bytes) -> Sequence[int]:
         """Tokens of ``piece[:1]``, ``piece[:2]``, ... up to the whole."""
-        ending, fitting, fits = self.ending, self.fitting, self.fits
-        counts, last = [0], [b""]
-        for end in range(1, len(piece) + 1):
-            size = 1
+        behind, heads = self.behind, self.heads
+        if self.n_behind > 1_000_000 or len(heads) > 50_000:
+            heads.clear()
+            behind.clear()
+            self.n_behind = 0
+        # ``after``: for each prefix what is known to fit, or not, behind its last token (which stands under None)
+        head, at = piece[:_HEAD], 0
+        known_head = heads.get(head)
+        if known_head is None:
+            counts, after = [0], [behind.setdefault(b"", {None: b""})]
+        else:
+            counts, after = known_head[0].copy(), known_head[1].copy()
+            at = len(counts) - 1
+        for end in range(at + 1, len(piece) + 1):
+            start = end - 1
             while True:
-                token = piece[end - size:end]
-                is_token = ending.get(token)
-                if is_token is None:
-                    raise AssertionError("some token always fits")
-                if is_token:
-                    pair = last[end - size], token
-                    known = fitting.get(pair)
-                    if fits(*pair) if known is None else known:
-                        counts.append(counts[end - size] + 1)
-                        last.append(token)
-                        break
-                size += 1
-        return bytes(counts[1:]) if counts[-1] < 256 and max(counts) < 256 else array("l", counts[1:])
+                token = piece[start:end]
+                fit = after[start].get(token)
+                if fit is None:
+                    fit = after[start][token] = self.fits(after[start][None], token)
+                    self.n_behind += 1
+                if fit:
+                    break
+                start -= 1
+            counts.append(counts[start] + 1)
+            nxt = behind.get(token)
+            after.append(behind.setdefault(token, {None: token}) if nxt is None else nxt)
+            if end == _HEAD and known_head is None:
+                heads[head] = counts.copy(), after.copy()
+        del counts[0]
+        return bytes(counts) if len(piece) < 256 else array("l", counts)
 
     def learn(self, piece: bytes) -> Sequence[int]:
         """``prefixes``, remembered; what has not been asked for in a while is forgotten."""
@@ -248,9 +260,12 @@ class Pieces:
     def counts(self, k: int) -> np.ndarray:
         """Tokens of the first 0, 1, 2, ... characters of text k."""
         if self.bank is None:
-            sizes = np.array([len(x) for x in self.known], np.int64)
-            self.bank = (np.concatenate([np.asarray(bytearray(x) if isinstance(x, bytes) else x, np.int64) for x in self.known]) if len(sizes) else sizes,
-                         np.concatenate(([0], np.cumsum(sizes))))
+            begin = np.concatenate(([0], np.cumsum(np.fromiter(map(len, self.known), np.int64, len(self.known)))))
+            held = np.frombuffer(b"".join([x if isinstance(x, bytes) else bytes(len(x)) for x in self.known]), np.uint8).astype(np.int64)
+            for i, x in enumerate(self.known):
+                if not isinstance(x, bytes):
+                    held[begin[i]:begin[i + 1]] = x
+            self.bank = held, begin
         held, begin = self.bank
         a, b = np.searchsorted(self.lead, self.texts[k:k + 2]).tolist()  # characters
         p, q = np.searchsorted(self.first[:-1], [a, b]).tolist()  # pieces
