@@ -11,10 +11,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import periods
 from tallyspark.model import BATCH_COLUMN, AnalysisError
 
+#: A row's hash, stored with it where a table was written so.
+HASH_COLUMN = "_row_hash"
+#: Most 64-bit words of the Bloom filter of a new file: 2 MiB.
+BLOOM_WORDS = 1 << 18
 LOG_SCHEMA = ("batch_id string, mode string, rows_added long, rows_removed long, skipped_duplicates long, "
               "created_at timestamp")
 
@@ -35,14 +40,73 @@ def row_key(columns: Sequence[str]) -> Column:
 
 
 def _user(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c != BATCH_COLUMN]
-
-
-def append(table: DataFrame, incoming: DataFrame, batch_id: str) -> Appended:
+    return [c for c in df.columns if c not in (BATCH_COLUMN, HASH_COLUMN)]
+
+
+def stable_hash(columns: Sequence[str], df: DataFrame) -> Column:
+    """A row hash that the order of columns does not change, nor a new column that is null on old rows,
+    so that it can be stored in ``HASH_COLUMN`` with the row."""
+    out = F.lit(0).cast("long")
+    for c in columns:
+        value = F.col(c)
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            value = value + F.lit(0.0).cast(df.schema[c].dataType)  # -0.0 is 0.0
+        out = out.bitwiseXOR(F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(c), value)).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+def _mask(h: Column) -> Column:
+    """Three bits of a 64-bit word."""
+    bit = F.lit(1).cast("long")
+    return F.call_function("shiftleft", bit, F.pmod(F.shiftrightunsigned(h, 20), F.lit(64)).cast("int")).bitwiseOR(
+        F.call_function("shiftleft", bit, F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int"))).bitwiseOR(
+        F.call_function("shiftleft", bit, F.pmod(F.shiftrightunsigned(h, 44), F.lit(64)).cast("int")))
+
+
+def _word(h: Column, words: int) -> Column:
+    return F.pmod(F.xxhash64(h), F.lit(words))
+
+
+def maybe_in(table: DataFrame, hashed: str, keys: DataFrame, key: str, n_keys: int) -> DataFrame:
+    """The rows of ``table`` whose hash may be among ``keys``: a Bloom filter of 16 bits a key in 64-bit words, at most
+    ``BLOOM_WORDS`` words (beyond that it lets more through, never fewer), joined by broadcast, so no row moves."""
+    words = min(BLOOM_WORDS, max(64, 1 << max(0, n_keys // 4).bit_length()))
+    bits = keys.groupBy(_word(F.col(key), words).alias("_word")).agg(F.bit_or(_mask(F.col(key))).alias("_bits"))
+    mask = _mask(F.col(hashed))
+    return table.withColumn("_word", _word(F.col(hashed), words)).join(F.broadcast(bits), "_word").where(
+        F.col("_bits").bitwiseAND(mask) == mask).drop("_word", "_bits")
+
+
+def _within(table: DataFrame, date: str, lo: object, hi: object, nulls: bool) -> DataFrame:
+    """Rows that the dates ``lo`` to ``hi`` (and null, if asked) can equal, as literals that prune the scan."""
+    kind = table.schema[date].dataType
+    span = F.lit(False) if lo is None else F.col(date).between(F.lit(lo).cast(kind), F.lit(hi).cast(kind))
+    return table.where((span | F.col(date).isNull()) if nulls else span)
+
+
+def known_rows(table: DataFrame, aligned: DataFrame, date: str | None = None) -> DataFrame:
+    """The distinct rows of ``table`` (columns with a leading ``_``, and ``_hash``) that rows of ``aligned``, which
+    has the table's columns and their ``_hash``, may equal.  Nothing of the history moves before the date span and
+    the Bloom filter have cut it; the rows that move are about those that are equal."""
+    old = _user(table)
+    about = [F.count(F.lit(1)).alias("n")]
+    if date is not None:
+        about += [F.min(date).alias("lo"), F.max(date).alias("hi"), (F.count(F.lit(1)) - F.count(date)).alias("nulls")]
+    row = aligned.agg(*about).first()  # one row
+    part = table if date is None else _within(table, date, row["lo"], row["hi"], row["nulls"] > 0)
+    stored = F.col(HASH_COLUMN) if HASH_COLUMN in table.columns else stable_hash(old, table)
+    hashed = part.select(*old, stored.alias("_hash"))
+    few = maybe_in(hashed, "_hash", aligned.select(F.col("_hash").alias("_key")), "_key", row["n"])
+    return few.select(*[F.col(c).alias(f"_{c}") for c in old], "_hash").distinct()
+
+
+def append(table: DataFrame, incoming: DataFrame, batch_id: str, date: str | None = None) -> Appended:
     """Add the rows of ``incoming`` that the table does not have yet.
 
     Rows are compared on the table's own columns, nulls being equal; repeats
-    inside the new file are kept.  New columns widen the table; missing ones are null."""
+    inside the new file are kept.  New columns widen the table; missing ones are null.
+    ``date`` names a column whose span in the new file bounds the part of the table that is looked at.
+    A table with ``HASH_COLUMN`` is not hashed again, and the new rows get theirs."""
     old, new = _user(table), _user(incoming)
     if not set(old) & set(new):
         raise AnalysisError("this file shares no columns with the dataset")
@@ -51,12 +115,14 @@ def append(table: DataFrame, incoming: DataFrame, batch_id: str) -> Appended:
     aligned = incoming.select(*[
         (F.col(c).cast(table.schema[c].dataType) if c in new else F.lit(None).cast(table.schema[c].dataType)).alias(c)
         for c in old], *extra)
-    # one row per distinct stored row: a row repeated a billion times matches once
-    known = table.select(*[F.col(c).alias(f"_{c}") for c in old]).distinct()
-    same = row_key(old) == row_key([f"_{c}" for c in old])
+    hashed = aligned.withColumn("_hash", stable_hash(old, aligned))
+    known = known_rows(table, hashed, date if date in old else None).withColumnRenamed("_hash", "_known")
+    same = F.col("_hash") == F.col("_known")
     for c in old:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    added = aligned.join(known, same, "left_anti").withColumn(BATCH_COLUMN, F.lit(batch_id))
+    added = hashed.join(known, same, "left_anti").drop("_hash").withColumn(BATCH_COLUMN, F.lit(batch_id))
+    if HASH_COLUMN in table.columns:
+        added = added.withColumn(HASH_COLUMN, stable_hash([*old, *extra], added))
     base = table if BATCH_COLUMN in table.columns else table.withColumn(BATCH_COLUMN, F.lit(None).cast("string"))
     nothing = base.where(F.lit(False)).withColumn("replaced_by", F.lit(batch_id))
     return Appended(base.unionByName(added, allowMissingColumns=True), added, nothing, "append", extra, missing)

@@ -41,6 +41,28 @@ def test_append_keeps_repeats_inside_the_file_and_matches_nulls(spark):
     assert sorted(rows(batches.append(old, new, "b1").added, "a")) == [("y",), ("y",)]
 
 
+def test_append_moves_only_what_may_be_equal(spark):
+    held = spark.range(20_000).selectExpr("id", "date_add(date'2025-01-01', CAST(id % 400 AS INT)) AS day", "CAST(id AS double) / 7 AS v",
+                                          "if(id % 5 = 0, NULL, concat('n', id)) AS name")
+    held = held.withColumn(batches.HASH_COLUMN, batches.stable_hash(held.columns, held)).withColumn("_batch", F.lit("b0"))
+    again = held.where("id % 400 BETWEEN 100 AND 103").drop("_batch", batches.HASH_COLUMN)  # 200 rows, 1 %
+    new = again.unionByName(again.withColumn("v", F.col("v") + 1)).unionByName(again.where("id % 400 = 101").withColumn("day", F.lit(None).cast("date")))
+    hashed = new.withColumn("_hash", batches.stable_hash(new.columns, new))
+    near = batches.known_rows(held, hashed, "day")
+    assert 200 <= near.count() < 210
+    assert 200 <= batches.known_rows(held, hashed).count() < 500
+    for table in (held, held.drop(batches.HASH_COLUMN)):  # stored or not
+        done = batches.append(table, new.select("name", "v", "day", "id"), "b1", "day")
+        assert done.added.count() == 250 and done.table.count() == 20_250
+        assert batches.append(done.table, new, "b2", "day").added.isEmpty()
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2  # the distinct survivors and the filter's words; none over the history
+    wider = batches.append(held, again.withColumn("more", F.when(F.col("id") % 2 == 0, "x")), "b3", "day")
+    assert wider.added.isEmpty()
+    odd = batches.append(held, again.withColumn("more", F.lit("x")).withColumn("v", -F.col("v")), "b4", "day")
+    assert batches.append(odd.table, odd.added.drop("_batch", batches.HASH_COLUMN), "b5", "day").added.isEmpty()
+
+
 def test_undated_rows_stay(spark):
     old = spark.createDataFrame([("2025-01-05", 1), ("soon", 2)], "date string, v long")
     new = spark.createDataFrame([("2025-01-09", 5)], "date string, v long")
