@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import clean_name, distinct_names
 from tallyspark.model import AnalysisError, Dataset
+from tallyspark.sources import versions
 
 JOIN_TYPES = ("inner", "left")
 
@@ -35,16 +39,6 @@ def join(left: Dataset, right: Dataset, left_key: str, right_key: str, how: str
         *[F.col(f"l.{c}") for c in left.user_columns], *others)
 
 
-def materialize_join(left: Dataset, right: Dataset, left_key: str, right_key: str, how: str, path: str) -> DataFrame:
-    """Write the join (again) from the current sources; empty results are refused."""
-    rows = join(left, right, left_key, right_key, how)
-    rows.write.mode("overwrite").parquet(path)
-    written = left.frame.sparkSession.read.parquet(path)
-    if written.isEmpty():
-        raise AnalysisError("the join produced no rows: check the join keys")
-    return written
-
-
 def suggest_keys(left: Dataset, right: Dataset) -> list[str]:
     """Shared column names, those that look like identifiers first."""
     shared = [c for c in left.user_columns if c in set(right.user_columns)]
@@ -69,3 +63,57 @@ def locate(breakdown: DataFrame, places: DataFrame, name: str = "member") -> Dat
 
 def mappable_share(located: DataFrame) -> DataFrame:
     return located.agg(F.coalesce(F.avg(F.col("lng").isNotNull().cast("double")), F.lit(0.0)).alias("mappable"))
+
+
+# ------------------------------------------------------- recorded joins ---
+
+def recorded_join(spark: SparkSession, left: str, right: str, left_key: str, right_key: str, how: str, path: str, batch_id: str,
+                  name: str | None = None) -> versions.Version:
+    """The join of two versioned tables as a table of its own, with the record of what it was made from.
+    An empty join is refused and leaves what was there."""
+    sides = {side: versions.current(spark, at) for side, at in (("left", left), ("right", right))}
+    how = how if how in JOIN_TYPES else "left"
+    record = {"left": left, "right": right, "left_key": left_key, "right_key": right_key, "how": how,
+              "versions": {side: v.version for side, v in sides.items()}}
+    rows = join(versions.opened(spark, left)[0], versions.opened(spark, right)[0], left_key, right_key, how)
+    try:
+        before = versions.current(spark, path)
+    except AnalysisError:
+        before = None
+    label = before.name if before else (name or "").strip() or f"{sides['left'].name} + {sides['right'].name}"
+    try:
+        return versions.publish(rows, path, batch_id, "join", "join", label, before, json.dumps(record))
+    except AnalysisError as problem:
+        raise AnalysisError("the join produced no rows: check the join keys") from problem
+
+
+def _record(spark: SparkSession, path: str) -> dict:
+    lineage = versions.current(spark, path).lineage
+    if lineage is None:
+        raise AnalysisError(f"{path} is not a join")
+    return json.loads(lineage)
+
+
+def is_stale(spark: SparkSession, path: str) -> bool:
+    """Whether a source has another version now than when the join was made."""
+    record = _record(spark, path)
+    return any(versions.current(spark, record[side]).version != record["versions"][side] for side in ("left", "right"))
+
+
+def rebuild(spark: SparkSession, path: str, batch_id: str) -> versions.Version:
+    """The join again from its sources as they are now, under the same path and name."""
+    record = _record(spark, path)
+    return recorded_join(spark, *[record[k] for k in ("left", "right", "left_key", "right_key", "how")], path, batch_id)
+
+
+def relations(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """One row for each recorded join among the tables at ``paths``."""
+    out = []
+    for path in paths:
+        at = versions.current(spark, path)
+        if at.lineage is not None:
+            record = json.loads(at.lineage)
+            out.append((path, at.name, at.n_rows, *[versions.current(spark, record[side]).name for side in ("left", "right")],
+                        *[record[k] for k in ("left_key", "right_key", "how")], is_stale(spark, path)))
+    return spark.createDataFrame(out, "path string, name string, n_rows long, left_name string, right_name string, left_key string, "
+                                      "right_key string, how string, stale boolean")

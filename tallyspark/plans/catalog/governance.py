@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.model import ColumnMeta, Dataset
+from tallyspark.model import AnalysisError, ColumnMeta, Dataset
 from tallyspark.operators import governance
 from tallyspark.operators.governance import Policy
 from tallyspark.plans.catalog.registry import query, rounded, table
 from tallyspark.session import fresh_folder
-from tallyspark.sources import snapshots, tables
+from tallyspark.sources import snapshots, tables, versions
 
 NOW = dt.datetime(2024, 2, 1)
 POLICY = Policy(audit_days=20, archive_days=10, dataset_days=40)
@@ -183,6 +184,81 @@ def table_refresh(spark: SparkSession, folder: str) -> DataFrame:
     """A table is created from one snapshot of its source and replaced by the next."""
     path = fresh_folder(spark)
     df = table(spark, folder, "customer")
-    tables.create_table(df, path, "first")
-    snapshots.refresh(spark.read.parquet(path), df.where("c_acctbal > 0"), path, "second")
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows"), F.max("_batch").alias("batch"))
+    versions.create(df, path, "first")
+    versions.refresh(df.where("c_acctbal > 0"), path, "second")
+    return versions.rows_of(spark, path).agg(F.count(F.lit(1)).alias("n_rows"), F.max("_batch").alias("batch"))
+
+
+def _life(spark: SparkSession, folder: str) -> str:
+    """A table of customers: created with half of them, one role overridden, all sent again as a file with one more
+    column, refreshed with those in credit, and refreshed in vain."""
+    path, df = fresh_folder(spark), table(spark, folder, "customer")
+    versions.create(df.where("c_custkey % 2 = 0"), path, "b1", "even.csv", "customers")
+    versions.override(spark, path, "c_nationkey", "dimension", "branch")
+    versions.append(df.withColumn("in_debt", F.when(F.col("c_acctbal") < 0, "yes").otherwise("no")), path, "b2", "all.csv")
+    versions.refresh(df.where("c_acctbal > 0"), path, "b3", "credit.csv")
+    try:
+        versions.refresh(df.where("c_custkey < 0"), path, "b4", "empty.csv")
+    except AnalysisError:
+        pass  # the table stays as it was
+    return path
+
+
+@query("table_versions", """WITH v AS (SELECT 1 AS version, 'initial' AS kind, 'b1' AS last_batch, c_custkey % 2 = 0 AS mine, c_acctbal, NULL AS debt FROM customer
+  UNION ALL SELECT 2, 'override', 'b1', c_custkey % 2 = 0, c_acctbal, NULL FROM customer
+  UNION ALL SELECT 3, 'append', 'b2', true, c_acctbal, CASE WHEN c_custkey % 2 = 1 THEN 1 END FROM customer
+  UNION ALL SELECT 4, 'sync', 'b3', c_acctbal > 0, c_acctbal, NULL FROM customer)
+SELECT version, kind, last_batch, count(*) AS n_rows, round(sum(c_acctbal), 2) AS value, count(debt) AS with_debt FROM v WHERE mine GROUP BY 1, 2, 3""")
+def table_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """What every version of a table holds, read after all of them were made: the append adds the rows that are
+    new, and readers of old versions are not disturbed."""
+    path = _life(spark, folder)
+    parts = []
+    for version in range(1, versions.current(spark, path).version + 1):
+        at, df = versions.current(spark, path, version), versions.rows_of(spark, path, version)
+        debt = F.count("in_debt") if "in_debt" in df.columns else F.lit(0).cast("long")
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("c_acctbal").alias("value"), debt.alias("with_debt")).select(
+            F.lit(version).alias("version"), F.lit(at.kind).alias("kind"), F.lit(at.batches[-1]["batch_id"]).alias("last_batch"), "n_rows", "value", "with_debt"))
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
+@query("table_batches", """SELECT 'b3' AS batch_id, 'sync' AS mode, 'credit.csv' AS source, count(*) AS rows_added, count(*) AS rows_now
+FROM customer WHERE c_acctbal > 0""")
+def table_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """After a refresh only its own batch is left, and a failed one leaves none."""
+    return versions.list_batches(spark, _life(spark, folder))
+
+
+@query("table_roles", " UNION ALL ".join(
+    f"SELECT '{c}' AS name, '{role}' AS role, {sub} AS subtype, count(DISTINCT {c}) AS distinct_count, {own} AS overridden, NULL AS personal "
+    "FROM customer WHERE c_acctbal > 0" for c, role, sub, own in (
+        ("c_custkey", "ignored", "NULL", "false"), ("c_name", "ignored", "NULL", "false"), ("c_nationkey", "dimension", "'branch'", "true"),
+        ("c_acctbal", "measure", "'count'", "false"), ("c_mktsegment", "dimension", "'business_unit'", "false"))))
+def table_roles(spark: SparkSession, folder: str) -> DataFrame:
+    """Roles after a refresh: found again, except for the one that the user set."""
+    return versions.roles(spark, _life(spark, folder))
+
+
+@query("tables_restored", "SELECT table_name, version, n_rows, value FROM (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS table_name, {v} AS version, count(*) AS n_rows, round(sum({c}), 2) AS value FROM {n}"
+    for n, v, c in (("customer", 2, "c_acctbal"), ("orders", 1, "o_totalprice"))) + ")")
+def tables_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tables of a snapshot as new versions: one that has changed since, one that is gone."""
+    source, paths = fresh_folder(spark), {"customer": fresh_folder(spark), "orders": fresh_folder(spark)}
+    snapshots.create(spark, {n: table(spark, folder, n) for n in paths}, source)
+    versions.create(table(spark, folder, "customer").where("c_acctbal > 9000"), paths["customer"], "b1")
+    done = versions.restore(spark, source, paths, "b2")
+    parts = [versions.rows_of(spark, paths[n]).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(c).alias("value")).select(
+        F.lit(n).alias("table_name"), F.lit(done[n].version).alias("version"), "n_rows", "value") for n, c in (("customer", "c_acctbal"), ("orders", "o_totalprice"))]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query("text_files", r"""SELECT count(*) AS n_texts, sum(length(t)) AS n_chars, max(md5(t)) AS last_digest
+FROM (SELECT regexp_replace(coalesce(text, ''), '[\r\n]+', ' ', 'g') AS t FROM documents)""")
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as text files, one a line, and the files read back."""
+    path = fresh_folder(spark)
+    table(spark, folder, "documents").select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("value")).write.option(
+        "maxRecordsPerFile", 200).text(path)
+    lines = tables.read_texts(spark, f"{path}/*.txt").select(F.explode(F.split(F.regexp_replace("text", r"\n$", ""), r"\n")).alias("t"))
+    return lines.agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("t")).alias("n_chars"), F.max(F.md5("t")).alias("last_digest"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyspark.model import ColumnMeta, Dataset
 from tallyspark.operators import joins, profile
 from tallyspark.plans.catalog.registry import EVENTS, ORDERS, events, orders, query, rounded, table
-from tallyspark.sources import batches
+from tallyspark.session import fresh_folder
+from tallyspark.sources import batches, versions
 
 _ROLE_TABLES = ("orders", "lineitem", "events", "customer", "part", "documents", "region", "labels")
 _ROLE_COLUMNS = """orders.o_orderkey:ignored: orders.o_custkey:ignored: orders.o_orderstatus:dimension:generic
@@ -270,6 +271,30 @@ def join_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.sum("o_totalprice").alias("value")))
 
 
+@query("join_rebuilt", """WITH c AS (SELECT * FROM customer WHERE c_custkey % 3 > 0)
+SELECT 'first' AS state, false AS stale, count(*) AS n_rows, count(c_acctbal) AS matched, round(sum(o_totalprice), 2) AS value FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'source refreshed', true, count(*), count(c_acctbal), round(sum(o_totalprice), 2) FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'rebuilt', false, count(*), count(c_acctbal), round(sum(o_totalprice), 2) FROM orders LEFT JOIN c ON o_custkey = c_custkey""")
+def join_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """A recorded join, one of its sources refreshed, and the join made again."""
+    left, right, path = (fresh_folder(spark) for _ in range(3))
+    customers = table(spark, folder, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    versions.create(table(spark, folder, "orders"), left, "b1", name="orders")
+    versions.create(customers, right, "b1", name="customers")
+
+    def now(state: str) -> DataFrame:
+        df, stale = versions.rows_of(spark, path), joins.is_stale(spark, path)
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count("c_acctbal").alias("matched"), F.sum("o_totalprice").alias("value")).select(
+            F.lit(state).alias("state"), F.lit(stale).alias("stale"), "n_rows", "matched", "value")
+
+    joins.recorded_join(spark, left, right, "o_custkey", "o_custkey", "left", path, "j1")
+    out = now("first")
+    versions.refresh(customers.where("o_custkey % 3 > 0"), right, "b2")
+    out = out.unionByName(now("source refreshed"))
+    joins.rebuild(spark, path, "j2")
+    return rounded(out.unionByName(now("rebuilt")))
+
+
 @query("join_key_overlap", """SELECT count(DISTINCT d.doc_id) AS left_keys, count(DISTINCT l.doc_id) AS matched_keys,
   round(count(DISTINCT l.doc_id) / count(DISTINCT d.doc_id), 6) AS overlap FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def join_key_overlap(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.model import BATCH_COLUMN, AnalysisError
+from tallyspark.model import AnalysisError
 
 MANIFEST = "_manifest"
 COUNTS = "table_name string, n_rows long"
@@ -76,25 +76,30 @@ def verify(spark: SparkSession, source: str) -> DataFrame:
         "ok", F.col("expected").eqNullSafe(F.col("found")))
 
 
-def restore(spark: SparkSession, source: str, target: str, force: bool = False) -> DataFrame:
-    """Copy a snapshot back and check the counts of what was written."""
-    checked = verify(spark, source)
-    bad = [r["table_name"] for r in checked.where(~F.col("ok")).collect()]  # one row per table
+def checked(spark: SparkSession, source: str, names: list[str] | None = None) -> DataFrame:
+    """``verify``, refused if a table is damaged or one of ``names`` is missing."""
+    found = verify(spark, source)
+    known = {r["table_name"]: r["ok"] for r in found.collect()}  # one row per table
+    lost = sorted(set(names or ()) - set(known))
+    if lost:
+        raise AnalysisError(f"the snapshot has no {', '.join(lost)}")
+    bad = sorted(n for n, ok in known.items() if not ok)
     if bad:
-        raise AnalysisError(f"the snapshot is damaged: {', '.join(sorted(bad))}")
-    names = [r["table_name"] for r in checked.select("table_name").collect()]
-    for name in names:
-        spark.read.parquet(f"{source}/{name}").write.mode("overwrite" if force else "error").parquet(f"{target}/{name}")
-    back = _union([_count(spark.read.parquet(f"{target}/{n}"), n) for n in names], spark)
-    out = checked.select("table_name", "expected").join(back.withColumnRenamed("n_rows", "restored"), "table_name")
+        raise AnalysisError(f"the snapshot is damaged: {', '.join(bad)}")
+    return found
+
+
+def restore(spark: SparkSession, source: str, target: str, force: bool = False) -> DataFrame:
+    """Copy a snapshot back, by the manifest's schemas, and check the counts of what was written.  Plain folders are
+    overwritten one by one; ``versions.restore`` stages all tables before it switches to the first."""
+    verified = checked(spark, source)
+    schemas = {r["table_name"]: r["schema"] for r in manifest(spark, source).collect()}  # one row per table
+    for name, schema in schemas.items():
+        spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{source}/{name}").write.mode(
+            "overwrite" if force else "error").parquet(f"{target}/{name}")
+    back = _union([_count(spark.read.parquet(f"{target}/{n}"), n) for n in schemas], spark)
+    out = verified.select("table_name", "expected").join(back.withColumnRenamed("n_rows", "restored"), "table_name")
     wrong = out.where("expected <> restored")
     if not wrong.isEmpty():
         raise AnalysisError("the restored tables do not have the snapshot's row counts")
     return out
-
-
-def refresh(table: DataFrame, incoming: DataFrame, path: str, batch_id: str) -> None:
-    """Replace all rows of a table by a new full snapshot of its source."""
-    if incoming.isEmpty():
-        raise AnalysisError("no data rows")
-    incoming.withColumn(BATCH_COLUMN, F.lit(batch_id)).write.mode("overwrite").partitionBy(BATCH_COLUMN).parquet(path)

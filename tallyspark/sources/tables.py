@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.text import clean_names
-from tallyspark.model import BATCH_COLUMN, AnalysisError, Dataset
+from tallyspark.model import Dataset
+from tallyspark.sources import versions
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -30,20 +31,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
                         F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan with fewer splits than there are cores, dealt out to all of
-    them: worth it before heavy work per row, and never the case for large inputs."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def create_table(df: DataFrame, path: str, batch_id: str) -> DataFrame:
     """First load of a table: clean names, a provenance column, and at least one row."""
-    if df.isEmpty():
-        raise AnalysisError("no data rows")
-    tagged = df.toDF(*clean_names(df.columns)).withColumn(BATCH_COLUMN, F.lit(batch_id))
-    tagged.write.mode("error").partitionBy(BATCH_COLUMN).parquet(path)
-    return df.sparkSession.read.schema(tagged.schema).parquet(path)
+    versions.create(df, path, batch_id)
+    return versions.rows_of(df.sparkSession, path)
 
 
 def write_csv(ds: Dataset, path: str) -> None:
