@@ -20,7 +20,7 @@ with independent hashes.
    would alone be enough for 0.75.  A pair that fits neither cannot reach it, so
    a large group of copies with many changes each is not paired out.  Pairs that
    the sketches rule out (two bits of every coordinate) are left out too.
-4. The links of both rounds give the final components.
+4. The second round's links join the components of the first.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no band with
 probability (1 - 0.75^4)^32 = 5e-6; the filter of step 3 adds 4e-7.
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.components import components
+from tallyspark.llm.components import components, mapped
 from tallyspark.llm.shared import written
 from tallyspark.llm.words import U, mix, pieces, shingles
 
@@ -194,9 +194,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         open_.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & alike("common") & once).select(*pair)
     rest = written(by_shingle.union(by_bucket).distinct().join(first, ["a", "b"], "left_anti"))
     second = _verified(rest, texts)
-    final = components(first.select("a", "b").union(second.select("a", "b")))
-
-    named_classes = classes.select("set_hash", "rep").join(
-        final.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    # the second round's links join components of the first
+    joined = components(mapped(second, labels))
+    named_classes = classes.select("set_hash", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "set_hash", F.coalesce("component", "rep").alias("node")).join(joined, "node", "left").select(
+        "set_hash", F.coalesce("component", "node").alias("component"))
     return sketched.select("id", "n_shingles", "set_hash").join(named_classes, "set_hash", "left").select(
         "id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

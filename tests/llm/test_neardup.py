@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tallyspark.llm import neardup
+from tallyspark.llm.components import components
 from tests.llm.conftest import ODD
 
 
@@ -55,3 +56,18 @@ def test_sketch_estimates_similarity_and_fills_for_any_size():
     both, one, two = (r.integers(0, 2**63, n, dtype=np.uint64) for n in (600, 100, 100))
     agree = np.mean([(neardup.sketch(np.append(both + np.uint64(k), one)) == neardup.sketch(np.append(both + np.uint64(k), two))).mean() for k in range(20)])
     assert abs(agree - 0.75) < 0.03
+
+
+def test_components_of_chains_stars_and_random_links(spark):
+    r = random.Random(9)
+    links = [(k, k + 1) for k in range(1, 60)] + [(200, 200 + k) for k in range(1, 30)] + [(300 + r.randrange(90), 300 + r.randrange(90)) for _ in range(70)]
+    links += [(500 - k, 501 - k) for k in range(40)] + links[:9] + [(900, 900)]
+    r.shuffle(links)
+    least = {n: n for pair in links for n in pair if pair[0] != pair[1]}
+    for _ in range(100):
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {x["node"]: x["component"] for x in found} == least and len(found) == len(least)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
