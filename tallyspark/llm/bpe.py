@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.shared import written
 
 LEAF = 1024
-_KEPT_WORDS = 150_000
+_KEPT_WORDS, _TOGETHER = 150_000, 100_000
 #: Letters of which lower() and NFC change nothing but the case, then signs other than the apostrophe.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _SIGNS = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
@@ -69,8 +69,11 @@ class Encoder:
         self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.decimal = {str(i).encode(): t.encode() for i, t in self.token.items()}
         self.letters = Tokenizer(self.last)  # for lower-case letters in their byte form
+        # two generations of each: what was not met since the last change is forgotten with the next
         self.words: dict[bytes, bytes] = {}
         self.roots: dict[str, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.old_roots: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> "Encoder":
@@ -81,22 +84,33 @@ class Encoder:
     def learn(self, new: list[bytes]) -> None:
         """Encode words of at most ``LEAF`` bytes and keep the decimal ids of each.  Most are
         letters and then signs, two pieces; the others are left to the whole tokenizer."""
-        if len(self.words) + len(new) > _KEPT_WORDS:
-            self.words.clear()
+        still = [w for w in new if w in self.old_words]
+        self.words.update((w, self.old_words[w]) for w in still)
+        if still:
+            new = [w for w in new if w not in self.words]
+        if len(self.roots) + len(new) > _KEPT_WORDS:
+            self.roots, self.old_roots = {}, self.roots
         split, rest, roots, signs = [], [], set(), set()
+        known, old = self.roots, self.old_roots
         for w in new:
-            if m := _PLAIN.fullmatch(w.decode()):
-                root = m[1].lower()
-                split.append((w, root, m[2]))
-                if root not in self.roots:
-                    roots.add(root)
-                if m[2] and m[2] not in self.roots:
-                    signs.add(m[2])
-            else:
+            m = _PLAIN.fullmatch(w.decode())
+            if m is None:
                 rest.append(w)
-        if len(self.roots) + len(roots) > _KEPT_WORDS:
-            self.roots.clear()
-            roots, signs = {r for _, r, _ in split}, {s for _, _, s in split if s}
+                continue
+            root, sign = m[1].lower(), m[2]
+            first = known.get(root)
+            if first is None:
+                first = old.get(root)
+                if first is None:
+                    roots.add(root)
+                else:
+                    known[root] = first
+            if sign and sign not in known:
+                signs.add(sign)
+            elif first is not None:
+                self.words[w] = first + b" " + known[sign] if sign else first
+                continue
+            split.append((w, root, sign))
         for some, tokenizer, form in ((list(roots), self.letters, _byte_form), (list(signs), self.whole, str), (rest, self.whole, bytes.decode)):
             found = tokenizer.encode_batch_fast([form(x) for x in some], add_special_tokens=False)
             (self.words if some is rest else self.roots).update(
@@ -104,15 +118,22 @@ class Encoder:
         for w, root, sign in split:
             self.words[w] = self.roots[root] + b" " + self.roots[sign] if sign else self.roots[root]
 
+    def meet(self, words: set[bytes]) -> None:
+        """Have the encodings of all these words at hand."""
+        new = words - self.words.keys()
+        if new and len(self.words) + len(new) > _KEPT_WORDS:
+            self.words, self.old_words, new = {}, self.words, words
+        if new:
+            self.learn(list(new))
+
     def ids(self, words: list[bytes]) -> bytes:
         """Decimal ids of short words, joined by one space."""
         known = self.words
         try:
             return b" ".join([i for w in words if (i := known[w])])
         except KeyError:
-            self.learn([w for w in set(words) if w not in known])
-        if any(w not in known for w in words):  # the memory was emptied for the new words
-            self.learn(list(set(words)))
+            self.meet(set(words))
+        known = self.words
         return b" ".join([i for w in words if (i := known[w])])
 
     def parts(self, word: str) -> Iterator[tuple[bool, int | str]]:
@@ -177,9 +198,18 @@ def _first(path: str, digests: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
         schema = pa.schema([("row", pa.string()), ("id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()),
                             ("at", pa.int32()), ("run", pa.int32()), ("leaf", pa.int32()), ("last", pa.bool_()), ("piece", pa.string())])
         for batch in batches:
-            out, held = [], 0
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                words = (text.as_py() or "").encode().split()
+            out, held, met = [], 0, 0
+            every = [(text.as_py() or "").encode().split() for text in batch.column(1)]
+            for k, (key, words) in enumerate(zip(batch.column(0), every, strict=True)):
+                every[k] = []
+                if k >= met:  # the words of the next texts, learnt together
+                    some, size = set(words), len(words)
+                    for met in range(k + 1, len(every) + 1):
+                        if met == len(every) or size > _TOGETHER:
+                            break
+                        some.update(every[met])
+                        size += len(every[met])
+                    encoder.meet({w for w in some if len(w) <= LEAF})
                 if max(map(len, words), default=0) > LEAF:
                     row = uuid.uuid4().hex
                     some = [{"row": row, "id": key.as_py(), "at": k} | x for k, x in enumerate(cut(encoder, words))]
