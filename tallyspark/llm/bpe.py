@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.shared import written
 
 LEAF = 1024
-_KEPT_WORDS, _TOGETHER = 150_000, 100_000
+_KEPT_WORDS, _TOGETHER = 250_000, 200_000
 #: Letters of which lower() and NFC change nothing but the case, then signs other than the apostrophe.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _SIGNS = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
