@@ -72,6 +72,12 @@ fin AS (SELECT pred.measure, pred.method, h AS step, (max(k) OVER (PARTITION BY
   1.96 * one_step_rmse * sqrt(h) AS band, mape, mae, tests, one_step_tests FROM pred JOIN score USING (measure, method)
   JOIN y ON y.measure = pred.measure AND y.t = pred.n - 1 WHERE origin = pred.n)"""
 
+
+def cte(measure: str) -> str:
+    """The same over one series per value of the SQL expression ``measure``."""
+    return _CTE.replace("SELECT o_orderstatus AS measure,", f"SELECT {measure} AS measure,")
+
+
 _ROWS = """measure, method, step, strftime(k, '%Y-%m-%d') AS period_key, round(greatest(p, 0), 2) AS value,
   round(greatest(p - band, 0), 2) AS lower, round(greatest(p + band, 0), 2) AS upper, round(mape, 1) AS mape,
   round(mae, 2) AS mae, tests, one_step_tests AS months"""

@@ -9,6 +9,7 @@ from tallyspark.model import AnalysisError, Dataset
 from tallyspark.operators import goals, metrics, rules
 from tallyspark.operators.metrics import Metric, Part, Question
 from tallyspark.plans import reports
+from tallyspark.plans.catalog import forecasts
 from tallyspark.plans.catalog.registry import EVENTS, SALES, events, lineitem, orders, query, rounded, sales
 
 METRICS = (
@@ -178,7 +179,7 @@ def alert_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 # ----------------------------------------------------------------- rules ---
 
-@query("insights", """
+@query("insights", f"""
 WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1),
 e AS (SELECT min_by(v, k) AS f, max_by(v, k) AS l, max(k) AS k FROM m),
 z AS (SELECT v AS pv FROM m ORDER BY k DESC LIMIT 1 OFFSET 1),
@@ -196,11 +197,14 @@ UNION ALL SELECT 'anomaly', strftime(k, '%Y-%m'), round(v, 4), CASE WHEN abs(dev
 UNION ALL SELECT 'concentration', member, share, 'warning' FROM s WHERE rank = 1 AND share >= 40
 UNION ALL SELECT 'leader', member, round(v, 4), 'good' FROM s WHERE rank = 1
 UNION ALL SELECT 'pareto', 'o_orderstatus', n, 'info' FROM (SELECT min(rank) FILTER (c >= 80) AS n, count(*) AS total
-  FROM (SELECT rank, sum(share) OVER (ORDER BY rank) AS c FROM s)) WHERE total > n""")
+  FROM (SELECT rank, sum(share) OVER (ORDER BY rank) AS c FROM s)) WHERE total > n
+UNION ALL SELECT 'forecast', strftime(k, '%Y-%m'), round(greatest(p, 0), 2), 'info'
+  FROM (WITH {forecasts.cte("'o_totalprice'")} SELECT k, p FROM fin JOIN best USING (measure, method) WHERE step = 1)""")
 def insights(spark: SparkSession, folder: str) -> DataFrame:
-    """Every rule but the projection, which has its own queries."""
-    found = rules.insights(orders(spark, folder)).where("category <> 'forecast'")
-    return rounded(found.select("category", "subject", "metric", "severity"), 4)
+    """Every rule, the projection of the next month among them."""
+    found = rules.insights(orders(spark, folder))
+    metric = F.when(F.col("category") == "forecast", F.round("metric", 2)).otherwise(F.col("metric")).alias("metric")
+    return rounded(found.select("category", "subject", metric, "severity"), 4)
 
 
 @query("insights_text")
