@@ -248,20 +248,36 @@ def report_facts(spark: SparkSession, folder: str) -> DataFrame:
     return reports.report(sales(spark, folder), None, [goals.Target("t8", "o_totalprice", "year", "2001", 950_000_000.0)])
 
 
-@query("dashboard_blocks", """
-WITH m AS (SELECT count(DISTINCT date_trunc('month', l_shipdate)) AS months, count(DISTINCT l_linenumber) AS lines,
+_MONTHS = """w AS (SELECT measure, k, v, row_number() OVER (PARTITION BY measure ORDER BY k) - 1 AS t FROM (
+  SELECT date_trunc('month', l_shipdate)::DATE AS k, sum(l_quantity)::DOUBLE AS l_quantity, sum(l_extendedprice)::DOUBLE AS l_extendedprice,
+    sum(l_discount)::DOUBLE AS l_discount, sum(l_tax)::DOUBLE AS l_tax FROM lineitem GROUP BY 1) UNPIVOT (v FOR measure IN (l_quantity, l_extendedprice, l_discount, l_tax))),
+lf AS (SELECT measure, regr_intercept(v, t) AS b, regr_slope(v, t) AS a, avg(abs(v)) + 1 AS size FROM w GROUP BY 1),
+lr AS (SELECT w.measure, k, v - (b + a * t) AS res, size FROM w JOIN lf USING (measure)),
+odd AS (SELECT measure, k FROM (SELECT *, count(*) OVER p AS n, stddev_samp(res) OVER p AS sd FROM lr WINDOW p AS (PARTITION BY measure))
+  WHERE n >= 5 AND sd > size * 1e-6 AND abs(res / sd) >= 2.5)"""
+#: How many insights the first measure and dimension of line items give.
+_INSIGHTS = """q AS (SELECT v, lag(v) OVER (ORDER BY k) AS pv, row_number() OVER (ORDER BY k DESC) AS age FROM w WHERE measure = 'l_quantity'),
+sh AS (SELECT *, row_number() OVER (ORDER BY v DESC, member) AS rank, round(v / sum(v) OVER () * 100, 1) AS share
+  FROM (SELECT l_linenumber::VARCHAR AS member, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY 1)),
+vital AS (SELECT min(rank) FILTER (round(c, 6) >= 80) AS need, count(*) AS total FROM (SELECT rank, sum(share) OVER (ORDER BY rank) AS c FROM sh)),
+ins AS (SELECT 3 + (SELECT count(*) FROM q WHERE age = 1 AND abs((v - pv) / abs(pv)) >= 0.08) + (SELECT count(DISTINCT k) FROM odd)
+  + (SELECT count(*) FROM sh WHERE rank = 1 AND share >= 40) + (SELECT count(*) FROM vital WHERE total > need) AS n)"""
+
+
+@query("dashboard_blocks", f"""
+WITH {_MONTHS}, {_INSIGHTS}, m AS (SELECT count(DISTINCT date_trunc('month', l_shipdate)) AS months, count(DISTINCT l_linenumber) AS lines,
   count(DISTINCT l_returnflag) AS flags, count(DISTINCT l_linestatus) AS states,
   count(DISTINCT l_returnflag || l_linestatus) AS pairs FROM lineitem)
 SELECT 'kpis' AS block, 4 AS n_rows FROM m UNION ALL SELECT 'profile', 1 FROM m UNION ALL SELECT 'distributions', 4 FROM m
 UNION ALL SELECT 'filter_options', lines + flags + states FROM m UNION ALL SELECT 'trend', months * 4 FROM m
 UNION ALL SELECT 'deltas', 4 FROM m UNION ALL SELECT 'growth', 4 FROM m UNION ALL SELECT 'moving_average', months * 4 FROM m
 UNION ALL SELECT 'forecasts', 12 FROM m UNION ALL SELECT 'breakdowns', lines + flags + states FROM m
-UNION ALL SELECT 'pareto', lines FROM m UNION ALL SELECT 'correlations', 6 FROM m UNION ALL SELECT 'treemap', pairs FROM m""")
+UNION ALL SELECT 'pareto', lines FROM m UNION ALL SELECT 'correlations', 6 FROM m UNION ALL SELECT 'treemap', pairs FROM m
+UNION ALL SELECT 'anomalies', count(*) FROM odd UNION ALL SELECT 'insights', n FROM ins""")
 def dashboard_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of every block of a dashboard (those of the rules have queries of their own)."""
+    """How many rows each block of a dashboard has, those of the rules among them."""
     blocks, out = reports.dashboard(lineitem(spark, folder)), None
     for name, block in blocks.items():
-        if name not in ("anomalies", "insights"):
-            row = block.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("block"), "n_rows")
-            out = row if out is None else out.unionByName(row)
+        row = block.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("block"), "n_rows")
+        out = row if out is None else out.unionByName(row)
     return out
