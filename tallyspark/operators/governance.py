@@ -158,4 +158,4 @@ def check_erased(tables: Mapping[str, DataFrame], workspace_id: str) -> None:
 def redact_log(rows: DataFrame, message: str, attributes: str | None = None) -> DataFrame:
     """Log rows with bearer tokens and credential-like attributes hidden."""
     out = rows.withColumn(message, text.redact_text(F.col(message)))
-    return out.withColumn(attributes, text.redact_map(F.col(attributes))) if attributes else out
+    return out.withColumn(attributes, text.redact(F.col(attributes), rows.schema[attributes].dataType)) if attributes else out

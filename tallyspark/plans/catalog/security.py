@@ -110,6 +110,20 @@ def pii_share_in_texts(spark: SparkSession, folder: str) -> DataFrame:
         "national_ids"), F.count_distinct(F.when(email, F.col("doc_id"))).alias("texts_with_email"))
 
 
+@query("log_redaction_nested", r"""SELECT doc_id, lang, '[redacted]' AS "session", 'Bearer [redacted], ' || lang AS "first_call", '[redacted]' AS "call_token",
+  NULL AS "cookies", source AS "plain", doc_id AS "number" FROM documents""")
+def log_redaction_nested(spark: SparkSession, folder: str) -> DataFrame:
+    """Attributes with a struct of a map of lists of maps: secrets at every depth."""
+    call = F.create_map(F.lit("header"), F.concat(F.lit("Bearer "), F.md5(F.col("text").cast("binary")), F.lit(", "), F.col("lang")),
+                        F.lit("x-api-key"), F.md5(F.col("text").cast("binary")))
+    extra = F.struct("lang", F.col("source").alias("session_id"), F.array("source").alias("cookies"), F.col("doc_id").alias("number"),
+                     F.create_map(F.lit("calls"), F.array(call, call), F.lit("plain"), F.array(F.create_map(F.lit("source"), F.col("source")))).alias("more"))
+    log = governance.redact_log(table(spark, folder, "documents").select("doc_id", F.lit("").alias("line"), extra.alias("extra")), "line", "extra")
+    calls = F.col("extra.more")["calls"][1]
+    return log.select("doc_id", "extra.lang", F.col("extra.session_id").alias("session"), calls["header"].alias("first_call"), calls["x-api-key"].alias("call_token"),
+                      F.col("extra.cookies")[0].alias("cookies"), F.col("extra.more")["plain"][0]["source"].alias("plain"), "extra.number")
+
+
 @query("log_redaction", r"""
 WITH l AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'Authorization: Bearer ' || md5(text) || '.x' ELSE text END AS line,
   md5(text) AS t FROM documents)

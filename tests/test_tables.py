@@ -4,7 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import clean_names, redact_map, redact_text
+from tallyspark.functions.text import clean_names, redact, redact_map, redact_text
 from tallyspark.model import AnalysisError, ColumnMeta, Dataset
 from tallyspark.operators import governance, joins, profile, security, slices
 from tallyspark.operators.security import RowRule, Share
@@ -270,3 +270,21 @@ def test_buckets_of_heavy_tails_are_even(spark):
     sizes = [r["count"] for r in df.groupBy(ranking._bucket(F.col("v"), ranking._block(F.col("v"), edges, "double"), edges).alias("b")).count().collect()]
     assert max(sizes) < 0.02 * 200_000
     assert ranking.quantiles(df, [], ["v"], [0.5]).first()["q0"] == df.agg(F.percentile("v", 0.5)).first()[0]
+
+
+def test_secrets_are_hidden_at_every_depth(spark):
+    schema = ("a struct<user: string, Password: string, tokens: array<int>, deep: map<string, map<string, array<string>>>>, "
+              "b array<map<string, struct<note: string, api_key: string, n: int>>>, c array<int>, d map<int, string>")
+    rows_ = [(("Bearer abc.def x", "pw", [1, 2], {"ok": {"k": ["bearer q-1", None], "my_secret": ["s"]}, "cookie": {"a": ["b"]}, "none": None}),
+              [{"x": ("n Bearer z", "key", 3), "authorization": ("a", "b", 4), "y": None}], [5], {1: "Bearer t"}), (None, None, None, None),
+             ((None, None, None, {}), [], [], {})]
+    df = spark.createDataFrame(rows_, schema)
+    out = df.select(*[redact(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    assert [f.dataType.simpleString() for f in out.schema.fields] == [f.dataType.simpleString() for f in df.schema.fields]
+    one, two, three = [r.asDict(recursive=True) for r in out.collect()]
+    assert one["a"] == {"user": "Bearer [redacted] x", "Password": "[redacted]", "tokens": None,
+                        "deep": {"ok": {"k": ["bearer [redacted]", None], "my_secret": None}, "cookie": None, "none": None}}
+    assert one["b"] == [{"x": {"note": "n Bearer [redacted]", "api_key": "[redacted]", "n": 3}, "authorization": None, "y": None}]
+    assert (one["c"], one["d"]) == ([5], {1: "Bearer [redacted]"})
+    assert set(two.values()) == {None}
+    assert three["a"] == {"user": None, "Password": "[redacted]", "tokens": None, "deep": {}} and three["b"] == []
