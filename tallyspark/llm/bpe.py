@@ -1,18 +1,24 @@
 """Encoding and decoding by byte-pair merges of a given vocabulary (operator 9).
 
-A text is cut at ASCII white space, which the vocabulary's splitting drops, so
-its words are encoded each for itself; a bounded memory holds words met before.
-
-A word over ``LEAF`` bytes is *long unsplit text* and goes through tree
-concatenation.  Its normalised pieces are cut into leaves, which become rows of
-their own and are encoded in parallel; two neighbours are then joined, halves
-of halves up to the whole.  A join re-encodes a window of some tokens on either
-side of the seam and doubles it until the window's first and last token come
-out as before (or the window reaches the end).  Then every adjacent pair of
+A text over ``LEAF`` bytes goes through tree concatenation: it is cut at code
+points into leaves, wherever in a word that may be, the leaves are encoded each
+for itself (the words of many leaves together, by as many threads as the
+library has), and neighbours are joined, halves of halves up to the whole.  A
+join re-encodes a window of some words on either side of the seam and doubles
+it until its first and last word come out as they were (or it reaches the end).
+The vocabulary's splitting drops white space and never looks across it, so what
+lies outside such a window cannot change.  A bounded memory holds words met before.
+
+A word over ``LEAF`` bytes is cut further, into leaves of its normalised pieces,
+which become rows of their own and are encoded in parallel tasks; their joins
+compare tokens in place of words.  Then every adjacent pair of
 tokens is one that occurs in an encoding, and a sequence all of whose adjacent
 pairs encode to themselves is the encoding of its text, because merges run in
 the order of their ranks and a merge across a seam would also happen in the pair.
 
+Only vocabularies that lower-case, drop white space and mark the end of a word
+are taken; others are refused with a ``ValueError``.
+
 Null texts are empty; an empty text has no tokens.  Rows that repeat an id are
 encoded each for itself; extra columns are ignored.  An empty table gives an
 empty result.
@@ -24,6 +30,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -38,13 +45,39 @@ _KEPT_WORDS, _TOGETHER = 250_000, 200_000
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _SIGNS = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
 _SIGNS |= {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - _SIGNS.keys()))}  # bytes as letters, as the vocabulary has them
+#: Normalisation and splitting that the words' memory relies on.
+_RULES = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 _loaded: dict[str, "Encoder"] = {}
 
 
+class _LongWord(Exception):
+    """A word over ``LEAF`` bytes has come together at a seam."""
+
+
 def _byte_form(text: str) -> str:
     return text if text.isascii() else text.encode().decode("latin-1").translate(_SIGNS)
 
 
+class Part(NamedTuple):
+    """Neighbouring words of a text and their ids; ``open``: the last word may go on behind it."""
+
+    words: list[bytes]
+    ids: list[bytes]
+    open: bool
+
+
+def leaves(data: bytes) -> list[tuple[list[bytes], bool]]:
+    """The words of every ``LEAF`` bytes of a text, cut at code points, and whether the last one is cut."""
+    at, out = 0, []
+    while at < len(data):
+        to = at + LEAF
+        while to < len(data) and data[to] & 0xC0 == 0x80:
+            to -= 1
+        out.append((data[at:to].split(), to < len(data) and not data[to - 1 : to].isspace() and not data[to : to + 1].isspace()))
+        at = to
+    return out
+
+
 class Encoder:
     """One vocabulary file, and the words met so far in this process."""
 
@@ -59,6 +92,10 @@ class Encoder:
         self.whole.no_padding()
         spec = json.loads(self.whole.to_str())
         model = spec["model"]
+        rules = tuple([x["type"] for x in (spec[k] or {}).get(several, [])]
+                      for k, several in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        if rules != _RULES or not model.get("end_of_word_suffix"):
+            raise ValueError(f"{path}: not a vocabulary of lower-case words with a mark at their end")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         make = lambda suffix: BPE(vocab=model["vocab"], merges=merges, **({"end_of_word_suffix": suffix} if suffix else {}))
         self.inner, self.last = make(None), make(model.get("end_of_word_suffix"))
@@ -126,15 +163,41 @@ class Encoder:
         if new:
             self.learn(list(new))
 
-    def ids(self, words: list[bytes]) -> bytes:
-        """Decimal ids of short words, joined by one space."""
-        known = self.words
+    def each(self, words: list[bytes]) -> list[bytes]:
+        """Decimal ids of every short word."""
         try:
-            return b" ".join([i for w in words if (i := known[w])])
+            return [*map(self.words.__getitem__, words)]
         except KeyError:
             self.meet(set(words))
-        known = self.words
-        return b" ".join([i for w in words if (i := known[w])])
+        return [*map(self.words.__getitem__, words)]
+
+    def ids(self, words: list[bytes]) -> bytes:
+        """Decimal ids of short words, joined by one space."""
+        return b" ".join(filter(None, self.each(words)))
+
+    def seam(self, left: "Part", right: "Part") -> "Part":
+        """Two neighbouring parts of a text as one, from their encodings."""
+        width = 1
+        while True:
+            a, b = left.words[-width:], right.words[:width]
+            if left.open and a and b:  # the word that was cut
+                again = [*a[:-1], a[-1] + b[0], *b[1:]]
+                if len(again[len(a) - 1]) > LEAF:
+                    raise _LongWord
+            else:
+                again = a + b
+            ids = self.each(again)
+            if (len(a) == len(left.words) or ids[0] == left.ids[-width]) and (len(b) == len(right.words) or ids[-1] == right.ids[width - 1]):
+                break
+            width *= 2
+        n = len(left.words) - len(a)
+        return Part(left.words[:n] + again + right.words[len(b):], left.ids[:n] + ids + right.ids[len(b):], right.open)
+
+    def concatenated(self, parts: list["Part"]) -> "Part":
+        if len(parts) == 1:
+            return parts[0]
+        half = len(parts) // 2
+        return self.seam(self.concatenated(parts[:half]), self.concatenated(parts[half:]))
 
     def parts(self, word: str) -> Iterator[tuple[bool, int | str]]:
         """(is text, piece) of a long word: ids of added tokens and split pieces."""
@@ -199,22 +262,29 @@ def _first(path: str, digests: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                             ("at", pa.int32()), ("run", pa.int32()), ("leaf", pa.int32()), ("last", pa.bool_()), ("piece", pa.string())])
         for batch in batches:
             out, held, met = [], 0, 0
-            every = [(text.as_py() or "").encode().split() for text in batch.column(1)]
-            for k, (key, words) in enumerate(zip(batch.column(0), every, strict=True)):
+            texts = [(text.as_py() or "").encode() for text in batch.column(1)]
+            every = [leaves(data) for data in texts]
+            for k, (key, cuts) in enumerate(zip(batch.column(0), every, strict=True)):
                 every[k] = []
                 if k >= met:  # the words of the next texts, learnt together
-                    some, size = set(words), len(words)
-                    for met in range(k + 1, len(every) + 1):
+                    some, size = set(), 0
+                    for met in range(k, len(every) + 1):
                         if met == len(every) or size > _TOGETHER:
                             break
-                        some.update(every[met])
-                        size += len(every[met])
+                        parts = cuts if met == k else every[met]
+                        for n, (words, is_open) in enumerate(parts):
+                            some.update(words)
+                            size += len(words)
+                            if is_open:
+                                some.add(words[-1] + parts[n + 1][0][0])
                     encoder.meet({w for w in some if len(w) <= LEAF})
-                if max(map(len, words), default=0) > LEAF:
+                try:
+                    whole = encoder.concatenated([Part(words, encoder.each(words), is_open) for words, is_open in cuts]) if cuts else None
+                except _LongWord:
                     row = uuid.uuid4().hex
-                    some = [{"row": row, "id": key.as_py(), "at": k} | x for k, x in enumerate(cut(encoder, words))]
+                    some = [{"row": row, "id": key.as_py(), "at": k} | x for k, x in enumerate(cut(encoder, texts[k].split()))]
                 else:
-                    ids = encoder.ids(words)
+                    ids = b" ".join(filter(None, whole.ids)) if whole else b""
                     tokens = b" ".join(map(encoder.decimal.__getitem__, ids.split())) if digests else b""
                     some = [{"id": key.as_py(), "n": ids.count(b" ") + 1 if ids else 0, "ids": _digest(ids) if digests else ids,
                              "tokens": _digest(tokens) if digests else None}]

@@ -3,6 +3,8 @@ import hashlib
 import itertools
 import random
 
+import pytest
+
 from tallyspark.llm import bpe, decontaminate, repeats
 from tallyspark.llm.queries import tokenizer_file
 from tests.llm.conftest import ODD
@@ -130,3 +132,23 @@ def test_joins_of_any_cuts_agree_with_the_whole():
         n = r.choice((1, 3, 7, 20))
         leaves = [encoder.merge(s[i:i + n], i + n >= len(s)) for i in range(0, len(s), n)]
         assert encoder.tree(leaves) == encoder.merge(s, True)
+
+
+def test_whole_texts_are_joined_from_leaves(prose, monkeypatch):
+    from tokenizers import Tokenizer
+    library, encoder, joined = Tokenizer.from_file(tokenizer_file()), bpe.Encoder(tokenizer_file()), []
+    seam = encoder.seam
+    monkeypatch.setattr(encoder, "seam", lambda a, b: (joined.append(a.open), seam(a, b))[1])
+    monkeypatch.setattr(bpe, "LEAF", 40)
+    texts = [prose(k, 60) for k in range(20)] + ["\u00e9\u4e2d " * 90, " " * 200 + "a" + " " * 200, "don't <|endoftext|>we'll " * 20, "x\u0301 y " * 50, "", " "]
+    for t in texts:
+        parts = [bpe.Part(words, encoder.each(words), is_open) for words, is_open in bpe.leaves(t.encode())]
+        ids = b" ".join(filter(None, encoder.concatenated(parts).ids)).split() if parts else []
+        assert [int(i) for i in ids] == library.encode(t, add_special_tokens=False).ids
+    cuts = [is_open for t in texts for _, is_open in bpe.leaves(t.encode())[:-1]]
+    assert sorted(joined) == sorted(cuts) and sum(cuts) > 50
+
+
+def test_vocabularies_of_another_kind_are_refused():
+    with pytest.raises(ValueError, match="lower-case words"):
+        bpe.Encoder(tokenizer_file("byte_bpe_50k.json"))
