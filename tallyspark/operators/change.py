@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -318,24 +317,24 @@ def decomposition_tree(ds: Dataset, measure: str | None = None, agg: str = "sum"
     """Repeated splitting: each level takes the dimension that best explains the
     change of the member picked at the level above (its biggest mover).
 
-    Both periods are reduced once to A and B per combination of dimensions; the
-    levels read that reduction, not the facts."""
+    Each level reads the rows under the members picked so far and reduces them to A
+    and B per member of the dimensions left, so nothing near the size of the facts is kept."""
     measure = _need_additive(ds, measure, agg)
     per = comparison(ds, grain, compare)
     dims = ds.free_dimensions
-    cube = _both(ds, per).frame.groupBy(*dims).agg(*_two(ds, per, _amount(measure, agg))).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    both, amounts = _both(ds, per), _two(ds, per, _amount(measure, agg))
     out, pins = None, []
     for level in range(1, min(depth, len(dims)) + 1):
         left = [d for d in dims if d not in [p[0] for p in pins]]
-        rows = cube
+        rows = both.frame
         for d, value in pins:
             rows = rows.where(F.col(d).cast("string").eqNullSafe(F.lit(value)))
-        merged = slices.members(ds.with_frame(rows), left, F.sum("a").alias("a"), F.sum("b").alias("b"), blanks=True)
+        under = both.with_frame(rows)
+        merged = slices.members(under, left, *amounts, blanks=True)
         scores = {r["dimension"]: r for r in split_ranking(merged).collect()}  # one row per dimension
         chosen = max(left, key=lambda d: (scores[d]["score"] if d in scores else 0.0, -left.index(d)))
         path = " / ".join(f"{d}={v}" for d, v in pins)
-        steps = _steps(merged.where(F.col("dimension") == chosen), limit).withColumn("level", F.lit(level)).withColumn(
+        steps = _steps(slices.members(under, [chosen], *amounts, blanks=True), limit).withColumn("level", F.lit(level)).withColumn(
             "path", F.lit(path))
         out = steps if out is None else out.unionByName(steps)
         if chosen not in scores:

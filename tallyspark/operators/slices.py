@@ -192,26 +192,36 @@ def _top_and_tail(ds: Dataset, dims: Sequence[str], measure: str, limit: int) ->
     rows = ds.frame.select(measure, F.inline(F.array(*pairs))).where("member is not null")
     known = ranking.sketch(rows, [*by, "member"], [measure])
     groups = value_by(rows, [*by, "member"], measure, "median", known)
-    top = groups.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(
-        F.desc_nulls_last("value"), F.asc("member")))).where(F.col("rank") <= limit)
-    shown = top.select("dimension", "member")  # at most `limit` rows per dimension of the schema
-    tail_rows = rows.join(F.broadcast(shown), ["dimension", "member"], "left_anti")
-    tail = value_by(tail_rows, by, measure, "median", ranking.Sketch(known.edges, len(dims)))
-    held = groups.groupBy(*by).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("folded"))
-    return top.withColumn("folded", F.lit(0).cast("long")).unionByName(tail.join(held, by), allowMissingColumns=True)
+    order = [F.desc_nulls_last("value"), F.asc("member")]
+    merge = [F.max("value").alias("value"), F.sum("n_rows").alias("n_rows")]
+    best = ranking.top_and_rest(groups, by, "member", order, limit, merge)
+    # found now, so that the members' medians are not computed again for the tail: at most `limit` + 1 rows per dimension
+    found, spark = best.collect(), ds.frame.sparkSession
+    top = spark.createDataFrame([r for r in found if r["rank"] is not None], best.schema)
+    rest = [r for r in found if r["rank"] is None]
+    if not rest:
+        return top
+    shown = top.select("dimension", "member")
+    tail_rows = rows.where(F.col("dimension").isin([r["dimension"] for r in rest])).join(
+        F.broadcast(shown), ["dimension", "member"], "left_anti")
+    middle = ranking.quantiles(tail_rows, by, [measure], [0.5], ranking.Sketch(known.edges, len(dims))).select(
+        *by, F.col("q0").alias("value"))
+    tail = spark.createDataFrame(rest, best.schema).drop("value").join(middle, by, "left")
+    return top.unionByName(tail)
 
 
 # -------------------------------------------------------------- records ---
 
 def records(ds: Dataset, sort: str | None = None, desc: bool = True, page: int = 1, page_size: int = 50) -> DataFrame:
-    """One page of the rows behind a number; ties are broken by the other columns."""
+    """One page of the rows behind a number; ties are broken by the other columns.
+    A deep page is found by counting, see :func:`ranking.page`."""
     sort = sort or ds.date_column
     if sort is not None and sort not in ds.user_columns:
         raise AnalysisError(f"cannot sort by {sort!r}")
     size = max(1, min(int(page_size), PAGE_MAX))
-    order = [F.desc_nulls_last(sort) if desc else F.asc_nulls_last(sort)] if sort else []
-    order += [F.asc_nulls_last(c) for c in ds.user_columns if c != sort]
-    return ds.frame.select(*ds.user_columns).orderBy(*order).offset((max(1, int(page)) - 1) * size).limit(size)
+    order = [(sort, desc)] if sort else []
+    order += [(c, False) for c in ds.user_columns if c != sort]
+    return ranking.page(ds.frame.select(*ds.user_columns), order, (max(1, int(page)) - 1) * size, size)
 
 
 def record_count(ds: Dataset) -> DataFrame:

@@ -113,3 +113,41 @@ def test_systematic_sample(spark):
     df = spark.range(1000)
     assert [r[0] for r in rows(ranking.systematic_sample(df, "id", 10).orderBy("id"))] == list(range(0, 1000, 100))
     assert ranking.systematic_sample(df.where("id < 7"), "id", 10).count() == 7
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_deep_pages_as_by_sorting(spark, monkeypatch, down):
+    r = random.Random(5)
+    names = [None, "", "a", "a\x00", "customer-1", "customer-10", "customer-2", "customer-é", "custom"]
+    data = [(r.choice(names), r.choice([None, 1.5, 1.5, 1.5, -2.0, float("inf"), 7.25]), r.choice([None, True, False]), i // 2) for i in range(300)]
+    df = spark.createDataFrame(data, "name string, value double, flag boolean, n long").repartition(3)
+    monkeypatch.setattr(ranking, "_AT_ONCE", 20)
+
+    def rank(v, falling=False):
+        v = v.encode() if isinstance(v, str) else v
+        return (1, 0) if v is None else (0, _Falling(v) if falling else v)
+
+    for lead in ("name", "value"):
+        order = [(lead, down)] + [(c, False) for c in df.columns if c != lead]
+        want = sorted(data, key=lambda x: [rank(x[df.columns.index(c)], d) for c, d in order])
+        for start, size in ((0, 10), (95, 30), (290, 30), (400, 5)):
+            found = [tuple(x) for x in ranking.page(df, order, start, size).collect()]
+            assert found == want[start : start + size], (lead, start)
+
+
+class _Falling:
+    def __init__(self, v):
+        self.v = v
+
+    def __lt__(self, other):
+        return self.v > other.v
+
+    def __eq__(self, other):
+        return self.v == other.v
+
+
+def test_deep_page_of_equal_rows_and_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_AT_ONCE", 5)
+    df = spark.createDataFrame([("x", None)] * 40, "a string, b long")
+    assert [tuple(x) for x in ranking.page(df, [("a", False), ("b", True)], 30, 20).collect()] == [("x", None)] * 10
+    assert ranking.page(df.where("a = 'y'"), [("a", False)], 30, 20).collect() == []
