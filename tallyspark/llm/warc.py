@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 from tallyspark.llm.shared import shared_folder, written
 
 LEAST, ROLL = 1000, 32 << 20
-_PIECE, _MOST_HEADER = 1 << 18, 1 << 16
+_PIECE, _HEADER = 1 << 18, 1 << 16
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_BEGIN = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[0-9]\r\n")
+_BEGIN = re.compile(rb"\x1f\x8b\x08|" + _VERSION.pattern)
 
 
 class Damaged(Exception):
@@ -137,7 +138,9 @@ def _checked(fields: dict[str, str], block: bytes) -> dict:
             "digest": digest, "size": size, "payload": payload}
 
 
-def _member(source: Source, at: int) -> tuple[dict, int]:
+def _member(source: Source, at: int) -> tuple[list[dict], int]:
+    """The records of one member.  Its first must be whole; behind it, a record that is not
+    becomes a gap of the member's bytes, and reading goes on at the next version line."""
     packed, data, place = zlib.decompressobj(31), [], at
     while not packed.eof:
         piece = source.read(place, min(_PIECE, source.size - place))
@@ -148,27 +151,46 @@ def _member(source: Source, at: int) -> tuple[dict, int]:
         except zlib.error as problem:
             raise Damaged(f"the member is broken: {problem}") from None
         place += len(piece)
-    whole = b"".join(data)
-    head, blank, rest = whole.partition(b"\r\n\r\n")
-    if not blank:
+    whole, end = b"".join(data), place - len(packed.unused_data)
+    record, start = _within(whole, 0)
+    out = [{"kind": "record", "reason": None} | record]
+    while start < len(whole):
+        try:
+            record, after = _within(whole, start)
+        except (Damaged, ValueError) as problem:
+            following = _VERSION.search(whole, start + 1)
+            after = following.start() if following else len(whole)
+            out.append({"kind": "gap", "reason": f"bytes {start} to {after} of the member: {problem}"})
+        else:
+            out.append({"kind": "record", "reason": None} | record)
+        start = after
+    return out, end
+
+
+def _within(whole: bytes, start: int) -> tuple[dict, int]:
+    blank = whole.find(b"\r\n\r\n", start)
+    if blank < 0:
         raise Damaged("the header doesn't end")
-    fields = _parsed(head)
-    n = int(fields["content-length"])
-    if rest[n:] != b"\r\n\r\n":
+    fields = _parsed(whole[start:blank])
+    end = blank + 4 + int(fields["content-length"])
+    if whole[end : end + 4] != b"\r\n\r\n":
         raise Damaged("the length is wrong")
-    return _checked(fields, rest[:n]), place - len(packed.unused_data)
+    return _checked(fields, whole[blank + 4 : end]), end + 4
 
 
-def _bare(source: Source, at: int) -> tuple[dict, int]:
-    head, blank, _ = source.read(at, min(_MOST_HEADER, source.size - at)).partition(b"\r\n\r\n")
-    if not blank:
-        raise Damaged("the header doesn't end")
+def _bare(source: Source, at: int) -> tuple[list[dict], int]:
+    width, blank = _HEADER, b""
+    while not blank:
+        head, blank, _ = source.read(at, min(width, source.size - at)).partition(b"\r\n\r\n")
+        if not blank and at + width >= source.size:
+            raise Damaged("the header doesn't end")
+        width *= 2
     fields = _parsed(head)
     start = at + len(head) + 4
     end = start + int(fields["content-length"])
     if end + 4 > source.size or source.read(end, 4) != b"\r\n\r\n":
         raise Damaged("the length is wrong")
-    return _checked(fields, source.read(start, end - start)), end + 4
+    return [{"kind": "record", "reason": None} | _checked(fields, source.read(start, end - start))], end + 4
 
 
 def salvage(source: Source) -> Iterator[dict]:
@@ -186,7 +208,7 @@ def salvage(source: Source) -> Iterator[dict]:
         if bad is not None:
             yield {"kind": "gap", "at": bad, "length": at - bad, "reason": reason}
             bad = None
-        yield {"kind": "record", "at": at, "length": end - at, "reason": None} | found
+        yield from ({"at": at, "length": end - at} | x for x in found)
         at = end
     if bad is not None:
         yield {"kind": "gap", "at": bad, "length": source.size - bad, "reason": reason}
@@ -228,7 +250,10 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
                             out, held = [], 0
                 yield pa.RecordBatch.from_pylist(out, _READ_TYPE)
 
-    return files.select("file").repartition("file").mapInArrow(rows, _READ)
+    # a task for each file, or for up to 16 where there are more than tasks by default
+    n = files.count()
+    tasks = max(1, -(-n // 16), min(n, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return files.select("file").repartition(tasks).mapInArrow(rows, _READ)
 
 
 def archived(pages: DataFrame, folder: str | None = None, key: str = "page_id", url: str = "url", html: str = "html",

@@ -114,3 +114,30 @@ def test_bare_records_with_a_wrong_length_or_digest(spark, tmp_path):
         got = records(spark.createDataFrame([(f"file://{path}",)], "file string"))
         assert [r["page_id"] for r in got if r["kind"] == "record"] == [0, 1, 3, 4], name
         assert [(r["at"], r["length"]) for r in got if r["kind"] == "gap"] == [(len(good[0] + good[1]), len(middle))], name
+
+
+def test_several_records_in_a_member_and_long_headers(spark, tmp_path):
+    import gzip
+
+    def bare(k, url="u"):
+        data = f"page {k}".encode()
+        return warc.record(k, url, data, hashlib.sha1(data).hexdigest(), len(data), None)
+
+    bad = bare(7).replace(b"page 7", b"page X")
+    members = [gzip.compress(bare(0) + bare(1) + bad + bare(2)), gzip.compress(bare(3))]
+    path = tmp_path / "several.warc"
+    path.write_bytes(members[0] + bare(4, "http://a/" + "x" * 200_000) + members[1])
+    got = warc.read(spark.createDataFrame([(f"file://{path}",)], "file string")).collect()
+    assert sorted(r["page_id"] for r in got if r["kind"] == "record") == [0, 1, 2, 3, 4]
+    (gap,) = [r for r in got if r["kind"] == "gap"]
+    assert (gap["at"], gap["length"]) == (0, len(members[0])) and "another digest" in gap["reason"]
+
+
+def test_archives_are_read_by_several_tasks(spark, tmp_path):
+    names = []
+    for k in range(6):
+        data = f"page {k}".encode()
+        (tmp_path / f"{k}.warc").write_bytes(warc.record(k, "u", data, hashlib.sha1(data).hexdigest(), len(data), None))
+        names.append((f"file://{tmp_path}/{k}.warc",))
+    found = warc.read(spark.createDataFrame(names, "file string"))
+    assert found.rdd.getNumPartitions() > 1 and sorted(r["page_id"] for r in found.collect()) == [*range(6)]
