@@ -16,10 +16,19 @@ from tallyspark.llm.queries import table, tokenizer_file
 from tallyspark.llm.shared import written
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learnt from those with labels, does not reject."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs, into="_quality").where("_quality >= 0.3").select(*docs.columns)
+    score = _free(docs, "_quality")
+    return model.score(docs, into=score).where(F.col(score) >= 0.3).select(*docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +40,9 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with a benchmark item."""
-    return decontaminate.marked(docs, table(spark, sf_dir, "benchmark"), into="_overlaps").where(
-        "_overlaps IS NULL OR size(_overlaps) = 0").select(*docs.columns)
+    found = _free(docs, "_overlaps")
+    return decontaminate.marked(docs, table(spark, sf_dir, "benchmark"), into=found).where(
+        F.col(found).isNull() | (F.size(found) == 0)).select(*docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
