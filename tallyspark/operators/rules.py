@@ -156,17 +156,18 @@ def insights(ds: Dataset, measure: str | None = None, monthly: DataFrame | None
 # --------------------------------------------------------------- actions ---
 
 def _action(df: DataFrame, kind: str, subject: Column | str, severity: Column | str, magnitude: Column, title: Column,
-            why: Column, evidence: Column | None = None) -> DataFrame:
+            why: Column, step: Column, evidence: Column | None = None) -> DataFrame:
     def lit(v):
         return F.lit(v) if isinstance(v, str) else v
     empty = F.create_map().cast("map<string,string>")
     return df.select(F.concat(F.lit(f"{kind}:"), lit(subject)).alias("id"), F.lit(kind).alias("kind"),
                      lit(severity).alias("severity"), F.abs(magnitude).cast("double").alias("magnitude"),
-                     title.alias("title"), why.alias("why"), (empty if evidence is None else evidence).alias("evidence"))
+                     title.alias("title"), why.alias("why"), step.alias("step"), (empty if evidence is None else evidence).alias("evidence"))
 
 
 def actions(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Target] = (), limit: int = 8) -> DataFrame:
-    """What to look into next, most urgent first, each with the slice that proves it."""
+    """What to look into next, most urgent first: why, the ``step`` to take, and
+    the slice that proves it."""
     m = ds.need_measure(measure)
     kind, name = ds.measures[m], numbers.words(m)
     rules: list[DataFrame] = []
@@ -184,7 +185,8 @@ def actions(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Tar
                                       F.lit(f" in {name}")),
             say(F.lit(f"{name.capitalize()} "), F.when(down, "fell ").otherwise("rose "), display(F.abs(delta), kind),
                 F.lit(f" {words}: "), F.format_string("%.1f", F.abs("z")), F.lit("× its typical swing of "),
-                display(F.col("typical_change"), kind), F.lit("."))))
+                display(F.col("typical_change"), kind), F.lit(".")),
+            F.lit("See which members moved it before deciding anything.")))
         if ds.free_dimensions:
             dim = change.best_split(ds, m)
             steps = change.waterfall(ds, m, dimension=dim, limit=change.MAX_STEPS).where("not blank and not is_other")
@@ -194,18 +196,29 @@ def actions(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Tar
             key = say(F.lit(f"{dim}="), F.col("member"))
             line = say(F.lit(f"{numbers.words(dim).capitalize()} "), "member", F.lit(": "), display(F.col("a"), kind),
                        F.lit(" → "), display(F.col("b"), kind), F.format_string(" (%+.0f%%)", moved * 100),
-                       F.lit(f" {words}."))
+                       F.lit(f" {words}"))
+            # a loss is put in proportion to the loss of the whole
+            part = F.when(F.col("whole.b") < F.col("whole.a"), F.coalesce(F.format_string(
+                ", %.0f%% of the overall change", F.abs("share_of_change") * 100), F.lit(""))).otherwise(F.lit(""))
             seg = steps.withColumn("whole", whole)
             fell = (moved <= DECLINE) & (ratio(F.col("a"), F.col("whole.a")) >= MATERIAL)
             grew = (moved >= GROWTH) & (ratio(F.col("b"), F.col("whole.b")) >= MATERIAL)
             rules.append(_action(seg.where(fell), "declining_segment", key, F.when(
                 moved <= SHARP_DECLINE, "high").otherwise("medium"), F.col("delta"),
-                say(F.lit("Find out why "), "member", F.lit(" is falling")), line, proof))
+                say(F.lit("Find out why "), "member", F.lit(" is falling")), say(line, part, F.lit(".")),
+                say(F.lit("Open the rows of "), "member", F.lit(" and split them again: price, supply or a lost customer.")), proof))
             rules.append(_action(seg.where(grew), "growing_segment", key, "low", F.col("delta"),
-                                 say(F.lit("Build on "), "member", F.lit("'s growth")), line, proof))
-        if change.guess_volume(ds, m):
-            parts = change.price_volume_mix(ds, m)
+                                 say(F.lit("Build on "), "member", F.lit("'s growth")), say(line, F.lit(".")),
+                                 say(F.lit("Learn what "), "member", F.lit(
+                                     f" does differently and try it with another {numbers.words(dim)}.")), proof))
+        volume = change.guess_volume(ds, m)
+        if volume:
+            parts = change.price_volume_mix(ds, m, volume)
             effect = change.price_volume_mix_total(parts)
+            worst = parts.agg(F.min_by(F.struct("member", "price_effect"), F.struct("price_effect", "member")).alias("w"))
+            effect = effect.withColumn("worst", worst.select("w").scalar())
+            where = F.when((F.col("worst.price_effect") < 0) & F.col("worst.member").isNotNull(), say(
+                F.lit(", most of it in "), "worst.member")).otherwise(F.lit(""))
             cost = (F.col("price_effect") < 0) & (
                 (F.abs("price_effect") >= PRICE_OF_CHANGE * F.abs(F.when(F.col("delta") == 0, 1.0).otherwise(
                     F.col("delta")))) | (F.abs("price_effect") >= PRICE_OF_VALUE * F.abs("value_a")))
@@ -213,8 +226,9 @@ def actions(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Tar
                 effect.where(cost), "price_erosion", m, "medium", F.col("price_effect"),
                 F.lit("Review pricing and discounts"),
                 say(F.lit("The average price went from "), display(F.col("avg_price_a"), kind), F.lit(" to "),
-                    display(F.col("avg_price_b"), kind), F.lit("; price changes alone cost "),
-                    display(F.abs("price_effect"), kind), F.lit("."))))
+                    display(F.col("avg_price_b"), kind), F.lit(f" ({name} per {numbers.words(volume)}); price changes alone cost "),
+                    display(F.abs("price_effect"), kind), where, F.lit(".")),
+                F.lit("Go through discounts and price lists before asking for more volume.")))
         mine = [t for t in targets if t.measure == m and dict(t.filters) == dict(ds.pinned)]
         if mine:
             t = goals.evaluate_targets(ds, mine).where("current and status in ('at_risk', 'off_track')")
@@ -222,9 +236,11 @@ def actions(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Tar
                 t, "target", F.col("target_id"), F.when(F.col("status") == "off_track", "high").otherwise("medium"),
                 F.col("gap"), say(F.lit("Close the gap on the "), "period", F.lit(" target")),
                 say(F.lit(f"At the current pace {name} reaches "), display(F.col("projection"), kind),
-                    F.lit(" against a target of "), display(F.col("goal"), kind), F.lit(". The remaining "),
-                    F.col("days_remaining").cast("string"), F.lit(" days need "),
-                    display(F.col("needed_per_day"), kind), F.lit(" a day."))))
+                    F.lit(" against a target of "), display(F.col("goal"), kind),
+                    F.format_string(" (%.0f%%).", F.col("projected_ratio") * 100)),
+                say(F.lit("Plan for "), display(F.col("needed_per_day"), kind), F.lit(" a day over the "),
+                    F.when(F.col("days_remaining") == 1, F.lit("one day")).otherwise(F.format_string(
+                        "%d days", "days_remaining")), F.lit(" left."))))
     if ds.free_dimensions:
         tops = slices.contributors(ds, m, "sum", 1)
         found = tops.groupBy("dimension").agg(
@@ -239,13 +255,16 @@ def actions(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Tar
             best, "concentration", say("dimension", F.lit("="), "member"), "medium", F.col("value"),
             say(F.lit("Reduce dependence on "), "member"),
             say("member", F.format_string(f" is %.0f%% of all {name} across %d ", "share_pct", "members"),
-                F.regexp_replace("dimension", "_", " "), F.lit(" values.")), F.create_map("dimension", "member")))
+                F.regexp_replace("dimension", "_", " "), F.lit(" values.")),
+            say(F.lit("Secure "), "member", F.lit(" and grow the others: its trouble would be everyone's.")),
+            F.create_map("dimension", "member")))
     gaps = ds.frame.agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.count(number(m))).alias("missing"))
     rules.append(_action(
         gaps.where(ratio(F.col("missing"), F.col("n")) >= MISSING_SHARE), "missing_values", m, "medium",
         F.col("missing"), F.lit(f"Fill in missing {name}"),
         F.format_string(f"%,d of %,d rows (%.0f%%) have no {name}, so every total understates it.", "missing", "n",
-                        ratio(F.col("missing"), F.col("n")) * 100)))
+                        ratio(F.col("missing"), F.col("n")) * 100),
+        F.lit("Repair the source, or leave these rows out on purpose.")))
     out = rules[0]
     for rule in rules[1:]:
         out = out.unionByName(rule)

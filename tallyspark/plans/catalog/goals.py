@@ -9,7 +9,7 @@ from tallyspark.model import AnalysisError, Dataset
 from tallyspark.operators import goals, metrics, rules
 from tallyspark.operators.metrics import Metric, Part, Question
 from tallyspark.plans import reports
-from tallyspark.plans.catalog import forecasts
+from tallyspark.plans.catalog import changes, forecasts
 from tallyspark.plans.catalog.registry import EVENTS, SALES, events, lineitem, orders, query, rounded, sales
 
 METRICS = (
@@ -212,7 +212,80 @@ def insights_text(spark: SparkSession, folder: str) -> DataFrame:
     return rules.insights(orders(spark, folder)).select("position", "severity", "title", "detail")
 
 
-@query("actions")
+def _span(side: str) -> str:
+    """How the period ``side`` is called in a sentence."""
+    lo, hi = f"{side}0", f"{side}1"
+    return (f"CASE WHEN day({lo}) = 1 AND {hi} = last_day({lo}) THEN strftime({lo}, '%b %Y') WHEN {lo} = {hi} THEN strftime({lo}, '%-d %b %Y') "
+            f"ELSE strftime({lo}, '%-d %b') || ' – ' || strftime({hi}, '%-d %b %Y') END")
+
+
+_money = changes._money
+_A, _B = changes._in("a", "l_shipdate"), changes._in("b", "l_shipdate")
+_V = "l_extendedprice"
+#: The actions for line items, rule by rule, each from the question that its rule asks.
+_ACTIONS = f"""{changes._L},
+li AS (SELECT l_linenumber::VARCHAR AS l_linenumber, l_returnflag, l_linestatus, l_shipdate, l_quantity, {_V} FROM lineitem),
+mem AS (SELECT unnest([{{'dimension': 'l_linenumber', 'member': l_linenumber}}, {{'dimension': 'l_returnflag', 'member': l_returnflag}},
+  {{'dimension': 'l_linestatus', 'member': l_linestatus}}], recursive := true), l_shipdate, {_V} FROM li),
+lab AS (SELECT *, ' from ' || {_span('a')} || ' to ' || {_span('b')} AS words FROM p),
+two AS (SELECT dimension, member, sum(CASE WHEN {_A} THEN {_V} ELSE 0 END) AS a, sum(CASE WHEN {_B} THEN {_V} ELSE 0 END) AS b
+  FROM mem, p WHERE {_A} OR {_B} GROUP BY 1, 2),
+tot AS (SELECT coalesce(sum(CASE WHEN {_A} THEN {_V} END), 0) AS a, coalesce(sum(CASE WHEN {_B} THEN {_V} END), 0) AS b FROM li, p),
+mon AS (SELECT date_trunc('month', l_shipdate)::DATE AS k, sum({_V}) AS v FROM li, p WHERE l_shipdate::DATE <= b1
+  AND date_diff('day', date_trunc('month', l_shipdate), l_shipdate) < CASE WHEN d < b9 THEN (b1 - b0) + 1 ELSE 400 END GROUP BY 1),
+spine AS (SELECT unnest(generate_series((SELECT min(k) FROM mon), (SELECT b0 FROM p), INTERVAL 1 MONTH))::DATE AS k),
+mv AS (SELECT k, coalesce(v, 0) - lag(coalesce(v, 0)) OVER (ORDER BY k) AS delta FROM spine LEFT JOIN mon USING (k)),
+hist AS (SELECT (max(delta) FILTER (k = b0) - avg(delta) FILTER (k < b0)) / stddev_samp(delta) FILTER (k < b0) AS z,
+  stddev_samp(delta) FILTER (k < b0) AS sd, count(delta) FILTER (k < b0) AS n FROM mv, p),
+sc AS (SELECT dimension, CASE WHEN count(*) FILTER (b <> a) >= 2 THEN max(abs(b - a)) / sum(abs(b - a)) ELSE 0 END AS score FROM two GROUP BY 1),
+best AS (SELECT dimension FROM sc ORDER BY score DESC, list_position(['l_linenumber', 'l_returnflag', 'l_linestatus'], dimension) LIMIT 1),
+seg AS (SELECT two.*, b - a AS delta, (b - a) / nullif(abs(a), 0) AS moved, sum(a) OVER () AS wa, sum(b) OVER () AS wb,
+  replace(dimension, '_', ' ') AS dim, (SELECT words FROM lab) AS words FROM two JOIN best USING (dimension)),
+line AS (SELECT *, upper(dim[1]) || dim[2:] || ' ' || member || ': ' || {_money('a')} || ' → ' || {_money('b')} ||
+  format(' ({{:+.0f}}%)', moved * 100) || words AS text FROM seg),
+pr AS (SELECT l_linenumber AS member, sum(CASE WHEN {_A} THEN {_V} ELSE 0 END) AS ra, sum(CASE WHEN {_B} THEN {_V} ELSE 0 END) AS rb,
+  sum(CASE WHEN {_A} THEN l_quantity ELSE 0 END) AS qa, sum(CASE WHEN {_B} THEN l_quantity ELSE 0 END) AS qb FROM li, p WHERE {_A} OR {_B} GROUP BY 1),
+pe AS (SELECT *, CASE WHEN qa > 0 AND qb > 0 THEN qb * (rb / qb - ra / qa) ELSE 0 END AS price FROM pr),
+er AS (SELECT sum(ra) AS ra, sum(rb) AS rb, sum(qa) AS qa, sum(qb) AS qb, sum(price) AS price, min(price) AS lowest, arg_min(member, price) AS worst FROM pe),
+tg AS (SELECT DATE '2001-01-01' AS lo, DATE '2001-12-31' AS hi, 1e12 AS goal, coalesce(sum({_V}), 0) AS actual FROM li WHERE year(l_shipdate) = 2001),
+tj AS (SELECT tg.*, hi - d AS remaining, actual / ((d - lo) + 1) * 365 AS ahead FROM tg, p WHERE d BETWEEN lo AND hi),
+al AS (SELECT dimension, member, sum({_V}) AS v FROM mem GROUP BY 1, 2),
+ar AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY v DESC, member) AS rank, count(*) OVER (PARTITION BY dimension) AS n,
+  round(v / sum(v) OVER (PARTITION BY dimension) * 100, 1) AS share FROM al),
+act AS (SELECT 'unusual_move:{_V}' AS id, 'unusual_move' AS kind, CASE WHEN abs(z) >= 2.5 THEN 'high' ELSE 'medium' END AS severity, abs(b - a) AS magnitude,
+    'Investigate the ' || CASE WHEN b < a THEN 'drop' ELSE 'jump' END || ' in l extendedprice' AS title,
+    'L extendedprice ' || CASE WHEN b < a THEN 'fell ' ELSE 'rose ' END || {_money('abs(b - a)')} || (SELECT words FROM lab) || ': ' ||
+      format('{{:.1f}}', abs(z)) || '× its typical swing of ' || {_money('sd')} || '.' AS why,
+    'See which members moved it before deciding anything.' AS step, '{{}}' AS evidence FROM hist, tot WHERE n >= 5 AND sd > 0 AND abs(z) >= 1.5 AND b <> a
+  UNION ALL SELECT 'declining_segment:' || dimension || '=' || member, 'declining_segment', CASE WHEN moved <= -0.3 THEN 'high' ELSE 'medium' END, abs(delta),
+    'Find out why ' || member || ' is falling', text || CASE WHEN wb < wa THEN format(', {{:.0f}}% of the overall change', abs(delta / (wb - wa)) * 100) ELSE '' END || '.',
+    'Open the rows of ' || member || ' and split them again: price, supply or a lost customer.', '{{"' || dimension || '":"' || member || '"}}'
+    FROM line WHERE moved <= -0.15 AND a / wa >= 0.05
+  UNION ALL SELECT 'growing_segment:' || dimension || '=' || member, 'growing_segment', 'low', abs(delta), 'Build on ' || member || '''s growth', text || '.',
+    'Learn what ' || member || ' does differently and try it with another ' || dim || '.', '{{"' || dimension || '":"' || member || '"}}'
+    FROM line WHERE moved >= 0.2 AND b / wb >= 0.05
+  UNION ALL SELECT 'price_erosion:{_V}', 'price_erosion', 'medium', abs(price), 'Review pricing and discounts',
+    'The average price went from ' || {_money('(ra / qa)')} || ' to ' || {_money('(rb / qb)')} || ' (l extendedprice per l quantity); price changes alone cost ' ||
+      {_money('abs(price)')} || CASE WHEN lowest < 0 THEN ', most of it in ' || worst ELSE '' END || '.',
+    'Go through discounts and price lists before asking for more volume.', '{{}}'
+    FROM er WHERE qa > 0 AND qb > 0 AND price < 0 AND (abs(price) >= 0.25 * abs(CASE WHEN rb = ra THEN 1 ELSE rb - ra END) OR abs(price) >= 0.02 * abs(ra))
+  UNION ALL SELECT 'target:t1', 'target', CASE WHEN ahead >= 0.9 * goal THEN 'medium' ELSE 'high' END, abs(ahead - goal), 'Close the gap on the 2001 target',
+    'At the current pace l extendedprice reaches ' || {_money('ahead')} || ' against a target of ' || {_money('goal')} || format(' ({{:.0f}}%).', ahead / goal * 100),
+    'Plan for ' || {_money('((goal - actual) / remaining)')} || ' a day over the ' || CASE WHEN remaining = 1 THEN 'one day' ELSE remaining || ' days' END || ' left.', '{{}}'
+    FROM tj WHERE actual < goal AND remaining > 0 AND ahead < goal
+  UNION ALL (SELECT 'concentration:' || dimension || '=' || member, 'concentration', 'medium', abs(v), 'Reduce dependence on ' || member,
+    member || format(' is {{:.0f}}% of all l extendedprice across {{}} ', share, n) || replace(dimension, '_', ' ') || ' values.',
+    'Secure ' || member || ' and grow the others: its trouble would be everyone''s.', '{{"' || dimension || '":"' || member || '"}}'
+    FROM ar WHERE rank = 1 AND n >= 3 AND share >= greatest(40, 150 / n) ORDER BY share DESC, dimension LIMIT 1)
+  UNION ALL SELECT 'missing_values:{_V}', 'missing_values', 'medium', missing, 'Fill in missing l extendedprice',
+    format('{{:,}} of {{:,}} rows ({{:.0f}}%) have no l extendedprice, so every total understates it.', missing, n, missing / n * 100),
+    'Repair the source, or leave these rows out on purpose.', '{{}}'
+    FROM (SELECT count(*) AS n, count(*) - count({_V}) AS missing FROM lineitem) WHERE missing / n >= 0.05),
+placed AS (SELECT *, row_number() OVER (ORDER BY list_position(['high', 'medium', 'low'], severity), magnitude DESC, id) AS position FROM act)"""
+
+
+@query("actions", f"""WITH {_ACTIONS}
+SELECT id, kind, severity, round(magnitude, 2) AS magnitude, title, why, step, evidence, position FROM placed WHERE position <= 8""")
 def actions(spark: SparkSession, folder: str) -> DataFrame:
     """Recommended actions for line items, with a target in reach."""
     found = rules.actions(lineitem(spark, folder), "l_extendedprice", [

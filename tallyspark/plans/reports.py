@@ -115,7 +115,7 @@ def report(ds: Dataset, measure: str | None = None, targets: Sequence[goals.Targ
     else:
         parts.append(lines(totals, "Key numbers", place, head))
     todo = rules.actions(ds, m, targets, 5)
-    parts.append(lines(todo, "Recommended actions", F.col("position"), F.concat("title", F.lit(". "), "why")))
+    parts.append(lines(todo, "Recommended actions", F.col("position"), F.concat("title", F.lit(". "), "why", F.lit(" "), "step")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

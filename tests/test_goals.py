@@ -60,6 +60,23 @@ def test_actions(months):
         "declining_segment"]["evidence"]
 
 
+def test_actions_name_the_step_the_share_and_the_worst_price(dataset):
+    data = [(f"2025-{m:02d}-{d:02d}", p, 10.0 * price, 10.0) for m, prices in ((1, (9, 9, 5)), (2, (9, 3, 5)))
+            for d in (1, 28 if m == 2 else 31) for p, price in zip("ABC", prices)]
+    ds = dataset("date product revenue quantity", data, measures=("revenue", "quantity"))
+    found = {r["kind"]: r for r in rules.actions(ds, "revenue", limit=20).collect()}
+    assert found["declining_segment"]["why"].endswith("(-67%) from Jan 2025 to Feb 2025, 100% of the overall change.")
+    assert "B" in found["declining_segment"]["step"] and all(r["step"] for r in found.values())
+    assert "(revenue per quantity)" in found["price_erosion"]["why"] and found["price_erosion"]["why"].endswith(", most of it in B.")
+
+
+def test_no_share_of_a_change_that_was_no_loss(dataset):
+    data = [(f"2025-{m:02d}-{d:02d}", r, v) for m, values in ((1, (50, 50)), (2, (30, 90))) for d in (1, 28 if m == 2 else 31)
+            for r, v in zip("AB", values)]
+    found = {r["kind"]: r for r in rules.actions(dataset("date region revenue", data), "revenue").collect()}
+    assert found["declining_segment"]["why"].endswith("(-40%) from Jan 2025 to Feb 2025.")
+
+
 def test_concentration_needs_more_than_an_even_share(dataset):
     def kinds(shares):
         data = [(f"2025-01-{d:02d}", f"R{i}", s) for i, s in enumerate(shares) for d in (1, 2)]
