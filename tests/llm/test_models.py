@@ -128,3 +128,19 @@ def test_pipeline_stage_by_stage(spark, docs, prose, tmp_path):
     assert texts[203]["text"].endswith(" [EMAIL]") and texts[203]["n_chars"] == len(texts[203]["text"]) and texts[4]["text"] == prose(4, 60)
     whole = {r["doc_id"]: r["decoded_sha256"] for r in pipeline.run(spark, str(tmp_path)).collect()}
     assert sorted(k if k is not None else -1 for k in whole) == sorted(set(kept["tokens"])) and whole.get(205, hashlib.sha256(b"").hexdigest()) == hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_stages_keep_clashing_columns_and_take_empty_tables(spark, docs, prose, tmp_path):
+    import corpus_pipeline as pipeline
+    rows = [(k, prose(k, 40)) for k in range(20)] + [(50 + k, f"junk%%% ### {k}") for k in range(10)]
+    spark.createDataFrame([(k, int(k < 50)) for k, _ in rows], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, prose(900, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = docs(rows, extra=False).selectExpr("*", "doc_id * 2 AS _quality", "'mine' AS _OVERLAPS")
+    for name, stage in pipeline.STAGES[:1] + pipeline.STAGES[2:3]:
+        out = stage(spark, extra, str(tmp_path))
+        assert out.columns == extra.columns, name
+        assert all(r["_quality"] == 2 * r["doc_id"] and r["_OVERLAPS"] == "mine" for r in out.collect()), name
+    empty = docs(rows, extra=False).limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.count() == 0 and (name == "tokens" or out.columns == empty.columns), name
