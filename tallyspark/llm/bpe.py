@@ -78,6 +78,22 @@ def leaves(data: bytes) -> list[tuple[list[bytes], bool]]:
     return out
 
 
+def blocks(texts: pa.Array) -> Iterator[list[tuple[bytes, list[tuple[list[bytes], bool]]]]]:
+    """Consecutive texts and their leaves, about ``_TOGETHER`` words at a time: the
+    words of a whole batch would be several times as large as its texts."""
+    some, size = [], 0
+    for text in texts:
+        data = (text.as_py() or "").encode()
+        cuts = leaves(data)
+        some.append((data, cuts))
+        size += max(sum(len(words) for words, _ in cuts), len(data) // 8)  # long words count as several
+        if size > _TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 class Encoder:
     """One vocabulary file, and the words met so far in this process."""
 
@@ -261,38 +277,33 @@ def _first(path: str, digests: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
         schema = pa.schema([("row", pa.string()), ("id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()),
                             ("at", pa.int32()), ("run", pa.int32()), ("leaf", pa.int32()), ("last", pa.bool_()), ("piece", pa.string())])
         for batch in batches:
-            out, held, met = [], 0, 0
-            texts = [(text.as_py() or "").encode() for text in batch.column(1)]
-            every = [leaves(data) for data in texts]
-            for k, (key, cuts) in enumerate(zip(batch.column(0), every, strict=True)):
-                every[k] = []
-                if k >= met:  # the words of the next texts, learnt together
-                    some, size = set(), 0
-                    for met in range(k, len(every) + 1):
-                        if met == len(every) or size > _TOGETHER:
-                            break
-                        parts = cuts if met == k else every[met]
-                        for n, (words, is_open) in enumerate(parts):
-                            some.update(words)
-                            size += len(words)
-                            if is_open:
-                                some.add(words[-1] + parts[n + 1][0][0])
-                    encoder.meet({w for w in some if len(w) <= LEAF})
-                try:
-                    whole = encoder.concatenated([Part(words, encoder.each(words), is_open) for words, is_open in cuts]) if cuts else None
-                except _LongWord:
-                    row = uuid.uuid4().hex
-                    some = [{"row": row, "id": key.as_py(), "at": k} | x for k, x in enumerate(cut(encoder, texts[k].split()))]
-                else:
-                    ids = b" ".join(filter(None, whole.ids)) if whole else b""
-                    tokens = b" ".join(map(encoder.decimal.__getitem__, ids.split())) if digests else b""
-                    some = [{"id": key.as_py(), "n": ids.count(b" ") + 1 if ids else 0, "ids": _digest(ids) if digests else ids,
-                             "tokens": _digest(tokens) if digests else None}]
-                out += some
-                held += sum(len(x.get("ids") or b"") + len(x.get("piece") or "") for x in some)
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(out, schema)
-                    out, held = [], 0
+            out, held, at = [], 0, 0
+            for block in blocks(batch.column(1)):
+                some = set()  # the words of these texts, learnt together
+                for _, cuts in block:
+                    for n, (words, is_open) in enumerate(cuts):
+                        some.update(words)
+                        if is_open:
+                            some.add(words[-1] + cuts[n + 1][0][0])
+                encoder.meet({w for w in some if len(w) <= LEAF})
+                for data, cuts in block:
+                    key, k = batch.column(0)[at].as_py(), at
+                    at += 1
+                    try:
+                        whole = encoder.concatenated([Part(words, encoder.each(words), is_open) for words, is_open in cuts]) if cuts else None
+                    except _LongWord:
+                        row = uuid.uuid4().hex
+                        some = [{"row": row, "id": key, "at": k} | x for k, x in enumerate(cut(encoder, data.split()))]
+                    else:
+                        ids = b" ".join(filter(None, whole.ids)) if whole else b""
+                        tokens = b" ".join(map(encoder.decimal.__getitem__, ids.split())) if digests else b""
+                        some = [{"id": key, "n": ids.count(b" ") + 1 if ids else 0, "ids": _digest(ids) if digests else ids,
+                                 "tokens": _digest(tokens) if digests else None}]
+                    out += some
+                    held += sum(len(x.get("ids") or b"") + len(x.get("piece") or "") for x in some)
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, schema)
 
     return first

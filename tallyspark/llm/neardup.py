@@ -111,15 +111,16 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those with 100 * intersection >= 75 * union."""
     for batch in batches:
-        left = [s for _, _, w in pieces(batch.column(2)) for s in shingles(w, w.hashes(lower=True))]
-        right = [s for _, _, w in pieces(batch.column(3)) for s in shingles(w, w.hashes(lower=True))]
         keep = []
-        for x, y in zip(left, right, strict=True):
-            common = 0
-            if len(x) and 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)):
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-            keep.append(common > 0 and 100 * common >= 75 * (len(x) + len(y) - common))
+        for lo, hi, words in pieces(batch.column(2)):  # the sets of some pairs at a time
+            left = shingles(words, words.hashes(lower=True))
+            right = (s for _, _, w in pieces(batch.column(3).slice(lo, hi - lo)) for s in shingles(w, w.hashes(lower=True)))
+            for x, y in zip(left, right, strict=True):
+                common = 0
+                if len(x) and 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)):
+                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                    common = int((y[at] == x).sum())
+                keep.append(common > 0 and 100 * common >= 75 * (len(x) + len(y) - common))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 

@@ -1,8 +1,10 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
-from tallyspark.llm import neardup
+from tallyspark.llm import neardup, words
 from tallyspark.llm.components import components
 from tests.llm.conftest import ODD
 
@@ -58,6 +60,22 @@ def test_sketch_estimates_similarity_and_fills_for_any_size():
     assert abs(agree - 0.75) < 0.03
 
 
+def test_pairs_are_verified_some_at_a_time(prose, monkeypatch):
+    one = [prose(i, 300) for i in range(100)] * 20
+    two = [t if i % 3 else prose(1000 + i, 300) for i, t in enumerate(one)]
+    two[1] = " ".join(one[:20])
+    batch = pa.record_batch([pa.array(range(2000)), pa.array(range(2000)), pa.array([None, *one[1:]]), pa.array(two)], names=["a", "b", "c", "d"])
+    monkeypatch.setattr(words, "PIECE", 1 << 14)
+    tracemalloc.start()
+    try:
+        found = [*neardup._verify_batches(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [a for b in found for a in b.column(0).to_pylist()] == [i for i in range(2000) if i % 3 and i != 1]
+    assert peak < 5_000_000  # the sets of all pairs: 2 x 4.8 MB
+
+
 def test_components_of_chains_stars_and_random_links(spark):
     r = random.Random(9)
     links = [(k, k + 1) for k in range(1, 60)] + [(200, 200 + k) for k in range(1, 30)] + [(300 + r.randrange(90), 300 + r.randrange(90)) for _ in range(70)]

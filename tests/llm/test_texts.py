@@ -2,7 +2,9 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import bpe, decontaminate, repeats
@@ -149,6 +151,24 @@ def test_whole_texts_are_joined_from_leaves(prose, monkeypatch):
     assert sorted(joined) == sorted(cuts) and sum(cuts) > 50
 
 
+def test_words_of_some_texts_are_held_at_a_time(prose, monkeypatch):
+    texts = [None, "", *[prose(i, 300) for i in range(100)] * 20, "x" * 3000, "y" * 999 + " z"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    first = bpe._first(tokenizer_file(), True)
+    plain = [r for b in first(iter([batch])) for r in b.to_pylist() if r["row"] is None]
+    monkeypatch.setattr(bpe, "_TOGETHER", 5_000)
+    assert [x for b in bpe.blocks(batch.column(1)) for x, _ in b] == [(t or "").encode() for t in texts]
+    bpe.Encoder.of(tokenizer_file()).words.clear()
+    tracemalloc.start()
+    try:
+        again = [r for b in first(iter([batch])) for r in b.to_pylist() if r["row"] is None]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert again == plain and len(plain) == len(texts) - 1
+    assert peak < 12_000_000  # the words of all texts: 600,000, over 20 MB
+
+
 def test_vocabularies_of_another_kind_are_refused():
     with pytest.raises(ValueError, match="lower-case words"):
         bpe.Encoder(tokenizer_file("byte_bpe_50k.json"))
