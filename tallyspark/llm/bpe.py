@@ -95,7 +95,7 @@ def blocks(texts: pa.Array) -> Iterator[list[tuple[bytes, list[tuple[list[bytes]
 
 
 class Encoder:
-    """One vocabulary file, and the words met so far in this process."""
+    """One vocabulary file, and the words met so far in this task."""
 
     def __init__(self, path: str):
         import json
@@ -179,6 +179,10 @@ class Encoder:
         if new:
             self.learn(list(new))
 
+    def forget(self) -> None:
+        """Drop the words met so far: other stages may use this process next."""
+        self.words, self.old_words, self.roots, self.old_roots = {}, {}, {}, {}
+
     def each(self, words: list[bytes]) -> list[bytes]:
         """Decimal ids of every short word."""
         try:
@@ -305,6 +309,7 @@ def _first(path: str, digests: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                         yield pa.RecordBatch.from_pylist(out, schema)
                         out, held = [], 0
             yield pa.RecordBatch.from_pylist(out, schema)
+        encoder.forget()
 
     return first
 

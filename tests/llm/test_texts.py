@@ -158,7 +158,8 @@ def test_words_of_some_texts_are_held_at_a_time(prose, monkeypatch):
     plain = [r for b in first(iter([batch])) for r in b.to_pylist() if r["row"] is None]
     monkeypatch.setattr(bpe, "_TOGETHER", 5_000)
     assert [x for b in bpe.blocks(batch.column(1)) for x, _ in b] == [(t or "").encode() for t in texts]
-    bpe.Encoder.of(tokenizer_file()).words.clear()
+    encoder = bpe.Encoder.of(tokenizer_file())
+    assert not any((encoder.words, encoder.old_words, encoder.roots, encoder.old_roots))  # nothing stays with the worker
     tracemalloc.start()
     try:
         again = [r for b in first(iter([batch])) for r in b.to_pylist() if r["row"] is None]
