@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import frugal, written
 
 LEAF = 1024
 _KEPT_WORDS, _TOGETHER = 250_000, 200_000
@@ -276,6 +276,7 @@ def _first(path: str, digests: bool) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     for k in range(0, len(piece), LEAF):
                         yield {"run": run, "leaf": k // LEAF, "last": k + LEAF >= len(piece), "piece": piece[k : k + LEAF]}
 
+    @frugal
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         schema = pa.schema([("row", pa.string()), ("id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()),
@@ -321,6 +322,7 @@ def _digest(data: bytes) -> bytes:
 def _encoded(docs: DataFrame, path: str, key: str, text: str, digests: bool) -> DataFrame:
     """(id, n, ids, tokens): ids in decimal, or digests of ids and decoded text."""
 
+    @frugal
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import frugal, written
 from tallyspark.llm.words import U, Words, grams, pieces
 
 WINDOW, SUBSTITUTED = 13, 3
@@ -117,12 +117,14 @@ def marked(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()  # about BLOCK bytes
         shared = spark.sparkContext.broadcast(Seeds([r["id"] for r in part], [r["text"] for r in part]))
 
+        @frugal
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                new = [x for _, _, words in pieces(batch.column(place)) for x in shared.value.overlaps(words)]
-                old = batch.column(len(names)).to_pylist()
-                both = [(a or []) + b for a, b in zip(old, new, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(both, _FOUND_TYPE)], names=[*names, "found"])
+                for lo, hi, words in pieces(batch.column(place)):
+                    some = batch.slice(lo, hi - lo)
+                    old = some.column(len(names)).to_pylist()
+                    both = [(a or []) + b for a, b in zip(old, shared.value.overlaps(words), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(both, _FOUND_TYPE)], names=[*names, "found"])
 
         out = out.mapInArrow(found, out.schema)
     return out.toDF(*docs.columns, into)

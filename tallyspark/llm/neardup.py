@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.components import components, mapped
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import frugal, written
 from tallyspark.llm.words import U, mix, pieces, shingles
 
 COORDINATES, ROWS = 128, 4
@@ -92,6 +92,7 @@ def _bits(s: np.ndarray) -> np.ndarray:
 _SKETCHED = "id long, n_shingles long, set_hash binary, bands array<long>, bits array<long>"
 
 
+@frugal
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -108,6 +109,7 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ], names=["id", "n_shingles", "set_hash", "bands", "bits"])
 
 
+@frugal
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both texts, those with 100 * intersection >= 75 * union."""
     for batch in batches:
@@ -124,6 +126,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+@frugal
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, words in pieces(batch.column(1)):

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.llm.shared import frugal
 from tallyspark.llm.words import U, Words, grams, mix, pieces
 
 BITS = 18
@@ -80,6 +81,7 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, (key & U(2**BITS - 1)).astype(np.int64), np.sqrt(times / np.maximum(total[doc], 1))
 
 
+@frugal
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, words in pieces(batch.column(2)):
@@ -128,15 +130,15 @@ class QualityModel:
         names = [f"c{i}" for i in range(len(docs.columns))]
         place = docs.columns.index(text)
 
+        @frugal
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = shared.value.astype(np.float64)
             for batch in batches:
-                dots = [np.zeros(0)]
                 for lo, hi, words in pieces(batch.column(place)):
                     doc, at, value = features(words)
-                    dots.append(np.bincount(doc, weights=w[at] * value, minlength=hi - lo))
-                score = 1 / (1 + np.exp(-np.clip(np.concatenate(dots) + w[-1], -35, 35)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*names, "score"])
+                    dots = np.bincount(doc, weights=w[at] * value, minlength=hi - lo)
+                    score = 1 / (1 + np.exp(-np.clip(dots + w[-1], -35, 35)))
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(score)], names=[*names, "score"])
 
         plain = docs.toDF(*names)
         schema = ", ".join(f"{n} {t}" for n, t in plain.dtypes) + ", score double"

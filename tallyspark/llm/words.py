@@ -20,7 +20,7 @@ _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text worked on at a time; a longer text is worked on alone.
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,12 +84,14 @@ class Words:
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) for consecutive rows of about ``PIECE`` bytes."""
-    data, offsets = buffers(column)
-    lo, n = 0, len(offsets) - 1
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    lo, n = 0, len(sizes)
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + PIECE, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PIECE, "right")) - 1)
         hi = min(hi, n)
-        yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1])
+        data, offsets = buffers(column.slice(lo, hi - lo))  # a copy of these rows at most, not of the column
+        yield lo, hi, Words(data[offsets[0] : offsets[-1]], offsets)
         lo = hi
 
 

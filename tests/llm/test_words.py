@@ -1,6 +1,10 @@
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 
+from tallyspark.llm import bpe, neardup, quality
+from tallyspark.llm.shared import frugal
 from tallyspark.llm.words import grams, pieces, shingles
 from tests.llm.conftest import ODD
 
@@ -25,3 +29,32 @@ def test_shingles_and_sliced_columns(prose):
     assert [len(s) for s in shingles(w, w.hashes())] == sizes
     h = np.arange(9, dtype=np.uint64)
     assert (grams(h, 3) == grams(h, 0, (0, 1, 2))).all() and len(grams(h[:1], 3)) == 0
+
+
+def test_only_some_rows_of_a_column_are_copied():
+    column = pa.array([None, *["word " * 200] * 4000])  # 4 MB, copied to fill the null
+    before = pa.total_allocated_bytes()
+    assert max(pa.total_allocated_bytes() - before for _ in pieces(column)) < 1 << 20
+
+
+def test_a_task_gives_its_memory_back():
+    def held() -> int:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    kept = []
+
+    def work(batches):
+        for batch in batches:
+            some = [bytes(100_000) + b"x" for _ in range(1000)]  # 100 MB of blocks that the allocator keeps
+            kept.append(some.pop())  # behind the others
+            del some
+            yield batch
+
+    before = held()
+    assert list(frugal(work)(iter([1]))) == [1]
+    assert held() - before < 30 << 20
+
+
+def test_tasks_of_the_corpus_give_their_memory_back():
+    for task in (neardup._sketch_batches, neardup._verify_batches, neardup._shingle_rows, quality._vectors, bpe._first("", True)):
+        assert task.__code__ is frugal(task).__code__
