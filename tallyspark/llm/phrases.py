@@ -33,12 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.shared import written
+from tallyspark.llm.shared import frugal, written
 from tallyspark.llm.words import U, buffers, mix
 
 LEAST, WORDS, TOP, WITHIN = 30, 4, 2000, 80
 #: Bytes of text in a chunk (a longer text is one by itself), entries a task holds before it sends its filter on.
-CHUNK, HELD = 2 << 20, 1 << 21
+CHUNK, HELD = 1 << 19, 1 << 21
+#: Entries of filters merged at a time, bytes of filters sent on at a time.
+SLICE, SENT = 1 << 16, 1 << 20
+#: Rows of chunks are large: Parquet's pages, which are compressed whole, end by size after any row, not after 100 rows.
+_PAGES = {"parquet.page.size.row.check.min": "1"}
 #: Most bits of the bitmap of frequent runs that tasks are given: 16 MiB.
 BITS = 1 << 27
 _QUOTIENT = 16
@@ -97,8 +101,8 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.frombuffer(ids.as_buffer(), np.int32)
             of = np.zeros(int(ids.max()) + 2, np.uint32)
             if known.is_valid:
-                pairs = known.values
-                of[pairs.field("pos").to_numpy()] = pairs.field("word_id").to_numpy()
+                pairs = known.values.to_numpy()
+                of[pairs >> 32] = pairs & 0xFFFFFFFF
             stream = of[ids]  # -1 takes the last, which is 0
             keep = (stream != 0) | np.concatenate((stream[1:] != 0, [False]))
             if keep.any():
@@ -163,19 +167,38 @@ class Filter:
         first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
         return cls(keys[first], np.add.reduceat(counts, first))
 
+    @classmethod
+    def slices(cls, filters: list[Filter], bits: int = _QUOTIENT) -> Iterator[Filter]:
+        """``filters`` merged, rising, about ``SLICE`` entries at a time; what shares its first ``bits`` bits stays together."""
+        cut = min(bits, (sum(map(len, filters)) // SLICE).bit_length())
+        heads = np.arange(1, 1 << cut, dtype=np.uint64) << U(64 - cut) if cut else np.zeros(0, np.uint64)
+        edges = [[0, *np.searchsorted(f.keys[:, 0], heads).tolist(), len(f)] for f in filters]
+        for k in range(1 << cut):
+            yield cls.of(np.concatenate([f.keys[e[k]:e[k + 1]] for f, e in zip(filters, edges, strict=True)]),
+                         np.concatenate([f.counts[e[k]:e[k + 1]] for f, e in zip(filters, edges, strict=True)]))
+
     @classmethod
     def merged(cls, filters: list[Filter]) -> Filter:
-        return filters[0] if len(filters) == 1 else cls.of(np.concatenate([f.keys for f in filters]), np.concatenate([f.counts for f in filters]))
+        if len(filters) == 1:
+            return filters[0]
+        total, n = sum(map(len, filters)), 0
+        keys, counts = np.empty((total, filters[0].keys.shape[1]), np.uint64), np.empty(total, np.int64)
+        for f in cls.slices(filters):
+            keys[n:n + len(f)], counts[n:n + len(f)] = f.keys, f.counts
+            n += len(f)
+        keys.resize((n, keys.shape[1]), refcheck=False)
+        counts.resize(n, refcheck=False)
+        return cls(keys, counts)
 
     def __len__(self) -> int:
         return len(self.keys)
 
     def shards(self, bits: int) -> Iterator[tuple[int, bytes]]:
         """(shard, encoded part) for each shard of the first ``bits`` bits that has entries."""
-        edges = np.searchsorted(self.keys[:, 0], np.arange(1 << bits, dtype=np.uint64) << U(64 - bits)).tolist() + [len(self)]
-        for shard in np.flatnonzero(np.diff(edges)).tolist():
-            a, b = edges[shard], edges[shard + 1]
-            yield shard, Filter(self.keys[a:b], self.counts[a:b]).encoded(shard, bits)
+        of = self.keys[:, 0] >> U(64 - bits)
+        edges = [*np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))).tolist(), len(self)] if len(self) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(of[a]), Filter(self.keys[a:b], self.counts[a:b]).encoded(int(of[a]), bits)
 
     def encoded(self, shard: int, bits: int) -> bytes:
         """Entries per quotient of the shard, counters (255 and more apart), remainders."""
@@ -229,11 +252,23 @@ def _filters(n: int, shard_bits: int, known: object) -> Callable[[Iterator[pa.Re
         bitmap = None if known is None else known.value
         waiting: list[Filter] = []
 
-        def sent(f: Filter) -> Iterator[pa.RecordBatch]:
-            parts = list(f.shards(shard_bits))
+        def sent() -> Iterator[pa.RecordBatch]:
+            parts, size = [], 0
+
+            def batch() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())],
+                                                  names=["shard", "filter"])
+
+            for f in Filter.slices(waiting, shard_bits):
+                for part in f.shards(shard_bits):
+                    parts.append(part)
+                    size += len(part[1])
+                    if size >= SENT:
+                        yield batch()
+                        parts, size = [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([d for _, d in parts], pa.binary())],
-                                                 names=["shard", "filter"])
+                yield batch()
+            waiting.clear()
 
         for batch in batches:
             for ids in batch.column(0):
@@ -254,11 +289,11 @@ def _filters(n: int, shard_bits: int, known: object) -> Callable[[Iterator[pa.Re
                 if len(at):
                     waiting.append(Filter.of(permuted(packed(stream, n, at)), np.ones(len(at), np.int64)))
                     if sum(map(len, waiting)) > HELD:
-                        waiting = [Filter.merged(waiting)]
+                        waiting[:] = [Filter.merged(waiting)]
                         if len(waiting[0]) > HELD // 2:
-                            yield from sent(waiting.pop())
+                            yield from sent()
         if waiting:
-            yield from sent(Filter.merged(waiting))
+            yield from sent()
 
     return run
 
@@ -305,7 +340,7 @@ def _bits(n: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 def _bitmap(frequent: DataFrame, n: int) -> np.ndarray:
     """A bitmap of the runs: 16 bits a run, from 2**16 up to ``BITS`` bits in all."""
     bits = min(BITS, max(1 << 16, 1 << (16 * frequent.count() - 1).bit_length()))
-    words = frequent.select(*_G[:n]).mapInArrow(_bits(n, bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = frequent.select(*_G[:n]).mapInArrow(frugal(_bits(n, bits)), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()  # at most BITS / 64 rows
     return out.view(np.uint8)
@@ -322,24 +357,24 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         raise ValueError("phrases have 1 to 4 words")
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    chunks = written(source.mapInArrow(_chunks, "chunk binary, lang string, n long, words array<string>, counts array<long>, ids binary"))
+    chunks = written(source.mapInArrow(frugal(_chunks), "chunk binary, lang string, n long, words array<string>, counts array<long>, ids binary"), _PAGES)
     often = chunks.select("lang", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("held")))).toDF(
         "lang", "word", "held").groupBy("lang", "word").agg(F.sum("held").alias("f")).where(F.col("f") >= least)
     vocabulary = written(numbered(often))
     if vocabulary.count() >= 1 << 32:
         raise ValueError("more than 2**32 - 1 frequent words")
     of = chunks.select("chunk", "lang", F.posexplode("words").alias("pos", "word")).join(vocabulary.drop("f"), ["lang", "word"]).groupBy("chunk").agg(
-        F.collect_list(F.struct("pos", "word_id")).alias("known"))  # as many as a chunk has words
-    streams = written(chunks.select("chunk", "ids").join(of, "chunk").select("ids", "known").mapInArrow(_numbered, "ids binary"))
+        F.collect_list(F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.col("word_id"))).alias("known"))  # as many as a chunk has words
+    streams = written(chunks.select("chunk", "ids").join(of, "chunk").select("ids", "known").mapInArrow(frugal(_numbered), "ids binary"), _PAGES)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shard_bits = min(_QUOTIENT, max(1, (8 * parts - 1).bit_length()))
     phrases = [vocabulary.select(F.col("word_id").alias("g1"), *[F.lit(0).cast("long").alias(g) for g in _G[1:]], "f", F.lit(1).alias("n"))]
     known = None
     for n in range(2, longest + 1):
-        filters = streams.mapInArrow(_filters(n, shard_bits, known), "shard int, filter binary")
+        filters = streams.mapInArrow(frugal(_filters(n, shard_bits, known)), "shard int, filter binary")
         merged = filters.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(
-            _merge(n, shard_bits, least), ", ".join(f"{g} long" for g in [*_G, "f"]))
+            frugal(_merge(n, shard_bits, least)), ", ".join(f"{g} long" for g in [*_G, "f"]))
         found = written(merged)
         phrases.append(found.withColumn("n", F.lit(n)))
         if n < longest:

@@ -41,9 +41,9 @@ def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return task
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` stored as Parquet in the shared folder and read again: later steps
-    neither repeat its work nor depend on the executors that did it."""
+def written(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
+    """``df`` stored as Parquet (by the writer's ``options``) in the shared folder and read again:
+    later steps neither repeat its work nor depend on the executors that did it."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,9 +1,11 @@
 """Phrases and their filters."""
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyspark.llm import phrases
@@ -80,3 +82,37 @@ def test_filters_lose_nothing(n):
         assert (whole.keys == f.keys).all() and (whole.counts == 2 * f.counts).all()
     back = phrases.unpacked(phrases.restored(f.keys), n)
     assert set(zip(*[x.tolist() for x in back], strict=True)) == {tuple(ids[i:i + n].tolist()) for i in range(5000)}
+
+
+def test_a_task_merges_and_sends_its_filters_in_parts():
+    r = np.random.default_rng(8)
+    streams = [r.integers(1, 1 << 20, 1 << 17).astype(np.uint32) for _ in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in streams], pa.binary())], names=["ids"])
+    sent, largest = Counter(), 0
+    tracemalloc.start()
+    for out in phrases._filters(3, 6, None)(iter([batch])):
+        largest = max(largest, out.nbytes)
+        sent.update({shard: len(phrases.Filter.decoded(data, shard, 6, 2)) for shard, data in zip(*[c.to_pylist() for c in out.columns], strict=True)})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    runs = np.unique(np.concatenate([np.stack([s[:-2], s[1:-1], s[2:]], axis=1) for s in streams]), axis=0)
+    assert sum(sent.values()) == len(runs) > 1_300_000 and len(sent) == 64
+    assert largest < 4 << 20 and peak < 40 * len(runs)  # a run held takes 24 bytes
+
+
+@pytest.mark.parametrize("n", [2, 4])
+def test_merged_slices_are_the_whole(monkeypatch, n):
+    monkeypatch.setattr(phrases, "SLICE", 50)
+    r = np.random.default_rng(n)
+    filters = []
+    for size in (0, 1, 700, 3000):
+        ids = r.integers(1, 30, size * n).astype(np.uint32)
+        filters.append(phrases.Filter.of(phrases.permuted(phrases.packed(ids, n, np.arange(size) * n)), r.integers(1, 400, size)))
+    whole = phrases.Filter.of(np.concatenate([f.keys for f in filters]), np.concatenate([f.counts for f in filters]))
+    got = phrases.Filter.merged(filters)
+    assert (got.keys == whole.keys).all() and (got.counts == whole.counts).all()
+    for bits in (1, 3, 16):
+        parts = list(phrases.Filter.slices(filters, bits))
+        assert len(parts) > 1 and (np.concatenate([f.keys for f in parts]) == whole.keys).all()
+        heads = [set((f.keys[:, 0] >> np.uint64(64 - bits)).tolist()) for f in parts]
+        assert sum(map(len, heads)) == len(set().union(*heads))
